@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrane.llm import packing, records, tokens
-from terrane.llm.staging import table
+from terrane.llm import lines, mixing, packing, records, sharding, tokens
+from terrane.llm.staging import Staged, table
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that are boilerplate in their source."""
+    return lines.drop_boilerplate_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    docs = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,10 +27,17 @@ def op4_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_files(spark, files)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that a mix of 150 % takes from each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    mixed = mixing.mix_sources(Staged(docs, "sizes").df)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_length_delimited_records, op6_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing)}
+ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL}
