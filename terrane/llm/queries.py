@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import lines, mixing, packing, records, sharding, tokens
+from terrane.llm import lines, mixing, packing, quality, records, secrets, sharding, tokens
 from terrane.llm.staging import Staged, table
 
 
@@ -39,5 +39,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing)}
-ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL}
+def op7_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a document is a repository and its source the owner."""
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts on all documents."""
+    rules, stats = quality.fit_rules(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return rules.judge(stats)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
+        op7_ownership_secrets, op9_robust_outliers,
+    )
+}
+ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op7_ownership_secrets": secrets.SQL}
