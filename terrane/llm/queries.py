@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import lines, mixing, packing, quality, records, secrets, sharding, tokens
+from terrane.llm import lines, mixing, neardup, packing, quality, records, secrets, sharding, tokens
 from terrane.llm.staging import Staged, table
 
 
@@ -44,6 +44,11 @@ def op7_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts on all documents."""
     rules, stats = quality.fit_rules(table(spark, sf_dir, "documents"), keep=("doc_id",))
@@ -54,7 +59,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
-        op7_ownership_secrets, op9_robust_outliers,
+        op7_ownership_secrets, op8_setsketch_neardup, op9_robust_outliers,
     )
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op7_ownership_secrets": secrets.SQL}
