@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import lines, mixing, neardup, packing, quality, records, secrets, sharding, tokens
+from terrane.llm import ann, lines, mixing, neardup, packing, quality, records, secrets, sharding, tokens
 from terrane.llm.staging import Staged, table
 
 
@@ -55,11 +55,16 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(stats)
 
 
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of a hundredth of the embeddings, in all of them."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
-        op7_ownership_secrets, op8_setsketch_neardup, op9_robust_outliers,
+        op7_ownership_secrets, op8_setsketch_neardup, op9_robust_outliers, op10_posting_lists,
     )
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op7_ownership_secrets": secrets.SQL}
