@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import ann, lines, mixing, neardup, packing, quality, records, secrets, sharding, tokens
+from terrane.llm import ann, lines, mixing, neardup, packing, pii, quality, records, secrets, sharding, tokens
 from terrane.llm.staging import Staged, table
 
 
@@ -21,6 +21,11 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents as records of token ids and gives what the files hold."""
     files = records.write_records(table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
@@ -63,7 +68,7 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_histogram_shards, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
+        op1_line_dedup, op2_histogram_shards, op3_weak_supervision_pii, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
         op7_ownership_secrets, op8_setsketch_neardup, op9_robust_outliers, op10_posting_lists,
     )
 }
