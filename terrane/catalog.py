@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from terrane.plans import evaluation
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _plan in (evaluation,):
+    QUERIES |= _plan.QUERIES
+    ORACLE |= _plan.ORACLE
