@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import evaluation
+from terrane.plans import evaluation, spatial
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation,):
+for _plan in (evaluation, spatial):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE

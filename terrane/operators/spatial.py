@@ -95,11 +95,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, start_m: float = 200.
 
 
 def nearest_street(points: DataFrame, streets: DataFrame) -> DataFrame:
-    """(scene_id, id, street_id, name, d): the nearest street of the scene, ties to the smaller id. Streets are few per scene."""
+    """(scene_id, id, street_id, name, d): the nearest street of the scene; distances equal to a micrometre tie, to the smaller id. Streets are few per scene."""
     d = geo.segment_metres(P(F.col("x"), F.col("y")), P(F.col("sx"), F.col("sy")), P(F.col("bx"), F.col("by")))
     side = streets.select("scene_id", "street_id", "name", F.col("x").alias("sx"), F.col("y").alias("sy"), "bx", "by")
     pairs = points.select("scene_id", "id", "x", "y").join(side, "scene_id").withColumn("d", d)
-    best = pairs.groupBy("scene_id", "id").agg(F.min_by(F.struct("street_id", "name", "d"), F.struct("d", "street_id")).alias("s"))
+    best = pairs.groupBy("scene_id", "id").agg(F.min_by(F.struct("street_id", "name", "d"), F.struct(F.round("d", 6), "street_id")).alias("s"))
     return best.select("scene_id", "id", "s.*")
 
 

@@ -61,8 +61,8 @@ bld AS (SELECT *, ['residential', 'commercial', 'mixed'][CAST(id % 3 + 1 AS INT)
         x - {HALF} AS x0, x + {HALF} AS x1, y - {HALF} AS y0, y + {HALF} AS y1 FROM pts WHERE id % 5 <> 0),
 eq AS (SELECT *, CASE WHEN id % 50 = 0 THEN 'co' ELSE 'closure' END AS kind FROM pts WHERE id % 5 = 0),
 st AS (SELECT * FROM (SELECT scene_id, id AS street_id, CASE WHEN id % 3 = 0 THEN 'Street ' || (id % 9) ELSE 'Name ' || (id % 11) END AS name, x, y,
-       lead(x) OVER (PARTITION BY scene_id ORDER BY id) AS bx, lead(y) OVER (PARTITION BY scene_id ORDER BY id) AS by FROM pts) WHERE street_id % 10 = 1 AND bx IS NOT NULL),
-dist AS (SELECT * FROM (SELECT scene_id, 'dist-' || id AS cable_id, 'distribution' AS kind, id AS source, lead(id) OVER w AS target, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by
+       lead(x) OVER (PARTITION BY scene_id ORDER BY id) AS bx, lead(y) OVER (PARTITION BY scene_id ORDER BY id) AS ey FROM pts) WHERE street_id % 10 = 1 AND bx IS NOT NULL),
+dist AS (SELECT * FROM (SELECT scene_id, 'dist-' || id AS cable_id, 'distribution' AS kind, id AS source, lead(id) OVER w AS target, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS ey
          FROM eq WINDOW w AS (PARTITION BY scene_id ORDER BY id)) WHERE target IS NOT NULL)
 """
 
