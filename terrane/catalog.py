@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import evaluation, spatial
+from terrane.plans import evaluation, network, procedural, spatial
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial):
+for _plan in (evaluation, spatial, network, procedural):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE
