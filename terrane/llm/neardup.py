@@ -34,7 +34,7 @@ M = BANDS * ROWS
 B, A, Q = 1.1, 20.0, 254
 MARGIN = 5.0
 CHUNK = 1024
-TOP = 16
+TOP = 128
 _MUL = np.random.default_rng(20240517).integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(71).integers(0, 2**63, M, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,8 @@ def estimate(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray)
     return (lo + hi) / 2
 
 
+#: No pair with fewer equal registers has an estimate of _LEAST, for any set sizes; counting them is cheaper than the estimate.
+_LEAST_SAME = int(0.6 * M)
 _LEAST = PERCENT / 100 - MARGIN * float(np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / M))
 
 
@@ -153,15 +155,13 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
         both = edges.df.union(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = Staged(large, "edges")
-        edges.drop()
-        down = large.df  # u > v: the neighbours below
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"))  # down: u > v, so these are the neighbours below
         small = down.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
-        edges = Staged(small.distinct(), "edges")
-        large.drop()
+        after = Staged(small.distinct(), "edges")
+        edges.drop()
+        edges = after
     roots = edges.df.groupBy("u").agg(F.min("v").alias("root"))
     return Staged(roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct()), "components").df
 
@@ -225,14 +225,16 @@ class _Search:
 
     def open_pairs(self, roots: DataFrame, top: int) -> tuple[DataFrame, bool]:
         """Candidates across components that have not been tested, at most `top` a node; whether a node had more."""
-        marked = self.members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        marked = self.members.filter("size > 2").join(roots, "node", "left").select("key", "pivot", "node", F.coalesce("root", "node").alias("root"))
         sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).filter("roots > 1")
         mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("parts"), F.ceil(F.col("most") / CHUNK).alias("blocks"))
         own = marked.join(mixed, "key").join(self.nodes.select("node", F.col("n").alias("count"), "sketch"), "node")
-        # A small bucket is one group. In a large one the members outside the main component fall into parts; a group is a part
+        # Small buckets are searched whole. In a large one the members outside the main component fall into parts; a group is a part
         # with another part or with a block of the main component.
-        whole = own.filter(F.col("size") <= CHUNK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "root", "count", "sketch")
+        columns = ["key", "pivot", "node", "root", "count", "sketch"]
+        whole = own.filter(F.col("size") <= CHUNK).select(*columns).repartition("key").sortWithinPartitions("key", "node")
+        found = whole.mapInArrow(lambda rows: _buckets(rows, top), "a long, b long, cut boolean")
         large = own.filter(F.col("size") > CHUNK).withColumn("other", F.col("root") != F.col("main"))
         large = large.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("parts")).otherwise(F.col("blocks"))).cast("int"))
         parts = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
@@ -240,38 +242,88 @@ class _Search:
             F.transform(parts, lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j"), F.when(k == F.col("at"), 0).when(F.col("at") < k, 1).otherwise(2).alias("side"))),
             F.transform(F.sequence(F.lit(1), F.col("blocks").cast("int")), lambda k: F.struct(F.col("at").alias("i"), (-k).alias("j"), F.lit(1).alias("side"))),
         )).otherwise(F.transform(parts, lambda k: F.struct(k.alias("i"), (-F.col("at") - 1).alias("j"), F.lit(2).alias("side"))))
-        spread = large.select("key", F.explode(ways).alias("w"), "node", "root", "count", "sketch").select("key", "w.i", "w.j", "w.side", "node", "root", "count", "sketch")
-        seen = whole.unionByName(spread).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, top), "a long, b long, cut boolean")
-        seen = Staged(seen, "open").df
+        spread = large.select(*columns, F.explode(ways).alias("w")).select(*columns, "w.i", "w.j", "w.side")
+        blocks = spread.groupBy("key", "i", "j").applyInArrow(lambda t: _blocks(t, top), "a long, b long, cut boolean")
+        seen = Staged(found.unionByName(blocks), "open").df
         cut = not seen.filter("cut").isEmpty()
         fresh = seen.select("a", "b").distinct().join(self.tested, ["a", "b"], "left_anti")
         return Staged(fresh, "pairs").df, cut
 
 
-def _across(group: pa.Table, top: int) -> pa.Table:
-    """Likely pairs of one group across components: side 0 with itself, side 1 with side 2; `top` best a node."""
-    node, root, count, side = (group.column(c).to_numpy() for c in ("node", "root", "count", "side"))
-    regs = _grid(group.column("sketch").combine_chunks())
-    order = np.argsort(node)
-    node, root, count, side, regs = node[order], root[order], count[order], side[order], regs[order]
-    left = np.flatnonzero(side != 2)
-    within = not (side > 0).any()
-    right = left if within else np.flatnonzero(side == 2)
-    found: list[tuple[int, int]] = []
-    cut = False
-    for i in left:
-        j = right[(root[right] != root[i]) & ((right > i) | (not within))]
-        j = j[100 * np.minimum(count[j], count[i]) >= PERCENT * np.maximum(count[j], count[i])]
-        if not len(j):
-            continue
-        est = likely(np.full(len(j), count[i]), count[j], np.broadcast_to(regs[i], (len(j), M)), regs[j])
+def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int) -> tuple[list[tuple[int, int]], bool]:
+    """Of pairs of rows, those that the estimate does not rule out, `top` best for each first row; whether a row had more."""
+    kept = []
+    for k in range(0, len(one), 1 << 15):
+        i, j = one[k : k + (1 << 15)], two[k : k + (1 << 15)]
+        near = np.flatnonzero((t["regs"][i] == t["regs"][j]).sum(1) >= _LEAST_SAME)
+        i, j = i[near], j[near]
+        est = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j])
         good = np.flatnonzero(est >= _LEAST)
-        if len(good) > top:
-            cut = True
-            good = good[np.argsort(-est[good], kind="stable")[:top]]
-        found.extend((int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j[good])
-    a, b = ([p[x] for p in found] for x in (0, 1))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array([cut] * len(a), pa.bool_())})
+        kept.append((i[good], j[good], est[good]))
+    if not kept:
+        return [], False
+    i, j, est = (np.concatenate(x) for x in zip(*kept))
+    order = np.lexsort((j, -est, i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+    own = place < top
+    a, b = t["node"][i[own]], t["node"][j[own]]
+    return list(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))), bool((place >= top).any())
+
+
+def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+    """Pairs of different components, of sizes that allow a link, and without the bucket's pivot, which has been compared with all."""
+    n, m = t["count"][i], t["count"][j]
+    free = (t["node"][i] != t["pivot"][i]) & (t["node"][j] != t["pivot"][j])
+    return free & (t["root"][i] != t["root"][j]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
+def _columns(group: pa.Table) -> dict[str, np.ndarray]:
+    t = {c: group.column(c).to_numpy() for c in ("key", "node", "root", "count", "pivot")}
+    return t | {"regs": _grid(group.column("sketch").combine_chunks())}
+
+
+def _found(pairs: list[tuple[int, int]], cut: bool) -> pa.RecordBatch:
+    a, b = ([p[x] for p in pairs] for x in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cut] * len(a), pa.bool_())], ["a", "b", "cut"])
+
+
+def _buckets(rows: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+    """Pairs within whole buckets, which come sorted by key: all buckets of a batch at once, by the distance of their rows."""
+
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        t = _columns(part)
+        one, two, d = [], [], 1
+        while d < part.num_rows and len(i := np.flatnonzero(t["key"][d:] == t["key"][:-d])):
+            i = i[_fits(i, i + d, t)]
+            one.append(i)
+            two.append(i + d)
+            d += 1
+        return _found(*_best(np.concatenate(one), np.concatenate(two), t, top)) if one else _found([], False)
+
+    held: pa.Table | None = None
+    for batch in rows:
+        part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        key = part.column("key").to_numpy()
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
+        yield pairs(part.slice(0, last))
+        held = part.slice(last)
+    if held is not None:
+        yield pairs(held)
+
+
+def _blocks(group: pa.Table, top: int) -> pa.Table:
+    """Pairs of a part of a large bucket with itself (side 0) or with another part or block (side 1 with side 2)."""
+    t, side = _columns(group), group.column("side").to_numpy()
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
+    one, two = [], []
+    for i in left:
+        j = right if len(right) or (side == 1).any() else left[left > i]
+        j = j[_fits(np.full(len(j), i), j, t)]
+        one.append(np.full(len(j), i))
+        two.append(j)
+    found = _best(np.concatenate(one), np.concatenate(two), t, top) if one else ([], False)
+    return pa.Table.from_batches([_found(*found)])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
