@@ -56,7 +56,7 @@ def majority(answers: DataFrame, *keys: str, answer: str = "answer", order: str
 
 
 def trimmed(ids: Column) -> Column:
-    return F.transform(F.coalesce(ids, F.array().cast("array<string>")), F.trim)
+    return F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.trim(x))
 
 
 def set_equal(a: Column, b: Column) -> Column:

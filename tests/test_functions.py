@@ -20,7 +20,7 @@ def one(spark, **cols):
 
 
 def ring(*xy):
-    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in xy])
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in xy]).cast("array<struct<x:double,y:double>>")
 
 
 def p(x, y):
