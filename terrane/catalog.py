@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import evaluation, network, procedural, spatial
+from terrane.plans import evaluation, network, procedural, spatial, store
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural):
+for _plan in (evaluation, spatial, network, procedural, store):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE

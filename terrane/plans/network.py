@@ -290,11 +290,11 @@ def parse_equipment_id(spark, sf_dir):
 
 
 @query("""SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 10 < 5
-UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 10 >= 5""")
+UNION ALL SELECT event_id, -1 FROM events WHERE event_id % 10 >= 5""")
 def last_json(spark, sf_dir):
     """The last object in free text around it; for half of the rows the text has none."""
     text = F.when(F.col("event_id") % 10 < 5, F.concat(F.lit("thinking {not json} and {\"k\": -1} then "), "props", F.lit(" done"))).otherwise("no object here")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object(tx.last_json(text), "$.k").cast("int").alias("k"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.coalesce(F.get_json_object(tx.last_json(text), "$.k").cast("int"), F.lit(-1)).alias("k"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_name FROM part) SELECT id, CASE WHEN p_name = 'red widget' THEN 1 WHEN contains(lower(p_name), 'widget') THEN 3 END AS tier FROM p WHERE contains(lower(p_name), 'widget')""")
