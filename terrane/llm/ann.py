@@ -30,7 +30,7 @@ NEIGHBOURS = 16
 BALANCE = 2.0
 REPLICATE = 0.05
 REPLICAS = 3
-PRUNE = 0.30
+PRUNE = 0.40
 CHUNK = 4_096
 QUERY_CHUNK = 1_024
 LEAST_VISITS = 8
