@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from terrane.llm.staging import Staged
 
 TOLERANCE = 0.002  # of a shard
-CELLS = 16  # parts of a shard that are sorted on their own
+CELLS = 16  # parts of a shard that are sorted on their own, at least
+CELL_BYTES = 128 << 20  # of a part, in large shards
+MOST_CELLS = 32_768
 PROBES = 1 << 14  # candidate keys a pass
 TOP = 1 << 63
 
@@ -115,15 +117,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: st
     keyed = _keys(docs.select(*names, (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size")), text, key)
     narrow = Staged(keyed.select("hs_k1", "hs_k2", "size"), "keys").df
     total = tuple(narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head())
-    n = shards * CELLS
+    cells = max(CELLS, min(-(-total[0] // shards // CELL_BYTES), MOST_CELLS // shards))
+    n = shards * cells
     targets = [total[0] * i / n for i in range(1, n)]
-    tolerances = [total[0] / shards * (tolerance if i % CELLS == 0 else 0.25 / CELLS) for i in range(1, n)]
+    tolerances = [total[0] / shards * (tolerance if i % cells == 0 else 0.25 / cells) for i in range(1, n)]
     cuts = [((0, 0), 0, 0), *splitters(narrow, total, targets, tolerances)]
     order = sorted(range(n), key=lambda i: (cuts[i][0], i))
     if order != list(range(n)):  # splitters of tiny tables may meet
         cuts = [max(cuts[: i + 1]) for i in range(n)]
     p1, p2 = (np.array([c[0][j] for c in cuts], np.int64) for j in (0, 1))
-    begin = np.array([cuts[i][2] - cuts[i // CELLS * CELLS][2] for i in range(n)], np.int64)
+    begin = np.array([cuts[i][2] - cuts[i // cells * cells][2] for i in range(n)], np.int64)
 
     @F.pandas_udf("struct<cell int, begin long>")
     def cell(k1, k2):
@@ -134,4 +137,4 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", key: st
 
     dealt = keyed.withColumn("hs_at", cell("hs_k1", "hs_k2")).withColumn("hs_cell", F.col("hs_at.cell"))
     place = F.row_number().over(Window.partitionBy("hs_cell").orderBy("hs_k1", "hs_k2", "size"))
-    return dealt.select(*names, "size", F.floor(F.col("hs_cell") / CELLS).cast("int").alias("shard"), (F.col("hs_at.begin") + place - 1).alias("slot"))
+    return dealt.select(*names, "size", F.floor(F.col("hs_cell") / cells).cast("int").alias("shard"), (F.col("hs_at.begin") + place - 1).alias("slot"))

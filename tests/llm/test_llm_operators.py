@@ -111,6 +111,16 @@ def test_shards_of_one_text_are_cut_by_id(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.01 * sum(sizes)
 
 
+def test_large_shards_are_sorted_in_more_parts(docs, monkeypatch):
+    want = sorted(map(repr, sharding.shard_by_bytes(docs, 4).select("doc_id", "size", "shard").collect()))
+    monkeypatch.setattr(sharding, "CELL_BYTES", 1000)
+    got = sharding.shard_by_bytes(docs, 4).select("doc_id", "size", "shard", "slot").collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(want) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_rank_among_probes():
     rng = np.random.default_rng(0)
     p = sorted({(int(a), int(b)) for a, b in rng.integers(0, 6, (20, 2))})
