@@ -7,8 +7,9 @@
 3. Groups of ROWS registers are band keys. Nodes with a common key are candidates. In every bucket all members are first
    compared with one pivot, which is linear in the bucket; what the estimate does not rule out is confirmed on the full sets.
 4. Links give components. Buckets that still hold several components are searched again: members outside the bucket's largest
-   component are compared with all members of other components, in chunks, inside tasks; each node's best TOP partners are
-   confirmed, components are updated, and rounds with more partners follow until no node had more. So a group of copies is
+   component are compared with all members of other components, in chunks, inside tasks; each node's best TOP partners
+   in a bucket are confirmed, components are updated, and rounds with GROWTH times as many follow until no node had more. A
+   pair is judged in its first common band only. So a group of copies is
    joined without listing its pairs, and still no candidate is left unseen.
 5. The estimate maximises the joint likelihood of (registers greater, less, equal) for the known set sizes and is used with a
    margin of MARGIN standard errors; only counts on full sets make a link.
@@ -34,7 +35,9 @@ M = BANDS * ROWS
 B, A, Q = 1.1, 20.0, 254
 MARGIN = 5.0
 CHUNK = 1024
-TOP = 128
+TOP = 1
+GROWTH = 8
+BROADCAST_NODES = 500_000  # of three numbers
 _MUL = np.random.default_rng(20240517).integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(71).integers(0, 2**63, M, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,10 +182,10 @@ class _Search:
         self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
-        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + ROWS * i, ROWS)) for i in range(BANDS)])
-        banded = self.nodes.select("node", F.explode(keys).alias("key"))
+        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", 1 + ROWS * i, ROWS)).alias("key")) for i in range(BANDS)])
+        banded = self.nodes.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
         shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-        self.members = Staged(banded.join(shared, "key").select("key", "size", "pivot", "node"), "members").df
+        self.members = Staged(banded.join(shared, "key").select("key", "band", "size", "pivot", "node"), "members").df
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
@@ -194,7 +197,9 @@ class _Search:
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if self.sets is not None:
             need = need.join(self.sets, "node", "left_anti")
-        wanted = self.nodes.join(need, "node", "left_semi").select("node", "doc_id", "text_key")
+        wanted = Staged(self.nodes.join(need, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted").df
+        if wanted.count() <= BROADCAST_NODES:  # else both sides are dealt by key, and all texts move once
+            wanted = F.broadcast(wanted)
         texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(wanted.doc_id) & (self.docs.text_key == wanted.text_key)).select("node", "text")
         made = Staged(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets").df
         self.sets = made if self.sets is None else self.sets.unionByName(made)
@@ -221,18 +226,18 @@ class _Search:
                 return roots
             if not cut:
                 return components(self.links)
-            top *= 4
+            top *= GROWTH
 
     def open_pairs(self, roots: DataFrame, top: int) -> tuple[DataFrame, bool]:
         """Candidates across components that have not been tested, at most `top` a node; whether a node had more."""
-        marked = self.members.filter("size > 2").join(roots, "node", "left").select("key", "pivot", "node", F.coalesce("root", "node").alias("root"))
+        marked = self.members.filter("size > 2").join(roots, "node", "left").select("key", "band", "pivot", "node", F.coalesce("root", "node").alias("root"))
         sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).filter("roots > 1")
         mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("parts"), F.ceil(F.col("most") / CHUNK).alias("blocks"))
         own = marked.join(mixed, "key").join(self.nodes.select("node", F.col("n").alias("count"), "sketch"), "node")
         # Small buckets are searched whole. In a large one the members outside the main component fall into parts; a group is a part
         # with another part or with a block of the main component.
-        columns = ["key", "pivot", "node", "root", "count", "sketch"]
+        columns = ["key", "band", "pivot", "node", "root", "count", "sketch"]
         whole = own.filter(F.col("size") <= CHUNK).select(*columns).repartition("key").sortWithinPartitions("key", "node")
         found = whole.mapInArrow(lambda rows: _buckets(rows, top), "a long, b long, cut boolean")
         large = own.filter(F.col("size") > CHUNK).withColumn("other", F.col("root") != F.col("main"))
@@ -255,7 +260,9 @@ def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int)
     kept = []
     for k in range(0, len(one), 1 << 15):
         i, j = one[k : k + (1 << 15)], two[k : k + (1 << 15)]
-        near = np.flatnonzero((t["regs"][i] == t["regs"][j]).sum(1) >= _LEAST_SAME)
+        same = t["regs"][i] == t["regs"][j]
+        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)  # a pair is judged in its first common band alone
+        near = np.flatnonzero((first == t["band"][i]) & (same.sum(1) >= _LEAST_SAME))
         i, j = i[near], j[near]
         est = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j])
         good = np.flatnonzero(est >= _LEAST)
@@ -279,7 +286,7 @@ def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _columns(group: pa.Table) -> dict[str, np.ndarray]:
-    t = {c: group.column(c).to_numpy() for c in ("key", "node", "root", "count", "pivot")}
+    t = {c: group.column(c).to_numpy() for c in ("key", "band", "node", "root", "count", "pivot")}
     return t | {"regs": _grid(group.column("sketch").combine_chunks())}
 
 
