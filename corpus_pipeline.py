@@ -13,6 +13,7 @@ from terrane.llm import lines, mixing, neardup, packing, quality, tokens
 from terrane.llm.staging import Staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_PERCENT = 80  # op8 has a contract of its own
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate component, the one with the smallest doc_id; rows equal in doc_id and text count once."""
+    """One document of every component of near-duplicates (overlap of five-word shingles NEAR_PERCENT or more), the one with the
+    smallest doc_id; rows equal in doc_id and text count once."""
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")).alias("nd_key")
-    kept = neardup.near_duplicates(docs).filter("kept").select(key, "text_key")
+    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(key, "text_key")
     keyed = docs.select(*COLUMNS, key, F.xxhash64("text").alias("text_key"))
     return keyed.join(kept, ["nd_key", "text_key"], "left_semi").dropDuplicates(["nd_key", "text_key"]).select(*COLUMNS)
 

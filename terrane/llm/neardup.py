@@ -4,8 +4,9 @@
    floor(1 - log_B(h)) over the set, where h is exponential with rate A and drawn by (register, shingle): exponentially spaced,
    truncated minima. Sketches of parts merge by maximum, and equal registers are likely in proportion to the overlap.
 2. Texts with equal sets form one class, kept as one node; copies take no further part until the end.
-3. Groups of ROWS registers are band keys. Nodes with a common key are candidates. In every bucket all members are first
-   compared with one pivot, which is linear in the bucket; what the estimate does not rule out is confirmed on the full sets.
+3. Groups of registers are band keys, in bands by which a pair at the threshold is missed with a chance below MISS. Nodes with
+   a common key are candidates. In every bucket all members are first compared with one pivot, which is linear in the bucket;
+   what the estimate does not rule out is confirmed on the full sets.
 4. Links give components. Buckets that still hold several components are searched again: members outside the bucket's largest
    component are compared with all members of other components, in chunks, inside tasks; each node's best TOP partners
    in a bucket are confirmed, components are updated, and rounds with GROWTH times as many follow until no node had more. A
@@ -20,6 +21,8 @@ Components come from large-star and small-star steps on the links. Sets are buil
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from terrane.llm.staging import Staged
 
 WORDS = 5
 PERCENT = 85
-BANDS, ROWS = 30, 6
-M = BANDS * ROWS
+M = 180
+MISS = 1e-6
 B, A, Q = 1.1, 20.0, 254
 MARGIN = 5.0
 CHUNK = 1024
@@ -97,15 +100,52 @@ def estimate(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray)
     return (lo + hi) / 2
 
 
-#: No pair with fewer equal registers has an estimate of _LEAST, for any set sizes; counting them is cheaper than the estimate.
-_LEAST_SAME = int(0.6 * M)
-_LEAST = PERCENT / 100 - MARGIN * float(np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / M))
+@dataclass(frozen=True)
+class Limit:
+    """What follows from the least overlap of a link, in per cent."""
 
+    percent: int
 
-def likely(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    def miss(self, rows: int) -> float:
+        """Chance that a pair at the threshold has no common band of so many registers, for the set sizes that make it largest."""
+        same = 1 + float(np.log1p(-(1 - self.percent / 100) * (B - 1) / B) / np.log(B))
+        return (1 - same**rows) ** (M // rows)
+
+    @cached_property
+    def rows(self) -> int:
+        """Registers in a band: the most by which few enough pairs are missed."""
+        return max((r for r in range(1, M + 1) if M % r == 0 and self.miss(r) < MISS), default=1)
+
+    @property
+    def bands(self) -> int:
+        return M // self.rows
+
+    @cached_property
+    def least(self) -> float:
+        """The least estimate that does not rule a link out."""
+        j = self.percent / 100
+        return j - MARGIN * float(np.sqrt(j * (1 - j) / M))
+
+    @cached_property
+    def least_same(self) -> int:
+        """No pair with fewer equal registers has an estimate of `least`, for any set sizes; counting them is cheaper than the
+        estimate. Searched over all registers and a grid of sizes, and lowered by a twentieth for the sizes between."""
+        sizes = np.linspace(self.percent / 100, 1, 11)
+        for same in range(M, 0, -1):
+            more, n = np.repeat(np.arange(M - same + 1), len(sizes)), np.tile(sizes, M - same + 1)
+            if estimate(np.ones_like(n), n, more, M - same - more).max() < self.least:
+                return int(0.95 * (same + 1))
+        return 0
+
+    def sizes(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether set sizes allow a link."""
+        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+
+
+def likely(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, limit: Limit) -> np.ndarray:
     """Estimates of pairs; -1 where set sizes rule a link out."""
     out = np.full(len(na), -1.0)
-    fit = np.flatnonzero((100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.minimum(na, nb) > 0))
+    fit = np.flatnonzero(limit.sizes(na, nb) & (np.minimum(na, nb) > 0))
     if len(fit):
         out[fit] = estimate(na[fit].astype(float), nb[fit].astype(float), (sa[fit] > sb[fit]).sum(1), (sa[fit] < sb[fit]).sum(1))
     return out
@@ -139,11 +179,11 @@ def _grid(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), M)
 
 
-def _screen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, na, nb, sa, sb) that the estimate does not rule out."""
     for batch in rows:
         na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        keep = likely(na, nb, _grid(batch.column(4)), _grid(batch.column(5))) >= _LEAST
+        keep = likely(na, nb, _grid(batch.column(4)), _grid(batch.column(5)), limit) >= limit.least
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -172,7 +212,8 @@ def components(links: DataFrame) -> DataFrame:
 class _Search:
     """The nodes of a corpus and the links confirmed so far."""
 
-    def __init__(self, docs: DataFrame, text: str, key: str):
+    def __init__(self, docs: DataFrame, text: str, key: str, percent: int):
+        self.limit = Limit(percent)
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
         numbered = self.docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text_key", "text")
         self.rows = Staged(numbered.mapInArrow(_nodes, NODE), "nodes").df
@@ -182,7 +223,7 @@ class _Search:
         self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
-        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", 1 + ROWS * i, ROWS)).alias("key")) for i in range(BANDS)])
+        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", 1 + self.limit.rows * i, self.limit.rows)).alias("key")) for i in range(self.limit.bands)])
         banded = self.nodes.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
         shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
         self.members = Staged(banded.join(shared, "key").select("key", "band", "size", "pivot", "node"), "members").df
@@ -190,7 +231,8 @@ class _Search:
     def screened(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
         wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-        return wide.mapInArrow(_screen, "a long, b long")
+        limit = self.limit
+        return wide.mapInArrow(lambda rows: _screen(rows, limit), "a long, b long")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Counts the overlap of pairs (a written table) on full sets and adds the links."""
@@ -206,7 +248,7 @@ class _Search:
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias("s" + x))
         common = F.size(F.array_intersect("sa", "sb"))
         counted = pairs.join(side("b"), "b").join(side("a"), "a")
-        counted = counted.select("a", "b", (100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).alias("linked"))
+        counted = counted.select("a", "b", (100 * common >= self.limit.percent * (F.size("sa") + F.size("sb") - common)).alias("linked"))
         counted = Staged(counted, "confirmed").df
         self.tested = counted.select("a", "b") if self.tested is None else self.tested.unionByName(counted.select("a", "b"))
         links = counted.filter("linked").select("a", "b")
@@ -234,12 +276,13 @@ class _Search:
         sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).filter("roots > 1")
         mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("parts"), F.ceil(F.col("most") / CHUNK).alias("blocks"))
+        limit = self.limit
         own = marked.join(mixed, "key").join(self.nodes.select("node", F.col("n").alias("count"), "sketch"), "node")
         # Small buckets are searched whole. In a large one the members outside the main component fall into parts; a group is a part
         # with another part or with a block of the main component.
         columns = ["key", "band", "pivot", "node", "root", "count", "sketch"]
         whole = own.filter(F.col("size") <= CHUNK).select(*columns).repartition("key").sortWithinPartitions("key", "node")
-        found = whole.mapInArrow(lambda rows: _buckets(rows, top), "a long, b long, cut boolean")
+        found = whole.mapInArrow(lambda rows: _buckets(rows, top, limit), "a long, b long, cut boolean")
         large = own.filter(F.col("size") > CHUNK).withColumn("other", F.col("root") != F.col("main"))
         large = large.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("parts")).otherwise(F.col("blocks"))).cast("int"))
         parts = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
@@ -248,24 +291,24 @@ class _Search:
             F.transform(F.sequence(F.lit(1), F.col("blocks").cast("int")), lambda k: F.struct(F.col("at").alias("i"), (-k).alias("j"), F.lit(1).alias("side"))),
         )).otherwise(F.transform(parts, lambda k: F.struct(k.alias("i"), (-F.col("at") - 1).alias("j"), F.lit(2).alias("side"))))
         spread = large.select(*columns, F.explode(ways).alias("w")).select(*columns, "w.i", "w.j", "w.side")
-        blocks = spread.groupBy("key", "i", "j").applyInArrow(lambda t: _blocks(t, top), "a long, b long, cut boolean")
+        blocks = spread.groupBy("key", "i", "j").applyInArrow(lambda t: _blocks(t, top, limit), "a long, b long, cut boolean")
         seen = Staged(found.unionByName(blocks), "open").df
         cut = not seen.filter("cut").isEmpty()
         fresh = seen.select("a", "b").distinct().join(self.tested, ["a", "b"], "left_anti")
         return Staged(fresh, "pairs").df, cut
 
 
-def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int) -> tuple[list[tuple[int, int]], bool]:
+def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int, limit: Limit) -> tuple[list[tuple[int, int]], bool]:
     """Of pairs of rows, those that the estimate does not rule out, `top` best for each first row; whether a row had more."""
     kept = []
     for k in range(0, len(one), 1 << 15):
         i, j = one[k : k + (1 << 15)], two[k : k + (1 << 15)]
         same = t["regs"][i] == t["regs"][j]
-        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1)  # a pair is judged in its first common band alone
-        near = np.flatnonzero((first == t["band"][i]) & (same.sum(1) >= _LEAST_SAME))
+        first = same.reshape(-1, limit.bands, limit.rows).all(2).argmax(1)  # a pair is judged in its first common band alone
+        near = np.flatnonzero((first == t["band"][i]) & (same.sum(1) >= limit.least_same))
         i, j = i[near], j[near]
-        est = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j])
-        good = np.flatnonzero(est >= _LEAST)
+        est = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j], limit)
+        good = np.flatnonzero(est >= limit.least)
         kept.append((i[good], j[good], est[good]))
     if not kept:
         return [], False
@@ -278,11 +321,11 @@ def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int)
     return list(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))), bool((place >= top).any())
 
 
-def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray], limit: Limit) -> np.ndarray:
     """Pairs of different components, of sizes that allow a link, and without the bucket's pivot, which has been compared with all."""
     n, m = t["count"][i], t["count"][j]
     free = (t["node"][i] != t["pivot"][i]) & (t["node"][j] != t["pivot"][j])
-    return free & (t["root"][i] != t["root"][j]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    return free & (t["root"][i] != t["root"][j]) & limit.sizes(n, m)
 
 
 def _columns(group: pa.Table) -> dict[str, np.ndarray]:
@@ -295,18 +338,18 @@ def _found(pairs: list[tuple[int, int]], cut: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cut] * len(a), pa.bool_())], ["a", "b", "cut"])
 
 
-def _buckets(rows: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+def _buckets(rows: Iterator[pa.RecordBatch], top: int, limit: Limit) -> Iterator[pa.RecordBatch]:
     """Pairs within whole buckets, which come sorted by key: all buckets of a batch at once, by the distance of their rows."""
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         t = _columns(part)
         one, two, d = [], [], 1
         while d < part.num_rows and len(i := np.flatnonzero(t["key"][d:] == t["key"][:-d])):
-            i = i[_fits(i, i + d, t)]
+            i = i[_fits(i, i + d, t, limit)]
             one.append(i)
             two.append(i + d)
             d += 1
-        return _found(*_best(np.concatenate(one), np.concatenate(two), t, top)) if one else _found([], False)
+        return _found(*_best(np.concatenate(one), np.concatenate(two), t, top, limit)) if one else _found([], False)
 
     held: pa.Table | None = None
     for batch in rows:
@@ -319,29 +362,31 @@ def _buckets(rows: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatc
         yield pairs(held)
 
 
-def _blocks(group: pa.Table, top: int) -> pa.Table:
+def _blocks(group: pa.Table, top: int, limit: Limit) -> pa.Table:
     """Pairs of a part of a large bucket with itself (side 0) or with another part or block (side 1 with side 2)."""
     t, side = _columns(group), group.column("side").to_numpy()
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
     one, two = [], []
     for i in left:
         j = right if len(right) or (side == 1).any() else left[left > i]
-        j = j[_fits(np.full(len(j), i), j, t)]
+        j = j[_fits(np.full(len(j), i), j, t, limit)]
         one.append(np.full(len(j), i))
         two.append(j)
-    found = _best(np.concatenate(one), np.concatenate(two), t, top) if one else ([], False)
+    found = _best(np.concatenate(one), np.concatenate(two), t, top, limit) if one else ([], False)
     return pa.Table.from_batches([_found(*found)])
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, text_key (hash of the text), n_shingles, component_id, kept.
 
+    Texts whose shingle sets overlap by `percent` or more (intersection by union) are linked.
+
     component_id is the smallest doc_id reachable over links, the row's own where it has none; null only where no row of the
     component has an id. kept: doc_id = component_id (nulls equal). Null, empty and blank texts have no shingles and are
     linked with nothing. Rows with equal ids are rows of their own, so several may be kept. Other columns are not read. An
     empty table gives an empty one.
     """
-    search = _Search(docs, text, key)
+    search = _Search(docs, text, key, percent)
     roots = search.run()
     named = search.nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -415,6 +415,44 @@ def test_chains_and_groups_of_near_copies(spark, monkeypatch):
     assert near(spark, rows) == want
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    """Pairs at 0.80 to 0.85 are linked at 80, also in the pipeline's stage, and not at 85."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, linked = [], {80: set(), 85: set()}
+    for i in range(40):
+        text = [word() for _ in range(204)]
+        other = text[:]
+        for k in range(4 + i % 3):  # every change costs five shingles of 200: overlaps 0.82, 0.78 and 0.74
+            other[20 + 30 * k] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        a, b = _shingles(rows[-2][1]), _shingles(rows[-1][1])
+        for percent, ids in linked.items():
+            if 100 * len(a & b) >= percent * len(a | b):
+                ids.add(2 * i + 1)
+    assert linked[80] and not linked[85]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent, ids in linked.items():
+        assert {r.doc_id for r in neardup.near_duplicates(d, percent=percent).filter("not kept").collect()} == ids
+    whole = d.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, whole, "").collect()} == {r[0] for r in rows} - linked[80]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_limits_follow_from_the_threshold(percent):
+    """Bands miss a pair at the threshold with a chance below 10^-6; no estimate that counts is ruled out by equal registers."""
+    limit, m = neardup.Limit(percent), neardup.M
+    assert limit.rows * limit.bands == m
+    for r in np.linspace(percent / 100, 1, 40):
+        u, v, j = 1 / (1 + r), r / (1 + r), percent / 100
+        p = lambda x: -np.log1p(-max(x, 0) * (neardup.B - 1) / neardup.B) / np.log(neardup.B)
+        assert (1 - (1 - p(u - v * j) - p(v - u * j)) ** limit.rows) ** limit.bands < 1e-6
+    n = np.linspace(percent / 100, 1, 31)
+    for same in range(limit.least_same):
+        more, size = np.repeat(np.arange(m - same + 1), len(n)), np.tile(n, m - same + 1)
+        assert (neardup.estimate(size, np.ones_like(size), more, m - same - more) < limit.least).all()
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(9)
     x = rng.integers(0, 2**63, 1200, dtype=np.uint64)
