@@ -9,7 +9,8 @@ Index: every vector goes to its nearest centroid's list, and boundary vectors al
 stored in chunks of bounded size, so a list that a very common vector fills is spread over tasks.
 
 Search: a query visits every list whose centroid is within PRUNE of its nearest centroid. In unstructured data (distances all
-alike) that is most lists, and the search is then close to exact; in clustered data it is few.
+alike) that is most lists, and the search is then close to exact; in clustered data it is few. Where these lists do not surely
+hold k other vectors (a query on or next to the centroid of few), the bound is taken from the distance at which lists do.
 """
 
 from __future__ import annotations
@@ -98,6 +99,17 @@ class CentroidGraph:
         kept = sorted(p for p in done if p[0] <= best * (1 + ratio))
         return np.array([k for _, k in kept], np.int64), np.array([d for d, _ in kept])
 
+    def enough(self, v: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Centroids within (1 + ratio) of the nearest; if their lists hold fewer than `least` vectors, within (1 + ratio) of the
+        one with which the nearest lists hold so many. All centroids if they never do."""
+        found = self.search(v, ratio)[0]
+        if sizes[found].sum() >= least:
+            return found
+        d = np.sqrt(((self.c - v) ** 2).sum(1))
+        order = np.argsort(d, kind="stable")
+        last = int(np.searchsorted(np.cumsum(sizes[order]), least))
+        return order if last >= len(order) else order[: int(np.searchsorted(d[order], d[order[last]] * (1 + ratio), "right"))]
+
     def lists_of(self, v: np.ndarray) -> list[int]:
         """The lists that store a vector."""
         at, d = self.search(v, REPLICATE)
@@ -122,28 +134,36 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _assign(rows: Iterator[pa.RecordBatch], graph: CentroidGraph, search: bool) -> Iterator[pa.RecordBatch]:
+def _assign(rows: Iterator[pa.RecordBatch], graph: CentroidGraph, sizes: np.ndarray | None = None, k: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows by list: those that store them, the nearest as `own`, or with sizes (ids of own rows by list) those that a query visits."""
     dim = graph.c.shape[1]
     for batch in rows:
         x, ids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
-        where = [graph.search(v, PRUNE)[0].tolist() if search else graph.lists_of(v) for v in x]
+        where = [graph.lists_of(v) if sizes is None else graph.enough(v, PRUNE, sizes, k + 1).tolist() for v in x]
         row = np.repeat(np.arange(len(x)), [len(w) for w in where])
-        lists = np.array([k for w in where for k in w], np.int32)
+        lists = np.array([at for w in where for at in w], np.int32)
+        own = np.array([not place for w in where for place in range(len(w))], bool)
         for i in range(0, len(row), 4096):
             r = row[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 4096]), pa.array(ids[r]), pa.array([x[k].tobytes() for k in r], pa.binary())], ["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 4096]), pa.array(ids[r]), pa.array([x[at].tobytes() for at in r], pa.binary()), pa.array(own[i : i + 4096])], ["list", "vec_id", "v", "own"])
 
 
 def nearest_in(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, exact distances) of the k nearest other vectors; ties to the smaller id."""
+    """(query id, ids, exact distances) of the k nearest other vectors; ties to the smaller id, and of rows with one id the nearest."""
     for i in range(0, len(q), 64):
         rough = _distances(q[i : i + 64], x)
         for r, row in enumerate(rough):
             row[ids == q_ids[i + r]] = np.inf
-            top = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            at = np.flatnonzero((row <= top + 1e-6 * (1 + abs(top))) & np.isfinite(row)) if np.isfinite(top) else np.flatnonzero(np.isfinite(row))
-            exact = np.sqrt(((x[at] - q[i + r]) ** 2).sum(1))
-            best = np.lexsort((ids[at], exact))[:k]
+            rows = k
+            while True:
+                top = np.partition(row, rows - 1)[rows - 1] if len(row) > rows else np.inf
+                at = np.flatnonzero((row <= top + 1e-6 * (1 + abs(top))) & np.isfinite(row)) if np.isfinite(top) else np.flatnonzero(np.isfinite(row))
+                exact = np.sqrt(((x[at] - q[i + r]) ** 2).sum(1))
+                order = np.lexsort((ids[at], exact))
+                best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]]
+                if len(best) == k or rows >= len(row):
+                    break
+                rows *= 2  # an id stood on several of these rows
             yield int(q_ids[i + r]), ids[at][best], exact[best]
 
 
@@ -178,10 +198,13 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec
     x = _matrix(sample.column("v").combine_chunks(), dim)
     count = int(min(LISTS, max(1, len(x) // 8), max(8, np.sqrt(n) / 2)))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, count)))
-    placed = "list int, vec_id long, v binary"
-    lists = Staged(rows.mapInArrow(lambda b: _assign(b, graph.value, False), placed), "postings").df
+    placed = "list int, vec_id long, v binary, own boolean"
+    lists = Staged(rows.mapInArrow(lambda b: _assign(b, graph.value), placed), "postings").df
+    holds = np.zeros(len(graph.value.c), np.int64)
+    for r in lists.filter("own").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().toLocalIterator():  # a row per list
+        holds[r["list"]] = r["count"]
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    probes = Staged(asked.mapInArrow(lambda b: _assign(b, graph.value, True), placed), "probes").df
+    probes = Staged(asked.mapInArrow(lambda b: _assign(b, graph.value, holds, k), placed), "probes").df
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row per list
     asks = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("asks"))
     both = F.broadcast(sizes.join(asks, "list"))

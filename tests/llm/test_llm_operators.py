@@ -563,6 +563,38 @@ def test_search_finds_the_nearest(spark):
     assert hits >= 0.95 * 10 * len(got)
 
 
+def test_queries_on_a_centroid_find_enough(spark):
+    """Far groups of four copies own their centroids, and an id stands on many rows; each query still finds ten, nearly the nearest."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 4000)] * 5 + rng.normal(size=(4000, 8)) * 0.1
+    far = rng.normal(size=(10, 8)) * 1000
+    for g in range(10):
+        x[400 * g : 400 * g + 4] = far[g]
+    ids = np.arange(4000)
+    ids[801:804] = 800
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(d).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 4000, 100))
+    hits = 0
+    for q, found in got.items():
+        assert sorted(f[0] for f in found) == list(range(1, 11))
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, dist)) if ids[i] != q][:10]
+        hits += len({f[1] for f in found} & set(ids[order].tolist()))
+    assert hits >= 0.95 * 10 * len(got)
+
+
+def test_lists_are_added_until_they_hold_enough():
+    c = np.array([[0.0], [1.0], [1.3], [2.0], [9.0]])
+    graph = ann.CentroidGraph(c)
+    sizes = np.array([1, 50, 50, 50, 50])
+    assert graph.enough(np.array([0.0]), 0.4, sizes, 1).tolist() == [0]
+    assert graph.enough(np.array([0.0]), 0.4, sizes, 11).tolist() == [0, 1, 2]
+    assert graph.enough(np.array([0.0]), 0.4, sizes, 1000).tolist() == [0, 1, 2, 3, 4]
+
+
 def test_few_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(d).orderBy("rank").collect()] == [(0, 1, 7), (0, 2, 1)]
