@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm.staging import Staged
 
-RATIO = 0.10
-LEAST_PAGES = 5
+RATIO = 0.02  # repeated lines stand on more, chance repeats of one word on less (README)
+LEAST_PAGES = 3  # two copies of a page alone make no boilerplate
 BROADCAST_LINES = 200_000  # of 8 bytes each
 SALTS = 64
 BLANK = " \t\r\u000b\f"

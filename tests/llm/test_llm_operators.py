@@ -85,6 +85,16 @@ def test_boilerplate_lines(docs, rows):
     assert bad and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_default_limits_find_rarer_lines_and_small_hosts(spark):
+    """A line on 3 % of a site goes and one on 1 % stays; a line on all of three or four pages goes, one on two pages stays."""
+    rows = [(i, f"page {i}" + ("\nmenu" if i % 33 == 0 else "") + ("\nchance" if i % 100 == 1 else ""), "large") for i in range(400)]
+    rows += [(1000 * n + i, f"own {n} {i}\nfooter", f"host{n}") for n in (2, 3, 4) for i in range(n)]
+    out = lines.drop_boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    text = {r.doc_id: r.text for r in out}
+    want = {i: t.replace("\nmenu", "") if s == "large" else t if s == "host2" else t.replace("\nfooter", "") for i, t, s in rows}
+    assert text == want
+
+
 def test_salted_join_gives_the_same(docs, monkeypatch):
     one = sorted(map(repr, lines.drop_boilerplate_lines(docs, ratio=0.05, least_pages=3).collect()))
     monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
