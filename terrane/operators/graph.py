@@ -60,12 +60,14 @@ def trace_up(starts: DataFrame, cables: DataFrame, hops: int = 20) -> DataFrame:
     return done.unionByName(walk.select("id", "path"))
 
 
-def shortest(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
+def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
     """(start, id, cost, previous): least cost from each start over directed edges (source, target, cost >= 0), ties to the
-    smaller previous node. Only nodes improved in the last round are relaxed again."""
+    smaller previous node. Only nodes improved in the last round are relaxed again, until none is; a bound of rounds that is hit
+    before is an error."""
     best = _settled(starts.select("start", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("previous")))
     front = best
-    for _ in range(rounds):
+    done = 0
+    while True:
         reached = front.select("start", F.col("id").alias("source"), F.col("cost").alias("base")).join(edges, "source")
         offers = reached.select("start", F.col("target").alias("id"), (F.col("base") + F.col("cost")).alias("cost"), F.col("source").alias("previous"))
         offers = offers.groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*")
@@ -73,8 +75,10 @@ def shortest(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFra
         front = _settled(offers.join(known, ["start", "id"], "left").filter("known IS NULL OR cost < known").drop("known"))
         if front.isEmpty():
             return best
+        if done == rounds:
+            raise RuntimeError(f"shortest paths are not final after {rounds} rounds")
+        done += 1
         best = _settled(best.unionByName(front).groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*"))
-    return best
 
 
 def closest_between(nodes: DataFrame, membership: DataFrame, metres: float = 100.0) -> DataFrame:

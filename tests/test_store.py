@@ -47,3 +47,13 @@ def test_executor(spark):
 def test_executor_caps_lines(spark):
     text = "\n".join(['{"op": "dist", "a": [0,0], "b": [0,0]}'] * 70)
     assert ex.parse(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")).count() == ex.MOST_LINES
+
+
+def test_shortest_paths_are_whole_or_an_error(spark):
+    from terrane.operators import graph
+
+    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(5)], "source string, target string, cost double")
+    starts = spark.createDataFrame([("0",)], "start string")
+    assert {(r.id, r.cost) for r in graph.shortest(edges, starts).collect()} == {(str(i), float(i)) for i in range(6)}
+    with pytest.raises(RuntimeError):
+        graph.shortest(edges, starts, rounds=3)
