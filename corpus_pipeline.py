@@ -62,7 +62,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Robust distances and token ids are beyond SQL; tests hold each stage against a plain version.
+#: Robust distances and token ids are beyond SQL; tests hold the operators against plain versions.
 ORACLE_SQL = None
 
 
