@@ -5,16 +5,19 @@
    truncated minima. Sketches of parts merge by maximum, and equal registers are likely in proportion to the overlap.
 2. Texts with equal sets form one class, kept as one node; copies take no further part until the end.
 3. Groups of registers are band keys, in bands by which a pair at the threshold is missed with a chance below MISS. Nodes with
-   a common key are candidates. In every bucket all members are first compared with one pivot, which is linear in the bucket;
-   what the estimate does not rule out is confirmed on the full sets.
-4. Links give components. Buckets that still hold several components are searched again: members outside the bucket's largest
-   component are compared with all members of other components, in chunks, inside tasks; each node's best TOP partners
-   in a bucket are confirmed, components are updated, and rounds with GROWTH times as many follow until no node had more. A
-   pair is judged in its first common band only. So a group of copies is
-   joined without listing its pairs, and still no candidate is left unseen.
+   a common key are candidates. In every bucket all members are first compared with one pivot, which is linear in the bucket:
+   what the estimate does not rule out is counted on the full sets, with the pivot's set sent once for PIVOT_ROWS members.
+4. These links give components. Buckets that still hold several components are searched on sketches: every pair across
+   components is judged in its first common band, and nodes with a partner that the estimate does not rule out stay open. Only
+   they are compared on full sets, all pairs of a bucket at once inside a task, by counts over their common shingles. A task
+   gives the links that join two components in its view, fewer than it has nodes, and never a list of pairs.
 5. The estimate maximises the joint likelihood of (registers greater, less, equal) for the known set sizes and is used with a
    margin of MARGIN standard errors; only counts on full sets make a link.
 
+A bucket beyond CHUNK nodes (or VOLUME shingles) is dealt in parts, and a task takes two of them, so memory is bounded and no
+pair is left out. Only members outside the bucket's largest component are compared with all, so a group whose members mostly
+reach each other costs little; one whose members mostly do not costs its square within the tasks, though not in rows.
+
 Components come from large-star and small-star steps on the links. Sets are built only for nodes that have a candidate.
 """
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.staging import Staged
+from terrane.llm.staging import Staged, scratch
 
 WORDS = 5
 PERCENT = 85
@@ -37,9 +40,10 @@ M = 180
 MISS = 1e-6
 B, A, Q = 1.1, 20.0, 254
 MARGIN = 5.0
-CHUNK = 1024
-TOP = 1
-GROWTH = 8
+CHUNK = 1024  # nodes of a part
+VOLUME = 1 << 20  # shingles of a part, or one node's
+PIVOT_ROWS = 512
+DENSE = 8  # a shingle of more nodes is counted by matrices
 BROADCAST_NODES = 500_000  # of three numbers
 _MUL = np.random.default_rng(20240517).integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(71).integers(0, 2**63, M, dtype=np.uint64)
@@ -180,15 +184,15 @@ def _grid(column: pa.Array) -> np.ndarray:
 
 
 def _screen(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, sa, sb) that the estimate does not rule out."""
+    """Pairs (a, b, salt, na, nb, sa, sb) that the estimate does not rule out."""
     for batch in rows:
-        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        keep = likely(na, nb, _grid(batch.column(4)), _grid(batch.column(5)), limit) >= limit.least
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        keep = likely(na, nb, _grid(batch.column(5)), _grid(batch.column(6)), limit) >= limit.least
+        yield batch.select(["a", "b", "salt"]).filter(pa.array(keep))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node reachable. links: a written table."""
+    """(node, root) for every node of the links (a, b): root is the smallest node reachable."""
     edges = Staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -210,115 +214,169 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """The nodes of a corpus and the links confirmed so far."""
+    """The nodes of a corpus and the links between them."""
 
     def __init__(self, docs: DataFrame, text: str, key: str, percent: int):
         self.limit = Limit(percent)
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
         numbered = self.docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text_key", "text")
         self.rows = Staged(numbered.mapInArrow(_nodes, NODE), "nodes").df
+        self.repeats = not self.rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
         first = F.min_by(F.struct("uid", "doc_id", "text_key", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
         classes = self.rows.filter("n > 0").groupBy("sig").agg(first.alias("f"), F.first("n").alias("n"))
         self.nodes = Staged(classes.select("sig", F.col("f.uid").alias("node"), "f.doc_id", "f.text_key", "f.sketch", "n"), "classes").df
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
         keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", 1 + self.limit.rows * i, self.limit.rows)).alias("key")) for i in range(self.limit.bands)])
         banded = self.nodes.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
         shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
         self.members = Staged(banded.join(shared, "key").select("key", "band", "size", "pivot", "node"), "members").df
 
-    def screened(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, need: DataFrame) -> Staged:
+        """(node, set) of the nodes named in need."""
+        wanted = Staged(self.nodes.join(need.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key"), "wanted")
+        own = wanted.df
+        if own.count() <= BROADCAST_NODES:  # else both sides are dealt by key, and all texts move once
+            own = F.broadcast(own)
+        texts = self.docs.join(own, self.docs.doc_id.eqNullSafe(own.doc_id) & (self.docs.text_key == own.text_key)).select("node", "text")
+        made = texts.mapInArrow(_sets, "node long, set array<long>")
+        made = Staged(made.dropDuplicates(["node"]) if self.repeats else made, "sets")
+        wanted.drop()
+        return made
+
+    def pivot_links(self) -> Staged:
+        """Links of all nodes with the pivots of their buckets."""
+        limit = self.limit
+        pairs = self.members.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PIVOT_ROWS)).cast("int").alias("salt"))
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-        wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+        wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "salt", "na", "nb", "sa", "sb")
+        near = Staged(wide.mapInArrow(lambda rows: _screen(rows, limit), "a long, b long, salt int"), "pairs")
+        sets = self.sets(near.df.select(F.explode(F.array("a", "b")).alias("node")))
+        others = near.df.join(sets.df.withColumnRenamed("node", "b"), "b").select("a", "salt", F.col("b").alias("node"), "set")
+        pivots = near.df.select("a", "salt").distinct().join(sets.df.withColumnRenamed("node", "a"), "a").select("a", "salt", F.col("a").alias("node"), "set")
+        groups = others.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"))
+        links = Staged(groups.mapInArrow(lambda rows: _stars(rows, limit), "a long, b long"), "links")
+        near.drop()
+        sets.drop()
+        return links
+
+    def open_nodes(self, roots: DataFrame) -> Staged:
+        """(key, node, root, main): members of buckets with several components that have a likely partner in another one."""
         limit = self.limit
-        return wide.mapInArrow(lambda rows: _screen(rows, limit), "a long, b long")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Counts the overlap of pairs (a written table) on full sets and adds the links."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            need = need.join(self.sets, "node", "left_anti")
-        wanted = Staged(self.nodes.join(need, "node", "left_semi").select("node", "doc_id", "text_key"), "wanted").df
-        if wanted.count() <= BROADCAST_NODES:  # else both sides are dealt by key, and all texts move once
-            wanted = F.broadcast(wanted)
-        texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(wanted.doc_id) & (self.docs.text_key == wanted.text_key)).select("node", "text")
-        made = Staged(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets").df
-        self.sets = made if self.sets is None else self.sets.unionByName(made)
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias("s" + x))
-        common = F.size(F.array_intersect("sa", "sb"))
-        counted = pairs.join(side("b"), "b").join(side("a"), "a")
-        counted = counted.select("a", "b", (100 * common >= self.limit.percent * (F.size("sa") + F.size("sb") - common)).alias("linked"))
-        counted = Staged(counted, "confirmed").df
-        self.tested = counted.select("a", "b") if self.tested is None else self.tested.unionByName(counted.select("a", "b"))
-        links = counted.filter("linked").select("a", "b")
-        self.links = links if self.links is None else self.links.unionByName(links)
-
-    def run(self) -> DataFrame:
-        """(node, root) of all nodes that have a link."""
-        pairs = self.members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        self.confirm(Staged(self.screened(pairs), "pairs").df)
-        top = TOP
-        while True:
-            roots = components(self.links)
-            more, cut = self.open_pairs(roots, top)
-            if not more.isEmpty():
-                self.confirm(more)
-            elif not cut:
-                return roots
-            if not cut:
-                return components(self.links)
-            top *= GROWTH
-
-    def open_pairs(self, roots: DataFrame, top: int) -> tuple[DataFrame, bool]:
-        """Candidates across components that have not been tested, at most `top` a node; whether a node had more."""
         marked = self.members.filter("size > 2").join(roots, "node", "left").select("key", "band", "pivot", "node", F.coalesce("root", "node").alias("root"))
         sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).filter("roots > 1")
-        mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("parts"), F.ceil(F.col("most") / CHUNK).alias("blocks"))
-        limit = self.limit
+        mixed = mixed.select("key", "main", "size", F.ceil((F.col("size") - F.col("most")) / CHUNK).cast("int").alias("parts"), F.ceil(F.col("most") / CHUNK).cast("int").alias("blocks"))
         own = marked.join(mixed, "key").join(self.nodes.select("node", F.col("n").alias("count"), "sketch"), "node")
-        # Small buckets are searched whole. In a large one the members outside the main component fall into parts; a group is a part
-        # with another part or with a block of the main component.
-        columns = ["key", "band", "pivot", "node", "root", "count", "sketch"]
-        whole = own.filter(F.col("size") <= CHUNK).select(*columns).repartition("key").sortWithinPartitions("key", "node")
-        found = whole.mapInArrow(lambda rows: _buckets(rows, top, limit), "a long, b long, cut boolean")
-        large = own.filter(F.col("size") > CHUNK).withColumn("other", F.col("root") != F.col("main"))
-        large = large.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("parts")).otherwise(F.col("blocks"))).cast("int"))
-        parts = F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))
-        ways = F.when(F.col("other"), F.concat(
-            F.transform(parts, lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j"), F.when(k == F.col("at"), 0).when(F.col("at") < k, 1).otherwise(2).alias("side"))),
-            F.transform(F.sequence(F.lit(1), F.col("blocks").cast("int")), lambda k: F.struct(F.col("at").alias("i"), (-k).alias("j"), F.lit(1).alias("side"))),
-        )).otherwise(F.transform(parts, lambda k: F.struct(k.alias("i"), (-F.col("at") - 1).alias("j"), F.lit(2).alias("side"))))
-        spread = large.select(*columns, F.explode(ways).alias("w")).select(*columns, "w.i", "w.j", "w.side")
-        blocks = spread.groupBy("key", "i", "j").applyInArrow(lambda t: _blocks(t, top, limit), "a long, b long, cut boolean")
-        seen = Staged(found.unionByName(blocks), "open").df
-        cut = not seen.filter("cut").isEmpty()
-        fresh = seen.select("a", "b").distinct().join(self.tested, ["a", "b"], "left_anti")
-        return Staged(fresh, "pairs").df, cut
-
-
-def _best(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], top: int, limit: Limit) -> tuple[list[tuple[int, int]], bool]:
-    """Of pairs of rows, those that the estimate does not rule out, `top` best for each first row; whether a row had more."""
-    kept = []
+        columns = ["key", "band", "pivot", "node", "root", "main", "count", "sketch"]
+        whole = own.filter(F.col("size") <= CHUNK).select(*columns).repartition("key").sortWithinPartitions("key")
+        found = whole.mapInArrow(lambda rows: _open_buckets(rows, limit), OPEN)
+        spread = _dealt(own.filter(F.col("size") > CHUNK), columns)
+        blocks = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda rows: _open_blocks(rows, limit), OPEN)
+        return Staged(found.unionByName(blocks).distinct(), "open")
+
+    def open_links(self, found: Staged) -> Staged:
+        """Links between open nodes of one bucket that join two components in a task's view."""
+        limit = self.limit
+        sets = self.sets(found.df)
+        counted = found.df.join(self.nodes.select("node", F.col("n").alias("count")), "node")
+        main = F.col("root") == F.col("main")
+        parts = lambda mine: F.greatest(F.ceil(F.count_if(mine) / CHUNK), F.ceil(F.sum(F.when(mine, F.col("count")).otherwise(0)) / VOLUME)).cast("int")
+        sizes = counted.groupBy("key").agg(parts(~main).alias("parts"), parts(main).alias("blocks"))
+        spread = _dealt(found.df.join(sizes, "key"), ["key", "node", "root"])
+        groups = spread.join(sets.df, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        links = Staged(groups.select("key", "i", "j", "side", "node", "root", "set").mapInArrow(lambda rows: _joins(rows, limit), "a long, b long").distinct(), "links")
+        sets.drop()
+        return links
+
+    def run(self) -> DataFrame:
+        """(node, root) of all nodes that have a link."""
+        near = self.pivot_links()
+        roots = components(near.df)
+        found = self.open_nodes(roots)
+        more = self.open_links(found)
+        if more.df.isEmpty():
+            return roots
+        stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return components(stars.unionByName(more.df))
+
+
+OPEN = "key long, node long, root long, main long"
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of buckets (key, root, main, parts, blocks) in groups (key, i, j): a part of the members outside the main component
+    with itself (side 0), with another part or with a block of the main component (sides 1 and 2)."""
+    rows = rows.withColumn("other", F.col("root") != F.col("main"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("other"), F.col("parts")).otherwise(F.col("blocks")), F.lit(1))).cast("int"))
+    upto = lambda first, last: F.when(F.col(last) > 0, F.sequence(F.lit(first), F.col(last) - (1 - first))).otherwise(F.array().cast("array<int>"))
+    ways = F.when(F.col("other"), F.concat(
+        F.transform(upto(0, "parts"), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j"), F.when(k == F.col("at"), 0).when(F.col("at") < k, 1).otherwise(2).alias("side"))),
+        F.transform(upto(1, "blocks"), lambda k: F.struct(F.col("at").alias("i"), (-k).alias("j"), F.lit(1).alias("side"))),
+    )).otherwise(F.transform(upto(0, "parts"), lambda k: F.struct(k.alias("i"), (-F.col("at") - 1).alias("j"), F.lit(2).alias("side"))))
+    return rows.select(*columns, F.explode(ways).alias("w")).select(*columns, "w.i", "w.j", "w.side")
+
+
+def _groups(rows: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
+        edges = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            own = tuple(k[:, a].tolist())
+            if own != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _set_rows(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [s.values.to_numpy(zero_copy_only=False) for chunk in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) for s in chunk]
+
+
+def _stars(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
+    """Links of members with the pivot, whose set comes before theirs."""
+    key, pivot = None, None
+    for batch in rows:
+        a, salt, node = (batch.column(i).to_numpy() for i in range(3))
+        near: list[list[int]] = [[], []]
+        for k, own in enumerate(_set_rows(batch.column(3))):
+            if (a[k], salt[k]) != key:
+                key, pivot = (a[k], salt[k]), None
+            if node[k] == a[k]:
+                pivot = np.sort(own)
+            elif pivot is not None:
+                at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
+                both = int((pivot[at] == own).sum())
+                if 100 * both >= limit.percent * (len(own) + len(pivot) - both):
+                    near[0].append(int(a[k]))
+                    near[1].append(int(node[k]))
+        yield _links(*near)
+
+
+def _open_pairs(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], limit: Limit, open_: np.ndarray) -> None:
+    """Marks the rows of pairs that the estimate does not rule out; a pair is judged in its first common band alone."""
     for k in range(0, len(one), 1 << 15):
         i, j = one[k : k + (1 << 15)], two[k : k + (1 << 15)]
+        new = ~(open_[i] & open_[j])
+        i, j = i[new], j[new]
         same = t["regs"][i] == t["regs"][j]
-        first = same.reshape(-1, limit.bands, limit.rows).all(2).argmax(1)  # a pair is judged in its first common band alone
-        near = np.flatnonzero((first == t["band"][i]) & (same.sum(1) >= limit.least_same))
+        near = np.flatnonzero(same.sum(1) >= limit.least_same)
+        first = same[near].reshape(-1, limit.bands, limit.rows).all(2).argmax(1)
+        near = near[first == t["band"][i[near]]]
         i, j = i[near], j[near]
-        est = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j], limit)
-        good = np.flatnonzero(est >= limit.least)
-        kept.append((i[good], j[good], est[good]))
-    if not kept:
-        return [], False
-    i, j, est = (np.concatenate(x) for x in zip(*kept))
-    order = np.lexsort((j, -est, i))
-    i, j = i[order], j[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    own = place < top
-    a, b = t["node"][i[own]], t["node"][j[own]]
-    return list(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))), bool((place >= top).any())
+        good = likely(t["count"][i], t["count"][j], t["regs"][i], t["regs"][j], limit) >= limit.least
+        open_[i[good]] = open_[j[good]] = True
 
 
 def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray], limit: Limit) -> np.ndarray:
@@ -329,51 +387,120 @@ def _fits(i: np.ndarray, j: np.ndarray, t: dict[str, np.ndarray], limit: Limit)
 
 
 def _columns(group: pa.Table) -> dict[str, np.ndarray]:
-    t = {c: group.column(c).to_numpy() for c in ("key", "band", "node", "root", "count", "pivot")}
+    t = {c: group.column(c).to_numpy() for c in ("key", "band", "node", "root", "main", "count", "pivot")}
     return t | {"regs": _grid(group.column("sketch").combine_chunks())}
 
 
-def _found(pairs: list[tuple[int, int]], cut: bool) -> pa.RecordBatch:
-    a, b = ([p[x] for p in pairs] for x in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cut] * len(a), pa.bool_())], ["a", "b", "cut"])
+def _opened(t: dict[str, np.ndarray], open_: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(t[c][open_], pa.int64()) for c in ("key", "node", "root", "main")], ["key", "node", "root", "main"])
 
 
-def _buckets(rows: Iterator[pa.RecordBatch], top: int, limit: Limit) -> Iterator[pa.RecordBatch]:
-    """Pairs within whole buckets, which come sorted by key: all buckets of a batch at once, by the distance of their rows."""
+def _open_buckets(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
+    """Open rows of whole buckets, which come sorted by key: all buckets of a batch at once, by the distance of their rows."""
 
-    def pairs(part: pa.Table) -> pa.RecordBatch:
+    def judged(part: pa.Table) -> pa.RecordBatch:
         t = _columns(part)
-        one, two, d = [], [], 1
+        open_, d = np.zeros(part.num_rows, bool), 1
         while d < part.num_rows and len(i := np.flatnonzero(t["key"][d:] == t["key"][:-d])):
             i = i[_fits(i, i + d, t, limit)]
-            one.append(i)
-            two.append(i + d)
+            _open_pairs(i, i + d, t, limit, open_)
             d += 1
-        return _found(*_best(np.concatenate(one), np.concatenate(two), t, top, limit)) if one else _found([], False)
+        return _opened(t, open_)
 
     held: pa.Table | None = None
     for batch in rows:
         part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         key = part.column("key").to_numpy()
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
-        yield pairs(part.slice(0, last))
+        if last:
+            yield judged(part.slice(0, last))
         held = part.slice(last)
-    if held is not None:
-        yield pairs(held)
+    if held is not None and held.num_rows:
+        yield judged(held)
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows to compare with which rows; whether these are the same."""
+    if (side == 0).any():
+        every = np.arange(len(side))
+        return every, every, True
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2), False
+
+
+def _open_blocks(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
+    for group in _groups(rows, ["key", "i", "j"]):
+        t = _columns(group)
+        left, right, alike = _sides(group.column("side").to_numpy())
+        open_ = np.zeros(group.num_rows, bool)
+        for k, i in enumerate(left):
+            j = right[k + 1 :] if alike else right
+            j = j[~(open_[i] & open_[j])]
+            j = j[_fits(np.full(len(j), i), j, t, limit)]
+            _open_pairs(np.full(len(j), i), j, t, limit, open_)
+        yield _opened(t, open_)
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left with right sets. Shingles of many sets are counted by matrices, the others pair by pair."""
+    values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begin, len(values)))
+    out = np.zeros(len(left) * len(right))
+    at = [np.full(len(sets), -1), np.full(len(sets), -1)]
+    at[0][left], at[1][right] = np.arange(len(left)), np.arange(len(right))
+    held = np.repeat(times, times)
+    few = np.flatnonzero((held > 1) & (held <= DENSE))
+    v, o = values[few], owner[few]
+    for d in range(1, DENSE):
+        i = np.flatnonzero(v[d:] == v[:-d]) if len(v) > d else np.zeros(0, np.int64)
+        for x, y in ((o[i], o[i + d]), (o[i + d], o[i])):
+            x, y = at[0][x], at[1][y]
+            fit = (x >= 0) & (y >= 0)
+            if fit.any():
+                np.add.at(out, x[fit] * len(right) + y[fit], 1)
+    many = np.flatnonzero(times > DENSE)
+    out = out.reshape(len(left), len(right))
+    for k in range(0, len(many), 2048):
+        some = many[k : k + 2048]
+        dense = np.zeros((len(sets), len(some)), np.float32)
+        for c, (a, n) in enumerate(zip(begin[some], times[some])):
+            dense[owner[a : a + n], c] = 1
+        out += dense[left] @ dense[right].T
+    return out
 
 
-def _blocks(group: pa.Table, top: int, limit: Limit) -> pa.Table:
-    """Pairs of a part of a large bucket with itself (side 0) or with another part or block (side 1 with side 2)."""
-    t, side = _columns(group), group.column("side").to_numpy()
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
-    one, two = [], []
-    for i in left:
-        j = right if len(right) or (side == 1).any() else left[left > i]
-        j = j[_fits(np.full(len(j), i), j, t, limit)]
-        one.append(np.full(len(j), i))
-        two.append(j)
-    found = _best(np.concatenate(one), np.concatenate(two), t, top, limit) if one else ([], False)
-    return pa.Table.from_batches([_found(*found)])
+def _joins(rows: Iterator[pa.RecordBatch], limit: Limit) -> Iterator[pa.RecordBatch]:
+    """Of the links in a group those that join two components there: fewer than it has rows."""
+    for group in _groups(rows, ["key", "i", "j"]):
+        node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+        left, right, alike = _sides(group.column("side").to_numpy())
+        if not len(left) or not len(right) or len(node) < 2:
+            continue
+        sets = _set_rows(group.column("set"))
+        n = np.array([len(s) for s in sets])
+        both = common_counts(sets, left, right)
+        linked = 100 * both >= limit.percent * (n[left][:, None] + n[right] - both)
+        i, j = np.nonzero(linked)
+        i, j = left[i], right[j]
+        across = (root[i] != root[j]) & ((i < j) | (not alike))
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = x = up.get(above, above)
+            return x
+
+        near: list[list[int]] = [[], []]
+        for x, y in zip(i[across].tolist(), j[across].tolist()):
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p != q:
+                up[p] = q
+                near[0].append(int(node[x]))
+                near[1].append(int(node[y]))
+        yield _links(*near)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -386,11 +513,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     linked with nothing. Rows with equal ids are rows of their own, so several may be kept. Other columns are not read. An
     empty table gives an empty one.
     """
-    search = _Search(docs, text, key, percent)
-    roots = search.run()
-    named = search.nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_sig = named.join(least, "root").select("sig", "component_id")
-    out = search.rows.join(by_sig, "sig", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch():
+        search = _Search(docs, text, key, percent)
+        roots = search.run()
+        named = search.nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("root", "node").alias("root"))
+        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        by_sig = named.join(least, "root").select("sig", "component_id")
+        out = search.rows.drop("sketch").join(by_sig, "sig", "left")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        out = out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        return Staged(out, "near-duplicates").keep().df

@@ -379,7 +379,7 @@ def _components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i, r in enumerate(rows):
@@ -402,8 +402,8 @@ def test_near_duplicates(spark, docs, rows):
 
 
 def test_chains_and_groups_of_near_copies(spark, monkeypatch):
-    """A chain whose ends are far apart, and copies of one text that mostly do not reach each other; with tiny chunks and few
-    partners a round, so that all ways through a large bucket are taken."""
+    """A chain whose ends are far apart, and copies of one text that mostly do not reach each other; also with tiny parts, so that
+    all ways through a large bucket are taken."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows, text = [], [word() for _ in range(200)]
@@ -421,8 +421,35 @@ def test_chains_and_groups_of_near_copies(spark, monkeypatch):
     want = _components(rows)
     assert near(spark, rows) == want
     monkeypatch.setattr(neardup, "CHUNK", 8)
-    monkeypatch.setattr(neardup, "TOP", 1)
+    monkeypatch.setattr(neardup, "PIVOT_ROWS", 4)
     assert near(spark, rows) == want
+    monkeypatch.setattr(neardup, "VOLUME", 1500)
+    monkeypatch.setattr(neardup, "DENSE", 1)
+    assert near(spark, rows) == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(30)]
+    left, right = np.arange(0, 20), np.arange(12, 30)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    for a, b in ((left, right), (np.arange(30), np.arange(30))):
+        want = [[len(np.intersect1d(sets[i], sets[j])) if i != j else None for j in b] for i in a]
+        got = neardup.common_counts(sets, a, b)
+        assert all(w is None or got[x, y] == w for x, row in enumerate(want) for y, w in enumerate(row))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """2 000 copies of one text, changed in up to a sixth of its words: most pairs are near the threshold and not linked."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(2000):
+        t = base[:]
+        for k in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            t[k] = word()
+        rows.append((i, " ".join(t)))
+    assert near(spark, rows) == _components(rows)
 
 
 def test_near_duplicates_at_another_threshold(spark):
