@@ -6,8 +6,9 @@ themselves keep good ones. A payload is: a byte that says whether there is a doc
 with the width of a token id (2 or 4), the token ids. An index file has three 8-byte numbers per record (place of its first
 byte, its whole length, number of ids), so a reader that shuffles can fetch any record with one seek.
 
-Files are written under the shared folder through pyarrow's file systems, first under a name of the attempt and then moved,
-so a task that runs twice leaves one file. Documents go to files in ascending doc_id order (nulls first, then by text).
+Files are written under the shared folder through pyarrow's file systems, under names of the task's attempt. The attempts whose
+results Spark takes are the files; what others have left is deleted at the end, so a task may die anywhere and run again.
+Documents go to files in ascending doc_id order (nulls first, then by text), about FILE_BYTES of text to a file.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 INDEX = struct.Struct("<QQQ")
 END_ID = 0
+FILE_BYTES = 128 << 20
 
 
 def masked(data: bytes) -> int:
@@ -75,13 +77,18 @@ def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(data, f"<u{width}", offset=BODY.size)
 
 
+def file_name(part: int, attempt: int) -> str:
+    return f"part-{part:06d}-{attempt}"
+
+
 def _write(rows: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     encode = tokens.encoder(vocabulary)
     width, end = encode.dtype.itemsize, np.array([END_ID], encode.dtype).tobytes()
+    attempt = TaskContext.get().taskAttemptId()
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    done, own = f"{root}/part-{part:06d}", f"{root}/.{uuid.uuid4().hex}"
+    own = f"{root}/{file_name(part, attempt)}"
     n = total = place = 0
     with fs.open_output_stream(f"{own}.rec") as rec, fs.open_output_stream(f"{own}.idx") as idx:
         for batch in rows:
@@ -93,35 +100,40 @@ def _write(rows: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iter
                     rec.write(data)
                     idx.write(INDEX.pack(place, len(data), len(ids) // width))
                     n, total, place = n + 1, total + len(ids) // width, place + len(data)
-    for kind in ("rec", "idx"):
-        fs.move(f"{own}.{kind}", f"{done}.{kind}")
-    yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n], "ids": [total]})
+    yield pa.RecordBatch.from_pydict({"part": [part], "attempt": [attempt], "docs": [n], "ids": [total]})
 
 
 def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None, partitions: int | None = None) -> list[tuple]:
     """Encodes every text (null: empty), with END_ID at the end, and writes the files.
 
-    Returns (path without suffix, documents, ids of all files before it) per file, in order: as many as partitions.
+    Returns (path without suffix, documents, ids of all files before it) per file that holds any, in order. There are as many
+    files as `partitions`, or as shuffle partitions and FILE_BYTES ask for; the list of them is what comes to the driver.
     Columns other than doc_id and text are not written; repeated rows are written as often as they come.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(ordered.mapInArrow(lambda rows: _write(rows, folder, vocabulary), "part long, docs long, ids long").collect())  # one row per file
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    files = sorted(ordered.mapInArrow(lambda rows: _write(rows, folder, vocabulary), "part long, attempt long, docs long, ids long").collect())  # one row per file
+    fs, root = pafs.FileSystem.from_uri(folder)
+    named = {f"{file_name(part, attempt)}.{kind}" for part, attempt, _, _ in files for kind in ("rec", "idx")}
+    for left in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if left.base_name not in named and left.is_file:
+            fs.delete_file(left.path)
     out, before = [], 0
-    for part, n, total in files:
+    for part, attempt, n, total in files:
         if n:
-            out.append((f"{folder}/part-{part:06d}", n, before))
+            out.append((f"{folder}/{file_name(part, attempt)}", n, before))
         before += total
     return out
 
 
-def _read(rows: Iterator[pa.RecordBatch], files: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        for number in batch.column(0).to_pylist():
-            path, _, start = files[number]
+        for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             fs, at = pafs.FileSystem.from_uri(path)
             cols: list[list] = [[], [], [], []]
             with fs.open_input_stream(f"{at}.rec", buffer_size=1 << 20) as f:
@@ -138,8 +150,8 @@ def _read(rows: Iterator[pa.RecordBatch], files: list[tuple]) -> Iterator[pa.Rec
 
 def read_files(spark: SparkSession, files: list[tuple]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, a task per file, from the files alone."""
-
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(lambda rows: _read(rows, files), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    listed = spark.createDataFrame([(path, start) for path, _, start in files], "path string, start long")
+    return listed.repartitionByRange(max(1, len(files)), "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:

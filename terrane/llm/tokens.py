@@ -3,7 +3,8 @@
 A text is cut at spaces between two characters that are not white space: no pre-token of the supported files spans such a
 cut, so the ids of the parts, joined, are the ids of the text. Parts repeat a lot, so each worker keeps the ids of the
 parts it has met, up to `limit`. Parts that are empty or have white space at an end send their piece of text to the
-tokenizer as it is.
+tokenizer as it is, and so does a text that may hold an added token such as <|endoftext|>: the library takes those before it
+looks for pre-tokens, and what stands around them is encoded on its own.
 """
 
 from __future__ import annotations
@@ -48,9 +49,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # the memo below stands for it
+        # A text that holds an added token holds its first two characters (no normaliser of the supported files makes these).
+        self.hints = tuple({t.content[:2] for t in self.tok.get_added_tokens_decoder().values()})
+        if any(any(c.isalnum() for c in h) or h.isspace() for h in self.hints):
+            raise ValueError("an added token begins like a word")
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.limit, self.memo = limit, {}
@@ -111,7 +115,8 @@ class Encoder:
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        cut = [[(k, piece, (piece[1:] if k else piece).split(" ")) for k, piece in enumerate(pieces(text))] for text in texts]
+        whole = {k: self._plain(text).tobytes() for k, text in enumerate(texts) if any(h in text for h in self.hints)}
+        cut = [[] if at in whole else [(k, piece, (piece[1:] if k else piece).split(" ")) for k, piece in enumerate(pieces(text))] for at, text in enumerate(texts)]
         new = set().union(*(words for parts in cut for _, _, words in parts)).difference(memo)
         unfit = {w for w in new if not w or _space(w[0]) or _space(w[-1])}
         new -= unfit
@@ -120,8 +125,8 @@ class Encoder:
         self._learn([w for w in new if len(w) > LONGEST], long)
         known = memo | long if long else memo
         out = []
-        for parts in cut:
-            got = []
+        for at, parts in enumerate(cut):
+            got = [whole[at]] if at in whole else []
             for k, piece, words in parts:
                 if unfit and not unfit.isdisjoint(words):
                     got.append(self._plain(piece).tobytes())
