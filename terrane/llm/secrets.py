@@ -2,12 +2,14 @@
 
 Candidates are found in every whole text by the base patterns (assign, access, hex) and by forms of known issuers (vendor).
 The hash of each candidate's value is counted over the corpus: in how many repositories and by how many owners does it stand?
-A value that several owners show is a widely copied example; one that one owner alone shows looks live. Base spans are all
-reported; vendor spans are added where they look live, so sample keys in copied manuals add nothing.
+A value that COPIED_OWNERS owners show, or that stands in COPIED_REPOSITORIES repositories of whatever owners, is a widely copied
+example; one that few repositories of one owner or two show looks live. Base spans are all reported; vendor spans are added
+where they look live, so sample keys in copied manuals add nothing.
 
 Positions come from the lengths of the pieces between matches, added up in a window over the (few) matches, so a text costs
 one pass per kind and a second one only where there is a match. Counts are taken by (value, owner, repository), then by
-(value, owner), then by value, each partly summed before its shuffle: an example in a third of all rows stays spread.
+(value, owner), then by value, each partly summed before its shuffle: an example in a third of all rows stays spread. Only the
+hashes of copied values are joined back: sent to all tasks up to BROADCAST_VALUES, else over SALTS salts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ VENDOR = (
 KINDS = {"assign": (ASSIGN, 0), "access": (ACCESS, 1), "hex": (r"[0-9a-f]{24,}", 2), "vendor": (VENDOR, 3)}
 #: Owners from which on a value counts as widely copied.
 COPIED_OWNERS = 3
+#: Repositories from which on a value counts as widely copied, even by one owner.
+COPIED_REPOSITORIES = 20
+BROADCAST_VALUES = 200_000  # of 32 characters and two numbers
+SALTS = 64
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -71,13 +77,27 @@ def ownership(each: DataFrame) -> DataFrame:
     by_repo = each.select("value_hash", "ss_owner", "ss_repo").distinct()
     by_owner = by_repo.groupBy("value_hash", "ss_owner").agg(F.count("*").alias("repos"))
     by_value = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
-    return by_value.withColumn("copied", F.col("owners") >= COPIED_OWNERS)
+    return by_value.withColumn("copied", (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES))
+
+
+def _judged(each: DataFrame, worth: str) -> DataFrame:
+    """Candidates with owners, repositories and copied of those values for which `worth` holds."""
+    copied = Staged(ownership(each).filter(worth), "secret-ownership").df
+    keys = ["value_hash"]
+    if copied.count() <= BROADCAST_VALUES:
+        copied = F.broadcast(copied)
+    else:  # a value may be a third of all candidates
+        keys.append("ss_salt")
+        each = each.withColumn("ss_salt", F.pmod(F.xxhash64("ss_id", "start"), F.lit(SALTS)).cast("int"))
+        copied = copied.withColumn("ss_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return each.join(copied, keys, "left").withColumn("copied", F.coalesce("copied", F.lit(False))).drop("ss_salt")
 
 
 def find_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per candidate with its verdict: ss_id (of the row), kind, start, end (code points), value_hash, owners, repositories, copied."""
     _, each = candidates(docs, text, repo, owner)
-    return each.join(ownership(each), "value_hash")
+    one = lambda c: F.coalesce(c, F.lit(1).cast("long"))
+    return _judged(each, "repositories > 1").withColumns({c: one(c) for c in ("owners", "repositories")})
 
 
 def scan_documents(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -87,7 +107,7 @@ def scan_documents(docs: DataFrame, text: str = "text", repo: str = "doc_id", ow
     an empty table gives an empty one. Columns of docs other than the three named are not read.
     """
     rows, each = candidates(docs, text, repo, owner)
-    judged = each.join(ownership(each), "value_hash")
+    judged = _judged(each, "copied")
     base = F.col("ss_order") < 3
     span = F.struct("start", "ss_order", F.concat_ws(":", "kind", "start", "end").alias("text"))
     per = judged.groupBy("ss_id").agg(
@@ -122,7 +142,8 @@ SQL = (
         _sql_kind(kind, pattern.replace(r"\x20", " "), order, int(kind == "assign"), {"assign": 6, "access": 20, "hex": 24}.get(kind, 1)) for kind, (pattern, order) in KINDS.items()
     )
     + f"""),
-v AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {COPIED_OWNERS} AS copied FROM c GROUP BY value),
+v AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {COPIED_OWNERS}
+      OR count(DISTINCT (coalesce(source, chr(1)), coalesce(CAST(doc_id AS VARCHAR), chr(1)))) >= {COPIED_REPOSITORIES} AS copied FROM c GROUP BY value),
 s AS (SELECT c.*, v.copied, kind || ':' || start_ || ':' || end_ AS span FROM c JOIN v ON c.value = v.value),
 p AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h,
       string_agg(span, ',' ORDER BY start_, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY start_, o) FILTER (o < 3 OR NOT copied) AS spans,
