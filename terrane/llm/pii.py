@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
-1. Candidates: matches of the base patterns (email, ip, card, phone) and of looser forms (obfuscated email, local phone number,
-   social security number, bank account number, person name).
+1. Candidates: matches of the base patterns (email, ip, card, phone) and of looser forms (obfuscated email, phone number in
+   groups of three, three and four digits, which also finds one that a base match has run past, social security number, bank
+   account number, person name).
 2. Four labelers vote for, against or not at all: `form` (regex and check digits), `gazetteer` (known endings, number ranges,
    calling codes, names), `context` (words before the span) and `edges` (what touches the span).
 3. Votes are counted over the corpus by (kind, votes), at most 9 * 81 rows, and expectation-maximisation on the counts gives the
@@ -32,6 +33,7 @@ BASE_KINDS = 4
 SAMPLE = 20_000
 BUCKETS = 512
 THRESHOLD = 0.9
+PRIOR_SHARE = 0.005
 VOTES = tuple(product((-1, 0, 1), repeat=4))
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +42,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 OBFUSCATED = re.compile(r"[A-Za-z0-9._-]{2,40} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,40} ?(?:\[dot\]|\(dot\)) ?[A-Za-z]{2,10}", re.ASCII)
-LOCAL_PHONE = re.compile(r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
+LOCAL_PHONE = re.compile(r"(?<![0-9+-])(?:\+[0-9]{1,3} )?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?![A-Za-z])")
@@ -139,7 +141,7 @@ def votes(text: str, kind: int, a: int, b: int, passes: bool) -> tuple[tuple[int
     elif name == "phone":
         known = 1 if any(digits[:k] in CALLING for k in (1, 2, 3)) else -1
     elif name == "local_phone":
-        form, known = 0, 1 if digits[0] not in "01" and digits[3] not in "01" else -1
+        form, known = 0, 1 if digits[-10] not in "01" and digits[-7] not in "01" else -1
     elif name == "ssn":
         form = 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
     elif name == "iban":
@@ -181,20 +183,31 @@ def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def label_model(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
-    """Priors by kind, P(vote | class) by (labeler, class, vote + 1), and the posterior of every (kind, pattern) seen."""
+    """Priors by kind, P(vote | class) by (labeler, class, vote + 1), and the posterior of every (kind, pattern) seen.
+
+    Whether a labeler votes at all says nothing about the class, only which way it does, and no labeler counts as worse than
+    chance; else the two classes could come to mean two groups of kinds. A weak prior (PRIOR_SHARE of the votes) holds labelers
+    that hardly ever vote.
+    """
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
-    kind, vote = np.array([k for k, _ in keys], int), np.array([VOTES[p] for _, p in keys], int) + 1
-    post = 1 / (1 + np.exp(-1.5 * (vote - 1).sum(1))) if len(keys) else np.zeros(0)  # the start: a soft majority
-    prior, table = np.full(len(KINDS), 0.5), np.full((4, 2, 3), 1 / 3)
+    kind, vote = np.array([k for k, _ in keys], int), np.array([VOTES[p] for _, p in keys], int).reshape(-1, 4)
+    post = 1 / (1 + np.exp(-1.5 * vote.sum(1)))  # the start: a soft majority
+    weight = 2 + PRIOR_SHARE * n.sum()
+    silent = np.array([n[vote[:, i] == 0].sum() for i in range(4)]) / max(1.0, n.sum())
+    prior, up = np.full(len(KINDS), 0.5), np.full((4, 2), 0.5)
     for _ in range(rounds if len(keys) else 0):
         for c, p in ((1, post), (0, 1 - post)):
             for i in range(4):
-                table[i, c] = np.bincount(vote[:, i], weights=n * p, minlength=3) + 0.5
-                table[i, c] /= table[i, c].sum()
+                yes, no = (float((n * p)[vote[:, i] == v].sum()) for v in (1, -1))
+                share = (yes + weight * (0.75 if c else 0.25)) / (yes + no + weight)
+                up[i, c] = max(0.5, share) if c else min(0.5, share)
         prior = (np.bincount(kind, weights=n * post, minlength=len(KINDS)) + 1) / (np.bincount(kind, weights=n, minlength=len(KINDS)) + 2)
-        score = np.log(prior[kind] / (1 - prior[kind])) + sum(np.log(table[i, 1, vote[:, i]] / table[i, 0, vote[:, i]]) for i in range(4))
+        score = np.log(prior[kind] / (1 - prior[kind]))
+        for i in range(4):
+            score = score + np.where(vote[:, i] == 1, np.log(up[i, 1] / up[i, 0]), np.where(vote[:, i] == -1, np.log((1 - up[i, 1]) / (1 - up[i, 0])), 0.0))
         post = 1 / (1 + np.exp(-score))
+    table = np.stack([(1 - up) * (1 - silent)[:, None], np.repeat(silent[:, None], 2, 1), up * (1 - silent)[:, None]], axis=2)
     return prior, table, dict(zip(keys, post.tolist()))
 
 
@@ -248,7 +261,10 @@ class Detector:
         each = each.select("doc_id", "c.kind", "c.start", "c.pattern", "c.feats")
         counts = {(r[0], r[1]): r[2] for r in each.groupBy("kind", "pattern").agg(F.count("*")).collect()}  # at most 9 * 81 rows
         self.prior, self.reliability, self.posterior = label_model(counts)
-        some = each.orderBy(F.xxhash64("doc_id", "kind", "start"), "doc_id", "kind", "start").limit(sample).select("kind", "pattern", "feats").collect()
+        drawn = F.xxhash64("doc_id", "kind", "start")
+        share = min(1.0, 1.5 * sample / max(1, sum(counts.values())))  # about half as many again as needed, whatever the corpus holds
+        some = each.filter(F.shiftrightunsigned(drawn, 11) < int(share * 2**53)).dropDuplicates(["doc_id", "kind", "start"])
+        some = some.orderBy(drawn, "doc_id", "kind", "start").limit(sample).select("kind", "pattern", "feats").collect()
         feats = np.array([r[2] for r in some], int).reshape(len(some), 8)
         self.weights = fit_classifier(feats, np.array([self.posterior[r[0], r[1]] for r in some]))
 
