@@ -119,10 +119,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with a column `length` from 1 to capacity) and their sequence_id and offset.
 
-    `pieces` is read three times and should be a written table. Repeated rows are pieces of their own; any columns stay,
-    but names that begin with `bf_` are for internal use. An empty table gives an empty result.
+    `pieces` is read three times and should be a written table. Repeated rows are pieces of their own; any columns stay, but
+    columns named sequence_id or offset are replaced and names that begin with `bf_` are for internal use. An empty table
+    gives an empty result.
     """
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(*names)
     total = pieces.count()
     cells = max(16, -(-total // ROWS_PER_CELL))
     keyed = pieces.withColumn("bf_cell", F.pmod(F.xxhash64(*[c for c in names if c != "bf_cell"]), F.lit(cells)).cast("int"))

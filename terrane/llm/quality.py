@@ -89,7 +89,7 @@ def statistics(text: str = "text") -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+def measured(docs: DataFrame, text: str, lang: str, source: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the base columns, the vector qs_x0.. and the group keys qs_lang, qs_group."""
     gone = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     names = [c for c in docs.columns if c not in gone or c in (text, lang, source)]
@@ -109,7 +109,7 @@ def measured(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
         F.col("n_dup_lines") / F.greatest(F.col("qs_lines"), F.lit(1)),
         F.sqrt(F.col("n_repeat_words") / per),
     ]
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumns({f"qs_x{i}": x for i, x in enumerate(vector)} | {"base_failed": failed})
 
 
@@ -227,12 +227,13 @@ def fit_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     return Rules(stats), stats
 
 
-def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the base statistics, base_failed, distance and kept.
 
-    Null and empty texts have no words and fail. Null languages and sources are values of their own. Repeated rows count as
-    often as they come. Columns named like a result are replaced, and names that begin with `qs_` are for internal use. An
-    empty table gives an empty one. Texts are measured twice, which moves no text between executors.
+    Texts of fewer than `least_words` words fail, so null and empty ones do unless it is 0. Null languages and sources are values
+    of their own. Repeated rows count as often as they come. Columns named like a result are replaced, and names that begin
+    with `qs_` are for internal use. An empty table gives an empty one. Texts are measured once and written with their figures;
+    no text moves between executors.
     """
-    rules, _ = fit_rules(docs, text, lang, source)
-    return rules.judge(measured(docs, text, lang, source))
+    stats = Staged(measured(docs, text, lang, source, least_words), "quality-stats").df
+    return Rules(stats).judge(stats)

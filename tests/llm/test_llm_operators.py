@@ -208,7 +208,6 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
 
     path = tokens.default_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     files = records.write_records(docs, path, f"file://{tmp_path}/r", 3)
     got = [tuple(r) for r in records.read_files(spark, files).collect()]
     want, start = [], 0
@@ -236,12 +235,15 @@ def test_damage_is_noticed():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_exact(name, monkeypatch):
-    e = tokens.Encoder(tokens.default_path(name), limit=50)
+    from tokenizers import Tokenizer
+
+    e, plain = tokens.Encoder(tokens.default_path(name), limit=50), Tokenizer.from_file(tokens.default_path(name))
     rng = random.Random(5)
     bits = [" ", "  ", "\n", "\t", "a", "The", "don't", "'s", "É", "ß", "中", " ", "́", "12", ",", "!!", "\x01", "\x00", "\x1c", "<|endoftext|>", "İ", "Σ", "word", "x" * 70]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     texts += [" ".join(rng.choice(["the", "Dog,", "cat.", "naïve", "Über", "run"]) for _ in range(20)) for _ in range(50)]
-    want = [e._plain(t).tobytes() for t in texts]
+    texts += ["<|endoftext|>", "<|endoftext|> a", "a <|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|> x", "<|endo", "a <| b", "x\n<|endoftext|>\n<|endoftext|>"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, e.dtype).tobytes() for t in texts]
     assert e.encode(texts) == want
     monkeypatch.setattr(tokens.pieces, "__defaults__", (5,))
     assert e.encode(texts) == want
@@ -359,6 +361,19 @@ def test_secrets(spark):
     assert by[4].spans == "" and by[4].n_copied == 1
 
 
+def test_repositories_decide_too(spark, monkeypatch):
+    """A value in many repositories of one owner is copied, in one fewer it looks live; the salted join says the same."""
+    n = secrets.COPIED_REPOSITORIES
+    many, few = "ghp_" + "Mm1" * 12, "ghp_" + "Ff2" * 12
+    d = spark.createDataFrame([(i, many if i < n else few, "one") for i in range(2 * n - 1)] + [(2 * n - 2, few, "one")], "doc_id long, text string, source string")
+    want = {i: int(i >= n) for i in range(2 * n - 1)}
+    for bound in (secrets.BROADCAST_VALUES, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_VALUES", bound)
+        assert {r.doc_id: r.n_live for r in secrets.scan_documents(d).collect()} == want
+        each = {r.value_hash: (r.owners, r.repositories, r.copied) for r in secrets.find_secrets(d).collect()}
+        assert sorted(each.values()) == [(1, n - 1, False), (1, n, True)]
+
+
 # 8
 
 
@@ -627,9 +642,41 @@ def test_lists_are_added_until_they_hold_enough():
     c = np.array([[0.0], [1.0], [1.3], [2.0], [9.0]])
     graph = ann.CentroidGraph(c)
     sizes = np.array([1, 50, 50, 50, 50])
-    assert graph.enough(np.array([0.0]), 0.4, sizes, 1).tolist() == [0]
-    assert graph.enough(np.array([0.0]), 0.4, sizes, 11).tolist() == [0, 1, 2]
-    assert graph.enough(np.array([0.0]), 0.4, sizes, 1000).tolist() == [0, 1, 2, 3, 4]
+    visits = lambda least: graph.visits(np.array([[0.0]]), 0.4, sizes, least)[1].tolist()
+    assert visits(1) == [0] and visits(11) == [0, 1, 2] and visits(1000) == [0, 1, 2, 3, 4]
+
+
+def _served(x):
+    """Lists, largest list of the fitted vectors by their mean, lists a vector, recall at 10 and share of lists read."""
+    count = int(np.sqrt(len(x)))
+    graph = ann.CentroidGraph(ann.balanced_centroids(x, count))
+    ratio, sizes = ann.fitted_ratio(graph, x, 10), np.bincount(ann._nearest(x, graph.c), minlength=len(graph.c))
+    row, lists, own = graph.stores(x)
+    member = np.zeros((len(x), len(graph.c)), bool)
+    member[row, lists] = True
+    assert own.sum() == len(x) and member.any(1).all()
+    q = np.arange(0, len(x), 20)
+    read = np.zeros((len(q), len(graph.c)), bool)
+    read[graph.visits(x[q], ratio, sizes, 11)] = True
+    d = ann._distances(x[q], x)
+    d[np.arange(len(q)), q] = np.inf
+    near = np.argpartition(d, 10, axis=1)[:, :10]
+    return sizes.max() * count / len(x), member.sum() / len(x), np.mean([(member[n] & r).any(1).mean() for n, r in zip(near, read)]), read.mean()
+
+
+def test_lists_of_the_supplied_table(duck):
+    """Balanced lists, boundary vectors in more than one, and a recall above 0.9; unstructured vectors, so most lists are read."""
+    x = np.array([r[0] for r in duck.sql("SELECT embedding FROM embeddings ORDER BY vec_id").fetchall()], float)
+    balance, replicas, recall, _ = _served(x)
+    assert balance <= ann.BALANCE and replicas > 1.05 and recall >= 0.9
+
+
+def test_lists_of_clustered_vectors():
+    """Clusters of very different sizes: balanced, and few lists are read."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(50, 32))[rng.choice(50, 5000, p=rng.dirichlet(np.full(50, 0.4)))] + rng.normal(size=(5000, 32)) * 0.3
+    balance, replicas, recall, read = _served(x)
+    assert balance <= ann.BALANCE and replicas > 1 and recall >= 0.95 and read < 0.25
 
 
 def test_few_vectors(spark):
@@ -653,7 +700,7 @@ def test_pipeline_stages(spark, docs, rows):
     plain = lambda d: Counter(tuple(r) for r in d.select(*names).collect())
     stage = dict(corpus_pipeline.STAGES)
     kept = stage["quality rules"](spark, docs, "")
-    judged = quality.judge_documents(docs)
+    judged = quality.judge_documents(docs, least_words=corpus_pipeline.LEAST_WORDS)
     assert kept.columns == names and plain(kept) == plain(judged.filter("kept"))
     cleaned = stage["line dedup"](spark, docs, "")
     assert cleaned.columns == names and all(r.n_chars == len(r.text or "") for r in cleaned.collect())
