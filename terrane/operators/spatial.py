@@ -15,11 +15,13 @@ from terrane.functions.geo import P
 CELL = 0.001
 
 
-def _around(size: float, reach: int = 1) -> Column:
-    """The cells within `reach` of a point's own cell, exploded as (cx, cy)."""
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    x, y = geo.cell(F.col("x"), size), geo.cell(F.col("y"), size)
-    return F.explode(F.flatten(F.transform(span, lambda i: F.transform(span, lambda j: F.struct((x + i).alias("cx"), (y + j).alias("cy"))))))
+def _around(metres: float, size: float) -> Column:
+    """The cells that a circle around a point may touch, exploded as (cx, cy). Its width in degrees grows towards the poles."""
+    high = metres / 110_000.0
+    wide = metres / (110_000.0 * F.cos(F.radians(F.least(F.lit(89.5), F.abs("y") + high))))
+    xs = F.sequence(geo.cell(F.col("x") - wide, size), geo.cell(F.col("x") + wide, size))
+    ys = F.sequence(geo.cell(F.col("y") - high, size), geo.cell(F.col("y") + high, size))
+    return F.explode(F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy"))))))
 
 
 def cells_of_box(df: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str, size: float = CELL) -> DataFrame:
@@ -59,21 +61,23 @@ def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: flo
 
 
 def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """(scene_id, id, other, d) of pairs no farther apart than metres (haversine), by cells of that size."""
-    size = metres / 60_000.0  # a degree of longitude has more than 60 km up to 57 degrees of latitude
-    own = left.select("scene_id", "id", "x", "y", _around(size).alias("c")).select("scene_id", "id", "x", "y", "c.cx", "c.cy")
+    """(scene_id, id, other, d) of pairs no farther apart than metres (haversine), by cells of about that size. Up to 89 degrees
+    of latitude; a circle that passes the date line is cut there."""
+    size = metres / 80_000.0
+    own = left.select("scene_id", "id", "x", "y", _around(metres, size).alias("c")).select("scene_id", "id", "x", "y", "c.cx", "c.cy")
     others = right.select("scene_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     others = others.withColumns({"cx": geo.cell(F.col("ox"), size), "cy": geo.cell(F.col("oy"), size)})
     d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("ox"), F.col("oy")))
     return own.join(others, ["scene_id", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= metres).select("scene_id", "id", "other", "d")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, start_m: float = 200.0, rings: int = 3) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, start_m: float = 200.0, rings: int = 0) -> DataFrame:
     """(scene_id, id, other, d, rank) of the k nearest of right for every row of left, ties to the smaller id; itself excluded.
 
-    Rows look within start_m first; those with fewer than k hits look again four times as far, for `rings` rounds, and what is
-    still open (points far from everything) is compared with its whole scene. Exact: a hit within the radius is nearer than
-    anything outside it.
+    Scenes of bounded size are compared as they are (rings = 0): one join on the scene, which grows with the number of scenes.
+    For scenes without a bound, rows look within start_m first; those with fewer than k hits look again four times as far, for
+    `rings` rounds, and only what is still open (points far from everything) is compared with its whole scene. Exact: a hit
+    within the radius is nearer than anything outside it.
     """
     rank = F.row_number().over(Window.partitionBy("scene_id", "id").orderBy("d", "other"))
     todo, done, metres = left, None, start_m

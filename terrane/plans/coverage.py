@@ -54,25 +54,26 @@ def serving_closure(spark, sf_dir):
 
 @query(f"""{S}, v AS (SELECT scene_id, street_id, name, x, y FROM st UNION ALL SELECT scene_id, street_id, name, bx, ey FROM st),
 d AS (SELECT e.scene_id, e.id, v.name, v.street_id, {sql_haversine('e.x', 'e.y', 'v.x', 'v.y')} AS d FROM eq e JOIN v ON v.scene_id = e.scene_id)
-SELECT scene_id, id, arg_min(name, (round(d, 6), street_id)) AS street FROM d WHERE d < 200 GROUP BY ALL""")
+SELECT scene_id, id, arg_min(name, (round(d, 6), street_id)) AS street FROM d WHERE d < 50 GROUP BY ALL""")
 def street_lookup(spark, sf_dir):
     """Street of the nearest road vertex, if one is near enough."""
     s = sc.streets(spark, sf_dir)
     v = s.select("scene_id", F.col("street_id").alias("id"), "name", F.explode("line").alias("v")).select("scene_id", "id", "name", "v.x", "v.y")
-    near = sp.within_metres(sc.equipment(spark, sf_dir), v, 200.0).filter("d < 200")
+    near = sp.within_metres(sc.equipment(spark, sf_dir), v, 50.0).filter("d < 50")
     named = near.join(s.select(F.col("street_id").alias("other"), "name"), "other")
     return named.groupBy("scene_id", "id").agg(F.min_by("name", F.struct(F.round("d", 6), "other")).alias("street"))
 
 
 @query(f"""{S}, i AS (SELECT e.scene_id, e.id, b.id AS building, 1 AS how FROM eq e JOIN bld b ON b.scene_id = e.scene_id WHERE e.x >= b.x0 AND e.x < b.x1 AND e.y >= b.y0 AND e.y < b.y1
-UNION ALL SELECT e.scene_id, e.id, b.id, 2 FROM eq e JOIN bld b ON b.scene_id = e.scene_id WHERE {sql_haversine('e.x', 'e.y', 'b.x', 'b.y')} < 60)
-SELECT scene_id, building, count(DISTINCT id) AS n FROM i GROUP BY ALL""")
+UNION ALL SELECT e.scene_id, e.id, b.id, 2 FROM eq e JOIN bld b ON b.scene_id = e.scene_id WHERE {sql_haversine('e.x', 'e.y', 'b.x', 'b.y')} < 15)
+SELECT scene_id, building, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY scene_id, id ORDER BY how) AS r FROM i) WHERE r = 1 GROUP BY ALL""")
 def building_contents(spark, sf_dir):
-    """Points in a building's ring, or nearer than 60 m to its centre."""
+    """Points in a building's ring; a point that is in none counts for buildings whose centre is nearer than 15 m."""
     e, b = sc.equipment(spark, sf_dir), sc.buildings(spark, sf_dir)
     inside = sp.points_in_footprints(e, b).select("scene_id", "id", F.col("area").alias("building"))
-    near = sp.within_metres(e, b, 60.0).filter("d < 60").select("scene_id", "id", F.col("other").alias("building"))
-    return inside.unionByName(near).groupBy("scene_id", "building").agg(F.count_distinct("id").alias("n"))
+    outside = e.join(inside.select("scene_id", "id").distinct(), ["scene_id", "id"], "left_anti")
+    near = sp.within_metres(outside, b, 15.0).filter("d < 15").select("scene_id", "id", F.col("other").alias("building"))
+    return inside.unionByName(near).groupBy("scene_id", "building").agg(F.count("*").alias("n"))
 
 
 @query(f"""{S}, a AS (SELECT s AS seed, -73.984 + 0.004 * ((s % 100) / 100.0 - 0.5) AS cx, 40.7549 + 0.004 * (((s % 100) * 7 % 100) / 100.0 - 0.5) AS cy FROM (SELECT unnest(range(12)) AS s))
@@ -96,12 +97,13 @@ def equipment_in_quadrant(spark, sf_dir):
     return sc.equipment(spark, sf_dir).join(c, "scene_id").select("scene_id", "id", F.coalesce(q, F.lit("-")).alias("quadrant"))
 
 
-@query(f"{S}, t AS (SELECT scene_id, id, x, y, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS ey FROM eq WINDOW w AS (PARTITION BY scene_id ORDER BY id)) SELECT scene_id, id, (x - ax) * (ey - y) - (y - ay) * (bx - x) > 0 AS left_turn FROM t WHERE ax IS NOT NULL AND bx IS NOT NULL")
+@query(f"{S}, t AS (SELECT scene_id, id, x, y, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS ey FROM eq WINDOW w AS (PARTITION BY scene_id ORDER BY id)) SELECT scene_id, id, (x - ax) * (ey - y) - (y - ay) * (bx - x) > 0 AS left_turn FROM t WHERE ax IS NOT NULL AND bx IS NOT NULL AND (x - ax) * (ey - y) - (y - ay) * (bx - x) <> 0")
 def turns(spark, sf_dir):
-    """Inner points of a route with the side they turn to; collinear ones would be dropped."""
+    """Inner points of a route with the side they turn to; points on a straight line are left out."""
     w = Window.partitionBy("scene_id").orderBy("id")
     t = sc.equipment(spark, sf_dir).withColumns({"ax": F.lag("x").over(w), "ay": F.lag("y").over(w), "bx": F.lead("x").over(w), "by": F.lead("y").over(w)})
-    return t.filter("ax IS NOT NULL AND bx IS NOT NULL").select("scene_id", "id", (geo.turn(_p("ax", "ay"), _p("x", "y"), _p("bx", "by")) > 0).alias("left_turn"))
+    side = geo.turn(_p("ax", "ay"), _p("x", "y"), _p("bx", "by"))
+    return t.filter("ax IS NOT NULL AND bx IS NOT NULL").withColumn("side", side).filter("side <> 0").select("scene_id", "id", (F.col("side") > 0).alias("left_turn"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_totalprice < 100000 THEN 'pass' ELSE 'fail' END AS verdict FROM orders WHERE o_orderstatus IN ('F', 'P')""")

@@ -187,10 +187,11 @@ def closure_topology(spark, sf_dir):
     return out.select("closure", "capacity", "connected", F.greatest(F.lit(0), F.col("capacity") - F.col("connected")).alias("free"), F.round("longest", 3).alias("longest"))
 
 
-@query(f"{W} SELECT c_custkey AS id FROM customer WHERE 'h-' || c_custkey NOT IN (SELECT target FROM cables)")
+@query(f"{W} SELECT c_custkey AS id FROM customer WHERE 'h-' || c_custkey NOT IN (SELECT target FROM cables WHERE length <= 100)")
 def unserved(spark, sf_dir):
+    """Houses that no closure serves: a drop of more than 100 m does not count."""
     houses = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("h-"), F.col("c_custkey").cast("string")).alias("target"))
-    return houses.join(cables(spark, sf_dir), "target", "left_anti").select("id")
+    return houses.join(cables(spark, sf_dir).filter("length <= 100"), "target", "left_anti").select("id")
 
 
 @query(f"{W} SELECT f.source AS closure, CAST(k AS INT) AS fibre, ['blue', 'orange', 'green', 'brown', 'slate', 'white', 'red', 'black', 'yellow', 'violet', 'rose', 'aqua'][CAST((k - 1) % 12 + 1 AS INT)] AS colour, f.target AS cable FROM (SELECT source, target, unnest(generate_series(CAST(b AS BIGINT) + 1, CAST(b AS BIGINT) + fibres)) AS k FROM (SELECT source, target, fibres, coalesce(sum(fibres) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cables WHERE id LIKE 'd-%')) f")
@@ -332,11 +333,11 @@ def address_rollup(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("street")).agg(F.count("*").alias("n"), F.sum(demand).alias("demand"), F.count_distinct("c_nationkey").alias("zones"))
 
 
-@query("WITH n AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation), h AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) SELECT a, b FROM n WHERE a IN (SELECT k FROM h) AND b NOT IN (SELECT k FROM h)")
+@query("WITH n AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation), h AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9950) SELECT a, b FROM n WHERE a IN (SELECT k FROM h) AND b NOT IN (SELECT k FROM h)")
 def missing_links(spark, sf_dir):
     """Neighbours of zones with large accounts that have none themselves: a semi-join and an anti-join."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") + 1) % 25).alias("b"))
-    h = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select("c_nationkey").distinct()
+    h = table(spark, sf_dir, "customer").filter("c_acctbal > 9950").select("c_nationkey").distinct()
     return n.join(h, n.a == h.c_nationkey, "left_semi").join(h, n.b == h.c_nationkey, "left_anti")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.functions import geo
 from terrane.operators import procedural as pr
 from terrane.operators import spatial as sp
 from terrane.sources import scenes as sc
+from terrane.sources.scenes import SCENE_SQL, sql_segment
 from terrane.streaming.accuracy import windowed_accuracy
 
 QUERIES: dict = {}
@@ -37,11 +39,22 @@ def convex_hull(spark, sf_dir):
     return pr.convex_hull(sc.buildings(spark, sf_dir))
 
 
-@query()
+#: Edges of the hull of each scene's buildings: all others on one side, and of edges on one line the longest.
+HULL_SQL = f"""WITH {SCENE_SQL}, e AS (SELECT a.scene_id, a.id AS a, b.id AS b, a.x, a.y, b.x AS bx, b.y AS ey FROM bld a JOIN bld b ON b.scene_id = a.scene_id AND b.id <> a.id
+ WHERE NOT EXISTS (SELECT 1 FROM bld c WHERE c.scene_id = a.scene_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))"""
+
+
+@query(f"""{HULL_SQL}, n AS (SELECT scene_id FROM bld GROUP BY 1 HAVING count(*) >= 4)
+SELECT b.scene_id, b.id FROM bld b JOIN n ON n.scene_id = b.scene_id JOIN e ON e.scene_id = b.scene_id GROUP BY ALL HAVING min({sql_segment('b.x', 'b.y', 'e.x', 'e.y', 'e.bx', 'e.ey')}) > 1""")
 def interior_buildings(spark, sf_dir):
-    """Buildings that are no corner of their scene's hull."""
-    b = sc.buildings(spark, sf_dir).select("scene_id", "id")
-    return b.join(pr.convex_hull(sc.buildings(spark, sf_dir)), ["scene_id", "id"], "left_anti")
+    """Buildings more than a metre inside the boundary of their scene's hull; none in a scene of fewer than four."""
+    b = sc.buildings(spark, sf_dir).select("scene_id", "id", "x", "y")
+    corners = pr.convex_hull(b).join(b, ["scene_id", "id"]).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("c"))
+    ring = F.transform("c", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    hulls = corners.select("scene_id", F.concat(ring, F.slice(ring, 1, 1)).alias("ring"))
+    large = b.groupBy("scene_id").agg(F.count("*").alias("n")).filter("n >= 4").select("scene_id")
+    own = b.join(large, "scene_id").join(hulls, "scene_id").filter(F.size("ring") > 3)
+    return own.filter(geo.polyline_metres(geo.P(F.col("x"), F.col("y")), F.col("ring")) > 1).select("scene_id", "id")
 
 
 @query()

@@ -62,7 +62,7 @@ def ho_count_inside(spark, sf_dir):
 
 
 NN = f"""nn AS (SELECT * FROM (SELECT a.scene_id, a.id, e.id AS other, {sql_haversine('a.x', 'a.y', 'e.x', 'e.y')} AS d,
- row_number() OVER (PARTITION BY a.scene_id, a.id ORDER BY {sql_haversine('a.x', 'a.y', 'e.x', 'e.y')}, e.id) AS rank FROM bld a JOIN eq e ON a.scene_id = e.scene_id) WHERE rank <= 3)"""
+ row_number() OVER (PARTITION BY a.scene_id, a.id ORDER BY {sql_haversine('a.x', 'a.y', 'e.x', 'e.y')}, e.id) AS rank FROM bld a JOIN eq e ON a.scene_id = e.scene_id) WHERE rank <= 4)"""
 
 
 @query(f"{W}, {NN} SELECT scene_id, id, other AS closure, round(d, 3) AS metres FROM nn WHERE rank = 1")
@@ -71,18 +71,18 @@ def nearest_closure(spark, sf_dir):
     return near.select("scene_id", "id", F.col("other").alias("closure"), F.round("d", 3).alias("metres"))
 
 
-@query(f"{W}, {NN} SELECT scene_id, id, other AS closure, rank FROM nn")
+@query(f"{W}, {NN} SELECT scene_id, id, other AS closure, rank FROM nn WHERE rank <= 3")
 def nearest_k(spark, sf_dir):
     near = sp.nearest(sc.buildings(spark, sf_dir), sc.equipment(spark, sf_dir), 3)
     return near.select("scene_id", "id", F.col("other").alias("closure"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{W}, {NN}, p AS (SELECT scene_id, id, max(other) FILTER (rank = 1) AS first, max(d) FILTER (rank = 2) - max(d) FILTER (rank = 1) AS m1, max(d) FILTER (rank = 3) - max(d) FILTER (rank = 2) AS m2 FROM nn GROUP BY ALL) SELECT scene_id, id, first, m1 >= 1 AND m2 >= 1 AS separated FROM p WHERE m2 IS NOT NULL")
+@query(f"{W}, {NN}, p AS (SELECT scene_id, id, max(other) FILTER (rank = 1) AS first, max(d) FILTER (rank = 2) - max(d) FILTER (rank = 1) AS m1, max(d) FILTER (rank = 3) - max(d) FILTER (rank = 2) AS m2, max(d) FILTER (rank = 4) - max(d) FILTER (rank = 3) AS m3 FROM nn GROUP BY ALL) SELECT scene_id, id, first, m1 >= 1 AND m2 >= 1 AND coalesce(m3 >= 2, true) AS separated FROM p WHERE m2 IS NOT NULL")
 def rank3_with_margins(spark, sf_dir):
-    near = sp.nearest(sc.buildings(spark, sf_dir), sc.equipment(spark, sf_dir), 3)
+    near = sp.nearest(sc.buildings(spark, sf_dir), sc.equipment(spark, sf_dir), 4)
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    p = near.groupBy("scene_id", "id").agg(at(1, "other").alias("first"), (at(2, "d") - at(1, "d")).alias("m1"), (at(3, "d") - at(2, "d")).alias("m2"))
-    return p.filter("m2 IS NOT NULL").select("scene_id", "id", "first", F.expr("m1 >= 1 AND m2 >= 1").alias("separated"))
+    p = near.groupBy("scene_id", "id").agg(at(1, "other").alias("first"), (at(2, "d") - at(1, "d")).alias("m1"), (at(3, "d") - at(2, "d")).alias("m2"), (at(4, "d") - at(3, "d")).alias("m3"))
+    return p.filter("m2 IS NOT NULL").select("scene_id", "id", "first", F.expr("m1 >= 1 AND m2 >= 1 AND coalesce(m3 >= 2, true)").alias("separated"))
 
 
 @query(f"{W} SELECT b.scene_id, b.id FROM bld b WHERE NOT EXISTS (SELECT 1 FROM eq e WHERE e.scene_id = b.scene_id AND {sql_haversine('b.x', 'b.y', 'e.x', 'e.y')} <= 35)")
@@ -151,14 +151,14 @@ def road_misplacement(spark, sf_dir):
 
 
 @query(f"""{W}, {NS}, o AS (SELECT b.scene_id, b.id, e.id AS other, row_number() OVER (PARTITION BY b.scene_id, b.id ORDER BY {sql_haversine('b.x', 'b.y', 'e.x', 'e.y')}, e.id) AS r
- FROM bld b JOIN eq e ON e.scene_id = b.scene_id JOIN ns h ON h.scene_id = b.scene_id AND h.id = b.id JOIN ns s ON s.scene_id = e.scene_id AND s.id = e.id WHERE h.name <> s.name)
+ FROM bld b JOIN eq e ON e.scene_id = b.scene_id JOIN ns h ON h.scene_id = b.scene_id AND h.id = b.id JOIN ns s ON s.scene_id = e.scene_id AND s.id = e.id WHERE h.name IS DISTINCT FROM s.name)
 SELECT b.scene_id, b.id, coalesce(CAST(o.other AS VARCHAR), 'none') AS closure FROM bld b LEFT JOIN o ON o.scene_id = b.scene_id AND o.id = b.id AND o.r = 1""")
 def nearest_offstreet(spark, sf_dir):
     """Nearest closure on another street than the building's, or 'none'. Closures are few per scene."""
     near = sp.nearest_street(sc.points(spark, sf_dir), sc.streets(spark, sf_dir)).select("scene_id", "id", "name")
     b = sc.buildings(spark, sf_dir).select("scene_id", "id", "x", "y").join(near.withColumnRenamed("name", "home"), ["scene_id", "id"], "left")
     e = sc.equipment(spark, sf_dir).join(near, ["scene_id", "id"]).select("scene_id", F.col("id").alias("other"), "name", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    pairs = b.join(e, "scene_id").filter("home <> name").withColumn("d", geo.haversine(_p("x", "y"), _p("ox", "oy")))
+    pairs = b.join(e, "scene_id").filter("NOT (home <=> name)").withColumn("d", geo.haversine(_p("x", "y"), _p("ox", "oy")))
     best = pairs.groupBy("scene_id", "id").agg(F.min_by("other", F.struct("d", "other")).alias("other"))
     return b.select("scene_id", "id").join(best, ["scene_id", "id"], "left").select("scene_id", "id", F.coalesce(F.col("other").cast("string"), F.lit("none")).alias("closure"))
 

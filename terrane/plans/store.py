@@ -11,6 +11,7 @@ from terrane.functions.geo import P
 from terrane.operators import executor as ex
 from terrane.operators import spatial as sp
 from terrane.operators import store
+from terrane.operators.ranking import global_row_number
 from terrane.plans.network import NET, cables, net, nodes
 from terrane.sources import scenes as sc
 from terrane.sources.scenes import SCENE_SQL, sql_haversine, table
@@ -100,13 +101,13 @@ def next_free_port(spark, sf_dir):
 
 
 @query(f"""{S}, j AS (SELECT CAST(floor(x / 0.002) AS BIGINT) AS c, CAST(floor(y / 0.002) AS BIGINT) AS r, id, id % 7 AS prio FROM pts), b AS (SELECT c, r, id, row_number() OVER (PARTITION BY c, r ORDER BY prio DESC, id) AS k FROM j)
-SELECT id, 'J' || lpad(CAST(row_number() OVER (ORDER BY c, r) AS VARCHAR), 3, '0') AS name FROM b WHERE k = 1""")
+SELECT id, 'J' || lpad(CAST(row_number() OVER (ORDER BY c, r) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (ORDER BY c, r) AS VARCHAR))) AS INT), '0') AS name FROM b WHERE k = 1""")
 def junctions(spark, sf_dir):
-    """One junction per cell, the highest priority wins; names in order of cells. Cells are few: a row for each occupied one."""
+    """One junction per cell, the highest priority wins; names in order of cells, numbered within ranges of cells."""
     j = sc.points(spark, sf_dir).select(F.floor(F.col("x") / 0.002).cast("long").alias("c"), F.floor(F.col("y") / 0.002).cast("long").alias("r"), "id")
     b = j.groupBy("c", "r").agg(F.max_by("id", F.struct(F.col("id") % 7, -F.col("id"))).alias("id"))
-    n = F.row_number().over(Window.orderBy("c", "r")).cast("string")
-    return b.select("id", F.concat(F.lit("J"), F.lpad(n, 3, "0")).alias("name"))
+    numbered = global_row_number(b.withColumn("at", F.col("c") * 1_000_000 + F.col("r")), "at", "n").withColumn("n", F.col("n").cast("string"))
+    return numbered.select("id", F.concat(F.lit("J"), F.lpad("n", F.greatest(F.lit(3), F.length("n")), F.lit("0"))).alias("name"))
 
 
 @query(f"{S}, a AS (SELECT b.scene_id, b.id, {sql_haversine('b.x', 'b.y', 'e.x', 'e.y')} AS d, e.id AS other FROM bld b JOIN eq e ON b.scene_id = e.scene_id), n AS (SELECT scene_id, id, min(d) AS near, max(d) AS far FROM a GROUP BY ALL) SELECT scene_id, id, far >= greatest(1.25 * near, near + 10) AS clear FROM n")

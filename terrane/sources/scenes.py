@@ -1,6 +1,7 @@
 """Scenes derived from the supplied tables: points, buildings, equipment, streets and cables by scene.
 
-`embeddings` gives points (scene = label, id = vec_id); every fifth is equipment (a closure), the others are buildings with a
+`embeddings` gives points (id = vec_id); those of one label within SCENE_IDS consecutive ids are a scene, so a scene has a bounded
+size and their number grows with the table. Every fifth point is equipment (a closure), the others are buildings with a
 square footprint. Streets run from every tenth point to the next point of its scene; drops join buildings to their nearest
 closure, distribution cables join a closure to the next.
 """
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LNG0, LAT0, SPREAD = -73.984, 40.7549, 0.02
+SCENE_IDS = 1000
+LABELS = 16  # scene = LABELS * range of ids + label
 HALF = 0.0004  # of a footprint's side, in degrees
 
 
@@ -25,7 +28,8 @@ def _xy(x, y):
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     at = lambda i, zero: F.lit(zero) + SPREAD * F.get("embedding", F.lit(i)).cast("double")
-    return e.select(F.col("label").alias("scene_id"), F.col("vec_id").alias("id"), at(0, LNG0).alias("x"), at(1, LAT0).alias("y"))
+    scene = (F.col("label") + LABELS * F.floor(F.col("vec_id") / SCENE_IDS)).cast("int")
+    return e.select(scene.alias("scene_id"), F.col("vec_id").alias("id"), at(0, LNG0).alias("x"), at(1, LAT0).alias("y"))
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same derivations for the checking engine.
 SCENE_SQL = f"""
-pts AS (SELECT label AS scene_id, vec_id AS id, {LNG0} + {SPREAD} * CAST(embedding[1] AS DOUBLE) AS x, {LAT0} + {SPREAD} * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+pts AS (SELECT CAST(label + {LABELS} * (vec_id // {SCENE_IDS}) AS INT) AS scene_id, vec_id AS id, {LNG0} + {SPREAD} * CAST(embedding[1] AS DOUBLE) AS x, {LAT0} + {SPREAD} * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 bld AS (SELECT *, ['residential', 'commercial', 'mixed'][CAST(id % 3 + 1 AS INT)] AS type, CAST(id % 6 + 1 AS INT) AS floors,
         x - {HALF} AS x0, x + {HALF} AS x1, y - {HALF} AS y0, y + {HALF} AS y1 FROM pts WHERE id % 5 <> 0),
 eq AS (SELECT *, CASE WHEN id % 50 = 0 THEN 'co' ELSE 'closure' END AS kind FROM pts WHERE id % 5 = 0),
