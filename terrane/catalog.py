@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import coverage, evaluation, network, procedural, spatial, store
+from terrane.plans import coverage, evaluation, network, procedural, rules, spatial, store, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural, store, coverage):
+for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE

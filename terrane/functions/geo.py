@@ -194,3 +194,37 @@ def clip(a: P, b: P, min_x: Column, min_y: Column, max_x: Column, max_y: Column)
     t0, t1 = F.greatest(*enter), F.least(*leave)
     got = F.struct((a.x + t0 * dx).alias("x1"), (a.y + t0 * dy).alias("y1"), (a.x + t1 * dx).alias("x2"), (a.y + t1 * dy).alias("y2"))
     return F.when(~outside & (t0 <= t1), got)
+
+
+def segment_degrees(p: P, a: P, b: P) -> Column:
+    """Distance of a point from a segment in degrees, without projection."""
+    l2 = F.pow(b.x - a.x, 2) + F.pow(b.y - a.y, 2)
+    t = F.coalesce(F.try_divide((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y), l2), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return F.hypot(p.x - (a.x + t * (b.x - a.x)), p.y - (a.y + t * (b.y - a.y)))
+
+
+def bearing(a: P, b: P) -> Column:
+    """Initial great-circle bearing from a to b in degrees, 0 to 360 from north."""
+    dx = F.radians(b.x - a.x)
+    north = F.cos(F.radians(a.y)) * F.sin(F.radians(b.y)) - F.sin(F.radians(a.y)) * F.cos(F.radians(b.y)) * F.cos(dx)
+    return F.pmod(F.degrees(F.atan2(F.sin(dx) * F.cos(F.radians(b.y)), north)), F.lit(360.0))
+
+
+def destination(a: P, metres: Column, degrees: Column) -> P:
+    """The point so many metres from a in a direction."""
+    d, t, y = metres / EARTH_M, F.radians(degrees), F.radians(a.y)
+    lat = F.asin(F.sin(y) * F.cos(d) + F.cos(y) * F.sin(d) * F.cos(t))
+    lng = F.radians(a.x) + F.atan2(F.sin(t) * F.sin(d) * F.cos(y), F.cos(d) - F.sin(y) * F.sin(lat))
+    return P(F.degrees(lng), F.degrees(lat))
+
+
+def line_glyph(dc: Column, dr: Column) -> Column:
+    """Character of a line on a grid: flat or steep beyond 2 to 1, else one of the diagonals (rows run southwards)."""
+    flat, steep = F.abs(dc) >= 2 * F.abs(dr), F.abs(dr) >= 2 * F.abs(dc)
+    return F.when(flat, "-").when(steep, "|").when((dc > 0) == (dr > 0), "\\").otherwise("/")
+
+
+def in_service_area(p: P, ring: Column) -> Column:
+    """Inside a ring; an area of fewer than four vertices takes everything in."""
+    return F.coalesce(F.size(ring) < 4, F.lit(True)) | F.coalesce(in_ring(p, ring), F.lit(False))

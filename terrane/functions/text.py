@@ -9,6 +9,8 @@ ROAD_WORDS = r"(street|st\.?|road|rd\.?|avenue|ave\.?)"
 #: Letters with marks and what they stand for; single letters only, as one translation.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Words for street and boulevard before a name.
+LABEL_PREFIXES = ("רחוב", "שדרות")
 LABELS = (("Street", "ST"), ("Avenue", "AVE"), ("Boulevard", "BLVD"), ("Road", "RD"), ("Drive", "DR"), ("Lane", "LN"), ("Court", "CT"))
 FIBRE_COLOURS = ("blue", "orange", "green", "brown", "slate", "white", "red", "black", "yellow", "violet", "rose", "aqua")
 
@@ -52,6 +54,8 @@ def street_label(name: Column) -> Column:
     """[NAME ST]: road words shortened, upper case, at most 15 characters."""
     for word, short in LABELS:
         name = F.regexp_replace(name, rf"(?i)\s+{word}$", f" {short}")
+    for word in LABEL_PREFIXES:
+        name = F.regexp_replace(name, rf"^{word}\s+", "")
     return F.concat(F.lit("["), F.substring(F.upper(F.trim(name)), 1, 15), F.lit("]"))
 
 
@@ -106,3 +110,40 @@ def match_tier(value: Column, wanted: Column) -> Column:
 
 def dates_in(text: Column) -> Column:
     return F.to_date(F.nullif(F.regexp_extract(text, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")))
+
+
+def letters(n: Column) -> Column:
+    """A, B, ... Z, AA, AB, ... for 1, 2, ..., up to three letters."""
+    char = lambda k: F.char((65 + k).cast("int"))
+    one, two = n - 1, n - 27
+    three = n - 703
+    return (
+        F.when(n <= 26, char(one % 26))
+        .when(n <= 702, F.concat(char(F.floor(two / 26) % 26), char(two % 26)))
+        .otherwise(F.concat(char(F.floor(three / 676) % 26), char(F.floor(three / 26) % 26), char(three % 26)))
+    )
+
+
+def longest_first(text: Column, names: list[str]) -> Column:
+    """The longest of some names that a text holds, of equally long ones the first in order; null where it holds none."""
+    out = F.lit(None).cast("string")
+    for name in sorted(names, key=lambda k: (-len(k), k))[::-1]:
+        out = F.when(F.contains(F.lower(text), F.lit(name.lower())), F.lit(name)).otherwise(out)
+    return out
+
+
+def last_triple(text: Column) -> Column:
+    """The last (subject, predicate, object) of a text, as written."""
+    found = F.regexp_extract_all(text, F.lit(r"\([a-z ]+, *[a-z ]+, *[a-z ]+\)"), F.lit(0))
+    return F.try_element_at(found, F.lit(-1))
+
+
+def padded(n: Column, width: int) -> Column:
+    """A number with zeros in front, never cut."""
+    t = n.cast("string")
+    return F.lpad(t, F.greatest(F.lit(width), F.length(t)), F.lit("0"))
+
+
+def element_type(node: Column) -> Column:
+    """Kind of element of a node; unknown ones are houses."""
+    return F.when(node.isin("co", "cabinet", "closure", "pole", "house"), node).otherwise("house")

@@ -44,6 +44,24 @@ def test_executor(spark):
     assert [ex.fixed(v, 1) for v in (0.15, 0.25, -2.5)] == ["0.1", "0.3", "-2.5"]
 
 
+def test_executor_on_many_shapes(spark):
+    text = "\n".join([
+        '{"op": "midpoint", "units": "m", "a": [0, 0], "b": [3, 5]}',
+        '{"op": "convex_hull", "points": {"a": [0,0], "m": [1,1], "b": [2,0], "c": [2,2], "d": [0,2]}}', '{"op": "convex_hull", "points": {"a": [0]}}', '{"op": "convex_hull"}',
+        '{"op": "segments_cross_polygons", "segments": {"s": {"a": [-1,1], "b": [3,1]}, "t": {"a": [-1,1], "b": [3,1], "exclude": ["R"]}}, "rings": {"R": [[0,0],[2,0],[2,2],[0,2]], "Q": [[9,9],[10,9],[10,10]]}}',
+        '{"op": "segments_cross_polygons", "segments": {}, "rings": {}}',
+        '{"op": "nearest_where", "units": "m", "target": [0,0], "exclude_field": "street", "exclude_value": "Oak", "candidates": {"p": {"xy": [1,0], "street": "Oak"}, "q": {"xy": [3,4], "street": "Elm"}, "r": {"xy": [0,2], "street": "Ash"}}}',
+        '{"op": "nearest_where", "target": [0,0]}',
+    ])
+    r = ex.run(ex.parse(spark.createDataFrame([(1, text)], "id int, text string")))
+    got = [x.answer for x in r.orderBy("n").collect()]
+    assert got[0] == "[1.500000, 2.500000] (m)" and got[1] == "hull: [a, b, c, d]  interior: [m]"
+    assert got[4] == "s -> crosses: [R] | t -> crosses: []" and got[6] == "nearest:r | ranked: r(Ash)=2.0, q(Elm)=5.0 | excluded:[p]"
+    assert all(got[i].startswith("ERROR") for i in (2, 3, 5, 7))
+    bound = {n: ex.complete(ex.parse(spark.createDataFrame([(1, text)], "id int, text string")), n).first().complete for n in (3, 4)}
+    assert bound == {3: True, 4: False}
+
+
 def test_executor_caps_lines(spark):
     text = "\n".join(['{"op": "dist", "a": [0,0], "b": [0,0]}'] * 70)
     assert ex.parse(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")).count() == ex.MOST_LINES
