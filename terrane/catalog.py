@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import coverage, evaluation, network, procedural, rules, spatial, store, views
+from terrane.plans import coverage, evaluation, network, procedural, rules, spatial, store, towns, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules):
+for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, towns):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE
