@@ -717,6 +717,115 @@ def test_pipeline_stages(spark, docs, rows):
     assert mixed.columns == names and {tuple(r) for r in have} == {tuple(r) for r in taken if r[1]}
 
 
+def _plain_pipeline(rows):
+    """Rows after quality rules (groups here are too small for estimates), line dedup and near-duplicate removal, in plain Python."""
+    kept = []
+    for r in rows:
+        n, *_, repeated = _stats(r[1])
+        if n >= 1 and 100 * repeated <= 50 * n:
+            kept.append(r)
+    key = lambda x: x.strip(" \t\r\x0b\x0c")
+    pages, held = Counter(r[3] for r in kept), Counter()
+    for r in kept:
+        held.update({(r[3], key(x)) for x in r[1].split("\n") if key(x)})
+    bad = {k for k, n in held.items() if n >= lines.LEAST_PAGES and n > lines.RATIO * pages[k[0]]}
+    clean = []
+    for r in kept:
+        own = [x for x in r[1].split("\n") if (r[3], key(x)) not in bad]
+        t = "\n".join(own)
+        clean.append((r[0], t, r[2], r[3], len(t) if t != r[1] else r[4]))
+    sets = [_shingles(r[1]) for r in clean]
+    root = list(range(len(clean)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(clean)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(clean):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    single = [r for i, r in enumerate(clean) if r[0] == least[find(i)]]
+    return kept, clean, single
+
+
+def test_pipeline_against_plain_python(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for i in range(84):
+        text = [" ".join(word() for _ in range(rng.randint(1, 15))) for _ in range(rng.randint(1, 12))]
+        if i % 3 == 0:
+            text.insert(rng.randrange(len(text) + 1), "Home | About | Contact")
+        if i % 9 == 8:
+            text = rows[-1][1].split("\n")[:]
+            text[-1] += " more" * (i % 2)
+        rows.append((i, "\n".join(text), f"l{i % 6}", ["a", "b", None][i % 3 if i % 7 else 0], 0))
+    rows += [(90, None, "l0", "a", 0), (91, "", "l1", "a", 0), (92, " \n\t", "l2", "b", 0), (93, "x y z " * 50, "l3", "b", 0), (94, "<|endoftext|> odd text", "l4", None, 0)]
+    rows = [(*r[:4], len(r[1] or "")) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want, got = _plain_pipeline(rows), []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        got.append(sorted(map(tuple, docs.collect()), key=repr))
+    for have, plain in zip(got, want):
+        assert have == sorted(plain, key=repr)
+    assert len(want[0]) > len(want[2]) > 60 and any("Home | About" in r[1] for r in want[0]) and not any("Home | About" in r[1] and r[3] == "a" for r in want[1])
+    size = {r[0]: len(WORDS.findall(r[1])) for r in want[2]}
+    sizes = Counter()
+    for r in want[2]:
+        sizes[r[3]] += size[r[0]]
+    mixed = [tuple(r) for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    taken, each, source = Counter(), Counter(), {r[0]: r for r in want[2]}
+    for r in mixed:
+        n = len(WORDS.findall(r[1]))
+        taken[r[3]] += n
+        each[r[0]] += n
+        assert r[2:4] == source[r[0]][2:4] and WORDS.findall(r[1]) == WORDS.findall(source[r[0]][1])[:n]
+    assert {k: int(v + 1e-6) for k, v in _mix(sizes).items()} == dict(taken) and all(n <= 2 * size[k] for k, n in each.items())
+    t = Tokenizer.from_file(tokens.default_path("word_bpe_49k.json"))
+    pieces = Counter()
+    for r in mixed:
+        ids = np.array(t.encode(r[1], add_special_tokens=False).ids + [0], "<u4")
+        pieces.update((r[0], k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048)))
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(mixed, docs.schema), "").collect()
+    assert Counter(tuple(r)[:5] for r in packed) == pieces
+    assert len({r.sequence_id for r in packed}) == len(packing.sequential_best_fit([r.length for r in packed]))
+
+
+def test_pieces_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, 700, "x", 5), (2, 1400, "y", 6)], "id int, length long, sequence_id string, offset int")
+    out = packing.best_fit(d)
+    assert out.columns == ["id", "length", "sequence_id", "offset"] and out.dtypes[2:] == [("sequence_id", "bigint"), ("offset", "bigint")]
+    assert {r.id: (r.sequence_id, r.offset) for r in out.collect()} == {2: (0, 0), 1: (1, 0)}
+
+
+def test_files_of_a_lost_attempt_go(spark, tmp_path):
+    """What a dead task has left is deleted."""
+    path = tokens.default_path("byte_bpe_50k.json")
+    (tmp_path / "r").mkdir()
+    for kind in ("rec", "idx"):
+        (tmp_path / "r" / f"part-000000-77.{kind}").write_bytes(b"half a record")
+    d = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string")
+    files = records.write_records(d, path, f"file://{tmp_path}/r", 2)
+    assert len(list((tmp_path / "r").glob("*.rec"))) == 2 and not list((tmp_path / "r").glob("*-77.*"))
+    assert [r.doc_id for r in records.read_files(spark, files).orderBy("start").collect()] == list(range(40))
+
+
+def test_files_follow_the_bytes_of_texts(spark, tmp_path, monkeypatch):
+    assert records.FILE_BYTES == 128 << 20
+    monkeypatch.setattr(records, "FILE_BYTES", 2000)
+    d = spark.createDataFrame([(i, "some words " * 100) for i in range(40)], "doc_id long, text string")
+    assert len(records.write_records(d, tokens.default_path("byte_bpe_50k.json"), f"file://{tmp_path}/s")) > 8
+
+
 def test_pipeline_end_to_end(spark):
     out = corpus_pipeline.run(spark, DATA)
     fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).collect()
