@@ -76,10 +76,61 @@ def write_run_log(path: str, **tables: DataFrame) -> None:
         lines.write.text(path)
 
 
-def feature_collection(nodes: DataFrame, zone: str) -> DataFrame:
-    """(zone, geojson): the nodes (id, x, y) of each zone as one document; zones are small by definition."""
-    feature = F.struct(
-        F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"), F.struct(F.col("id").alias("id")).alias("properties")
-    )
-    every = F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), feature.alias("f"))))
-    return nodes.groupBy(zone).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform(every, lambda s: s["f"]).alias("features"))).alias("geojson"))
+def feature_collection(nodes: DataFrame, zone: str, cables: DataFrame | None = None) -> DataFrame:
+    """(zone, geojson): the nodes (id, x, y) of each zone, and its cables (id, x, y, bx, by), as one document; zones are small by
+    definition. zone_features() reads it back."""
+
+    def features(df: DataFrame, place: int, kind: str, at) -> DataFrame:
+        shape = F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":'), F.to_json(at), F.lit('},"properties":'), F.to_json(F.struct(F.col("id").cast("string").alias("id"))), F.lit("}"))
+        return df.select(zone, F.lit(place).alias("place"), F.col("id").cast("string").alias("k"), shape.alias("f"))
+
+    every = features(nodes, 0, "Point", F.array("x", "y"))
+    if cables is not None:
+        every = every.unionByName(features(cables, 1, "LineString", F.array(F.array("x", "y"), F.array("bx", "by"))))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "k", "f"))), lambda s: s["f"])
+    return every.groupBy(zone).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("geojson"))
+
+
+TOOL_ROW = "messages array<struct<role:string,content:string>>, family string, scene string"
+GRAPH = "nodes array<struct<id:string,lng:double,lat:double,type:string,streets:array<string>>>, edges array<struct<id:string,source:string,target:string,distance:double,kind:string>>"
+
+
+def tool_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per message of JSON lines with conversations: row id, family, scene, turn, role, content. Broken lines are left out."""
+    d = spark.read.text(path).select(F.from_json("value", TOOL_ROW).alias("r"), F.xxhash64("value").alias("row")).filter("r.messages IS NOT NULL")
+    return d.select("row", "r.family", "r.scene", F.posexplode("r.messages").alias("turn", "m")).select("row", "family", "scene", "turn", "m.role", "m.content")
+
+
+def routing_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of routing graphs in JSON; edges whose ends are not among the nodes are left out."""
+    d = spark.read.schema(GRAPH).json(path, multiLine=True)
+    nodes, edges = d.select(F.explode("nodes").alias("n")).select("n.*"), d.select(F.explode("edges").alias("e")).select("e.*")
+    known = nodes.select("id").distinct()
+    ends = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes, ends.select("id", "source", "target", "distance", "kind")
+
+
+def write_routing_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines in two folders, which any number of tasks can write."""
+    nodes.write.json(f"{path}/nodes")
+    edges.write.json(f"{path}/edges")
+
+
+def write_split(rows: DataFrame, path: str, split: str = "split") -> None:
+    """Rows as JSON lines in a folder for each split (train, val)."""
+    rows.write.partitionBy(split).json(path)
+
+
+def write_report(lines: DataFrame, path: str, title: str, order: str = "arm", line: str = "line") -> None:
+    """report.md: a title and the table of a run's arms, which are few."""
+    head = lines.sparkSession.createDataFrame([(0, "", f"# {title}"), (1, "", "| arm | n | correct | share |"), (2, "", "|-|-|-|-|")], "place int, k string, value string")
+    body = lines.select(F.lit(3).alias("place"), F.col(order).cast("string").alias("k"), F.col(line).alias("value"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("place", "k").select("value").write.text(path)
+
+
+def memory_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, section, at, entry): the bullets of Markdown files below their '## ' headings, with dates where an entry begins with one."""
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"(?m)^## ")).alias("s", "body")).filter("s > 0")
+    d = d.select("path", F.trim(F.substring_index("body", "\n", 1)).alias("section"), F.posexplode(F.split("body", "\n")).alias("at", "raw")).filter(F.col("raw").startswith("- "))
+    entry = F.substring(F.col("raw"), 3, 1_000_000)
+    return d.select("path", "section", "at", entry.alias("entry"), F.nullif(F.regexp_extract(entry, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")).try_cast("date").alias("day"))

@@ -169,3 +169,29 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("acc").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("acc").collect())) == sorted(map(tuple, windowed_accuracy(e, "1 day").collect()))
+
+
+def test_documents_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("z", "a", 1.5, 2.5), ("z", "b", 3.0, 4.0)], "zone string, id string, x double, y double")
+    lines = spark.createDataFrame([("z", "c", 1.5, 2.5, 3.0, 4.0)], "zone string, id string, x double, y double, bx double, by double")
+    readers.feature_collection(nodes, "zone", lines).select("geojson").write.text(f"{tmp_path}/geo")
+    got, ways = readers.zone_features(spark, f"{tmp_path}/geo")
+    assert sorted((r.id, r.position.x, r.position.y) for r in got.collect()) == [("a", 1.5, 2.5), ("b", 3.0, 4.0)]
+    assert [(r.id, len(r.path), r.path[1].y) for r in ways.collect()] == [("c", 2, 4.0)]
+
+    (tmp_path / "rows.jsonl").write_text('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "family": "f", "scene": "s"}\nbroken\n')
+    assert [(r.turn, r.role, r.content) for r in readers.tool_rows(spark, f"{tmp_path}/rows.jsonl").orderBy("turn").collect()] == [(0, "user", "q"), (1, "assistant", "a")]
+
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "lng": 1, "lat": 2}, {"id": "b", "lng": 1, "lat": 3}], "edges": [{"id": "e", "source": "a", "target": "b", "distance": 5}, {"id": "x", "source": "a", "target": "none"}]}')
+    n, e = readers.routing_graph(spark, f"{tmp_path}/g.json")
+    assert n.count() == 2 and [r.id for r in e.collect()] == ["e"]
+    readers.write_routing_graph(n, e, f"{tmp_path}/graph")
+    assert spark.read.json(f"{tmp_path}/graph/edges").first().distance == 5
+
+    (tmp_path / "m.md").write_text("# Site\n## Issues\n- 2024-05-01 duct full\n- no permit\ntext\n## Notes\n- call first\n")
+    assert [(r.section, r.entry, str(r.day)) for r in readers.memory_entries(spark, f"{tmp_path}/m.md").orderBy("section", "at").collect()] == [("Issues", "2024-05-01 duct full", "2024-05-01"), ("Issues", "no permit", "None"), ("Notes", "call first", "None")]
+
+    readers.write_report(spark.createDataFrame([("b", "| b |"), ("a", "| a |")], "arm string, line string"), f"{tmp_path}/report", "Run")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["# Run", "| arm | n | correct | share |", "|-|-|-|-|", "| a |", "| b |"]
+    readers.write_split(spark.createDataFrame([(1, "train"), (2, "val")], "id int, split string"), f"{tmp_path}/split")
+    assert spark.read.json(f"{tmp_path}/split/split=val").first().id == 2
