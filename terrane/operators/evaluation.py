@@ -38,9 +38,10 @@ def grouping_sets(items: DataFrame) -> DataFrame:
 def paired(items: DataFrame) -> DataFrame:
     """Paired tests of arms over items with equal scene, question, model and repeat; of repeated keys the last counts."""
     key = ["scene", "question", "model", "repeat"]
-    last = items.groupBy("arm", *key).agg(F.max_by("correct", "ord").alias("correct"))
-    a, b = last.withColumnsRenamed({"arm": "arm_a", "correct": "ca"}), last.withColumnsRenamed({"arm": "arm_b", "correct": "cb"})
-    pairs = a.join(b, key).filter("arm_a < arm_b")
+    last = items.groupBy(*key, "arm").agg(F.max_by("correct", "ord").alias("correct"))
+    arms = last.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("arm", "correct"))).alias("a"))  # a row per arm
+    two = F.flatten(F.transform("a", lambda x, i: F.transform(F.slice(F.col("a"), i + 2, F.size("a")), lambda y: F.struct(x["arm"].alias("arm_a"), y["arm"].alias("arm_b"), x["correct"].alias("ca"), y["correct"].alias("cb")))))
+    pairs = arms.select(F.explode(two).alias("p")).select("p.*")
     out = pairs.groupBy("arm_a", "arm_b").agg(
         F.count("*").alias("n"), F.count_if(F.expr("ca AND NOT cb")).alias("b"), F.count_if(F.expr("cb AND NOT ca")).alias("c")
     )

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 def _settled(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrane-"))
     return df.checkpoint()
 
 
@@ -46,18 +49,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def trace_up(starts: DataFrame, cables: DataFrame, hops: int = 20) -> DataFrame:
     """(id, path): from each id along target -> source to the top, at most `hops` cables, stopping before a node comes twice.
-    Of several cables into a node the last by `ord` counts."""
-    up = cables.groupBy(F.col("target").alias("at")).agg(F.max_by("source", "ord").alias("next"))
-    walk = starts.select("id", F.array("id").alias("path"), F.col("id").alias("at"))
-    done = None
-    for _ in range(hops):
-        step = walk.join(up, "at", "left")
-        ended = step.filter(F.col("next").isNull() | F.array_contains("path", F.col("next"))).select("id", "path")
-        done = ended if done is None else done.unionByName(ended)
-        walk = _settled(step.filter(F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))).select("id", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
-        if walk.isEmpty():
-            return done
-    return done.unionByName(walk.select("id", "path"))
+    Of several cables into a node the last by `ord` counts. Ways double in length each round, so there are about as
+    many rounds as the longest way has binary digits; on a cycle a way repeats itself and is cut to its first turn."""
+    up = cables.groupBy(F.col("target").alias("at")).agg(F.max_by("source", "ord").alias("last"))
+    way = up.select("at", F.array("last").alias("way"), "last")
+    for _ in range(max(1, hops).bit_length()):
+        more = way.select(F.col("at").alias("last"), F.col("way").alias("rest"), F.col("last").alias("end"))
+        longer = way.join(more, "last", "left").select("at", F.concat("way", F.coalesce("rest", F.array().cast("array<string>"))).alias("way"), F.coalesce("end", "last").alias("last"), F.col("end").isNotNull().alias("grew"))
+        way = _settled(longer)
+        if way.filter("grew").isEmpty():
+            break
+        way = way.drop("grew")
+    walked = starts.select("id").join(way.select(F.col("at").alias("id"), "way"), "id", "left")
+    path = F.array_distinct(F.concat(F.array("id"), F.coalesce("way", F.array().cast("array<string>"))))
+    return walked.select("id", F.slice(path, 1, hops + 1).alias("path"))
 
 
 def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:

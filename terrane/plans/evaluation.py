@@ -115,16 +115,16 @@ def run_totals(spark, sf_dir):
     return items(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("arm") == "error").alias("errors"), F.count_distinct("scene").alias("scenes"), F.count_distinct("arm").alias("arms"))
 
 
-_ANSWERS = """a AS (SELECT o_orderkey AS item, list(CAST(l_suppkey AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END ORDER BY l_linenumber, l_suppkey, l_partkey % 2) AS cited,
- list(CAST(CASE WHEN o_orderkey % 3 = 0 THEN l_suppkey ELSE l_suppkey + (l_partkey % 2) END AS VARCHAR) ORDER BY l_linenumber, l_suppkey, l_partkey % 2) AS truth FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"""
+_ANSWERS = """a AS (SELECT l_orderkey AS item, list(CAST(l_suppkey AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END ORDER BY l_linenumber, l_suppkey, l_partkey % 2) AS cited,
+ list(CAST(CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey ELSE l_suppkey + (l_partkey % 2) END AS VARCHAR) ORDER BY l_linenumber, l_suppkey, l_partkey % 2) AS truth FROM lineitem GROUP BY 1)"""
 
 
 def _answers(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, sf_dir, "lineitem")
     cited = F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(""))
-    truth = F.when(F.col("o_orderkey") % 3 == 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") + F.col("l_partkey") % 2).cast("string")
-    own = li.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", (F.col("l_partkey") % 2).alias("o"), cited.alias("c"), truth.alias("t")))).alias("x"))
-    return own.select(F.col("o_orderkey").alias("item"), F.transform("x", lambda s: s["c"]).alias("cited"), F.transform("x", lambda s: s["t"]).alias("truth"))
+    truth = F.when(F.col("l_orderkey") % 3 == 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") + F.col("l_partkey") % 2).cast("string")
+    own = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", (F.col("l_partkey") % 2).alias("o"), cited.alias("c"), truth.alias("t")))).alias("x"))
+    return own.select(F.col("l_orderkey").alias("item"), F.transform("x", lambda s: s["c"]).alias("cited"), F.transform("x", lambda s: s["t"]).alias("truth"))
 
 
 @query(f"""WITH {_ANSWERS}, t AS (SELECT item, list_transform(cited, lambda x: trim(x)) AS c, truth AS t FROM a)

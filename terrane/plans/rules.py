@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import grading as gd
 from terrane.functions import text as tx
 from terrane.functions.stats import half_up
+from terrane.operators.routing import EDGE_COSTS
 from terrane.plans.evaluation import ITEMS, items
 from terrane.plans.network import NET, cables, net, nodes
 from terrane.sources.scenes import table
@@ -144,8 +145,6 @@ def result_parsers(spark, sf_dir):
     return p.select("id", F.regexp_extract("t", "=([0-9.]+)", 1).cast("double").alias("dist"), F.regexp_extract("t", "nearest:([A-Za-z0-9-]+)", 1).alias("nearest"), F.get(ids, F.lit(1)).alias("second"))
 
 
-#: Cost of a metre by kind of edge, under ground and in the air.
-EDGE_COSTS = {"sidewalk": (1.0, 0.7), "road_crossing": (3.0, 1.0), "aerial_span": (2.0, 0.5), "conduit": (0.3, 0.3)}
 
 
 @query(f"""{W}, k AS (SELECT id, length, CASE CAST(ord % 4 AS INT) WHEN 0 THEN 'sidewalk' WHEN 1 THEN 'road_crossing' WHEN 2 THEN 'aerial_span' ELSE 'conduit' END AS kind FROM cables)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.functions.geo import P
 from terrane.functions.stats import half_up
+from terrane.operators import graph as gr
+from terrane.operators import routing as rt
 from terrane.operators import spatial as sp
 from terrane.sources import towns as tw
 
@@ -83,3 +85,37 @@ def town_extent(spark, sf_dir):
     side = lambda mark: F.max(F.when(F.col("street_id").startswith(mark), F.col("d")))
     own = s.withColumn("d", d).groupBy("scene_id").agg((F.count("*") / 2 - 1).cast("long").alias("nx"), side("st-h").alias("width_m"), side("st-v").alias("height_m"))
     return own.select("scene_id", "nx", "width_m", "height_m")
+
+
+@query(f"WITH {SPEC}, k AS (SELECT scene_id, n, CAST(floor((1 + 5 * n - 1) * 10 / 12.0) AS BIGINT) AS steps FROM s) SELECT scene_id, CAST((2 * n + 2) * 2 * (steps + 1) AS BIGINT) AS nodes, CAST((2 * n + 2) * 2 * steps AS BIGINT) AS along, CAST((2 * n + 2) * (steps + 1) AS BIGINT) AS across FROM k")
+def town_routing(spark, sf_dir):
+    """Size of the routing graph of each town."""
+    nodes = rt.pavement_nodes(tw.streets(tw.specifications(spark, TOWNS)))
+    n = nodes.groupBy("scene_id").agg(F.count("*").alias("nodes"))
+    kinds = rt.edges(nodes).groupBy("scene_id").agg(F.count_if(F.col("kind") == "sidewalk").alias("along"), F.count_if(F.col("kind") == "road_crossing").alias("across"))
+    return n.join(kinds, "scene_id")
+
+
+@query(f"WITH {SPEC} SELECT scene_id, CAST(2 * n + 2 AS BIGINT) AS apart, CAST(1 AS BIGINT) AS joined FROM s WHERE scene_id < 6")
+def town_bridges(spark, sf_dir):
+    """Streets are apart until bridges join all of a town."""
+    nodes = rt.pavement_nodes(tw.streets(tw.specifications(spark, 6)))
+    found = rt.edges(nodes)
+    parts = lambda e, name: nodes.select("scene_id", "id").join(gr.components(e.select("source", "target")), "id").groupBy("scene_id").agg(F.count_distinct("component").alias(name))
+    whole = found.unionByName(rt.bridges(nodes, found))
+    return parts(found, "apart").join(parts(whole, "joined"), "scene_id")
+
+
+@query(f"""WITH {SPEC}, p AS (SELECT scene_id, n, unnest(range(n + 1)) AS i FROM s WHERE scene_id < 18), q AS (SELECT *, unnest(range(n + 1)) AS j FROM p) SELECT scene_id, i, j, 50 * (i + j) AS metres FROM q""")
+def town_one_way(spark, sf_dir):
+    """Shortest ways from the south-western corner over streets of which those across the town lead eastwards only."""
+    n = tw.specifications(spark, 18).select("scene_id", F.col("nx").alias("n"))
+    at = n.select("scene_id", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("j"))
+    name = lambda i, j: F.concat_ws("/", F.col("scene_id").cast("string"), i.cast("string"), j.cast("string"))
+    i, j = F.col("i"), F.col("j")
+    east = at.filter("i < n").select(name(i, j).alias("source"), name(i + 1, j).alias("target"), F.lit(50.0).alias("cost"))
+    north = at.filter("j < n").select(name(i, j).alias("source"), name(i, j + 1).alias("target"), F.lit(50.0).alias("cost"))
+    edges = rt.directed(east, F.lit(True)).unionByName(rt.directed(north, F.lit(False)))
+    best = gr.shortest(edges, n.select(name(F.lit(0), F.lit(0)).alias("start")))
+    part = lambda k: F.get(F.split("id", "/"), F.lit(k))
+    return best.select(part(0).cast("int").alias("scene_id"), part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), F.col("cost").cast("long").alias("metres"))

@@ -91,3 +91,20 @@ def test_names(spark):
     d = spark.createDataFrame([("רחוב הרצל",), ("שדרות רוטשילד",), ("Long Winding Boulevard Road",), ("Main street",)], "s string")
     assert [r[0] for r in d.select(tx.street_label(F.col("s"))).collect()] == ["[הרצל]", "[רוטשילד]", "[LONG WINDING BO]", "[MAIN ST]"]
     assert d.select(tx.last_triple(F.lit("(a, b, c) x (d, e, f)"))).first()[0] == "(d, e, f)"
+
+
+def test_ways_to_the_top(spark):
+    """Chains of any length up to the bound, cycles cut at their first turn, and ids without a cable."""
+    c = [(f"a{i}", f"a{i + 1}", i) for i in range(30)] + [("x", "y", 1), ("y", "z", 2), ("z", "x", 3), ("x", "t", 4), ("w", "t2", 1), ("v", "t2", 9)]
+    up = {}
+    for source, target, order in sorted(c, key=lambda e: e[2]):
+        up[target] = source
+    want = {}
+    for start in ("a30", "a12", "a1", "a0", "t", "y", "t2", "alone"):
+        path = [start]
+        while len(path) <= 20 and path[-1] in up and up[path[-1]] not in path:
+            path.append(up[path[-1]])
+        want[start] = path
+    cables = spark.createDataFrame(c, "source string, target string, ord int")
+    got = {r.id: r.path for r in graph.trace_up(spark.createDataFrame([(k,) for k in want], "id string"), cables).collect()}
+    assert got == want
