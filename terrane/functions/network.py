@@ -13,8 +13,9 @@ SPLITTERS = {
     "twin": {4: 7.3, 8: 10.7, 16: 14.1, 32: 17.5},
     "zone": {2: 3.6, 4: 7.2, 8: 10.8, 16: 14.1, 32: 17.5},
     "closure": {2: 3.6, 4: 7.2, 8: 10.8, 16: 14.1, 32: 17.5, 64: 21.0},
+    "port": {2: 3.6, 4: 7.2, 8: 10.8, 16: 14.1, 32: 17.5},  # the splitter alone
 }
-MISSING = {"index": 10.8, "twin": 0.0, "zone": 0.0, "closure": 10.8}
+MISSING = {"index": 10.8, "twin": 0.0, "zone": 0.0, "closure": 10.8, "port": 10.8}
 RESERVE = {"index": 0.0, "twin": 3.0, "zone": 0.0, "closure": 3.0}
 DECIMALS = {"index": 2, "twin": 1, "zone": None, "closure": 2}
 

@@ -47,13 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def trace_up(starts: DataFrame, cables: DataFrame, hops: int = 20) -> DataFrame:
-    """(id, path): from each id along target -> source to the top, at most `hops` cables, stopping before a node comes twice.
+def trace_up(starts: DataFrame, cables: DataFrame, hops: int | None = 20) -> DataFrame:
+    """(id, path): from each id along target -> source to the top, at most `hops` cables (None: all, for cables
+    without a cycle), stopping before a node comes twice.
     Of several cables into a node the last by `ord` counts. Ways double in length each round, so there are about as
     many rounds as the longest way has binary digits; on a cycle a way repeats itself and is cut to its first turn."""
     up = cables.groupBy(F.col("target").alias("at")).agg(F.max_by("source", "ord").alias("last"))
     way = up.select("at", F.array("last").alias("way"), "last")
-    for _ in range(max(1, hops).bit_length()):
+    for _ in range(64 if hops is None else max(1, hops).bit_length()):
         more = way.select(F.col("at").alias("last"), F.col("way").alias("rest"), F.col("last").alias("end"))
         longer = way.join(more, "last", "left").select("at", F.concat("way", F.coalesce("rest", F.array().cast("array<string>"))).alias("way"), F.coalesce("end", "last").alias("last"), F.col("end").isNotNull().alias("grew"))
         way = _settled(longer)
@@ -62,7 +63,7 @@ def trace_up(starts: DataFrame, cables: DataFrame, hops: int = 20) -> DataFrame:
         way = way.drop("grew")
     walked = starts.select("id").join(way.select(F.col("at").alias("id"), "way"), "id", "left")
     path = F.array_distinct(F.concat(F.array("id"), F.coalesce("way", F.array().cast("array<string>"))))
-    return walked.select("id", F.slice(path, 1, hops + 1).alias("path"))
+    return walked.select("id", (path if hops is None else F.slice(path, 1, hops + 1)).alias("path"))
 
 
 def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.functions.geo import P
 from terrane.operators import graph as gr
+from terrane.operators import spatial as sp
 
 #: Cost of a metre by kind of edge, under ground and in the air.
 EDGE_COSTS = {"sidewalk": (1.0, 0.7), "road_crossing": (3.0, 1.0), "aerial_span": (2.0, 0.5), "conduit": (0.3, 0.3)}
@@ -60,3 +61,20 @@ def directed(segments: DataFrame, oneway: Column) -> DataFrame:
     """Edges of segments (source, target, cost) in the ways that may be driven."""
     back = segments.filter(~F.coalesce(oneway, F.lit(False))).select(F.col("target").alias("source"), F.col("source").alias("target"), "cost")
     return segments.select("source", "target", "cost").unionByName(back)
+
+
+def reach(points: DataFrame, offices: DataFrame, nodes: DataFrame, edges: DataFrame, metres: float) -> DataFrame:
+    """(scene_id, id, node, distance, reason, cost, way) of points: each is put on the nearest node (scene_id, id, x, y) no farther than
+    metres, and so is the scene's office (scene_id, x, y). Reasons: reachable, different_component (no way over the directed edges
+    (source, target, cost)), too_far_from_graph (the point or the office). The way runs from the point's node to the office's."""
+    snap = lambda p: sp.nearest(p, nodes, 1).filter(F.col("d") <= metres)
+    office = snap(offices.select("scene_id", F.lit("office").alias("id"), "x", "y")).select("scene_id", F.col("other").alias("start"))
+    near = snap(points).select("scene_id", "id", F.col("other").alias("node"), F.col("d").alias("distance"))
+    best = gr.shortest(edges, office.select("start").distinct())
+    steps = best.filter("previous IS NOT NULL").select(F.col("previous").alias("source"), F.col("id").alias("target"), F.lit(0).alias("ord"))
+    wanted = near.select(F.col("node").alias("id")).distinct()
+    ways = gr.trace_up(wanted, steps, None).select(F.col("id").alias("node"), F.col("path").alias("way"))
+    found = points.select("scene_id", "id").join(near, ["scene_id", "id"], "left").join(office, "scene_id", "left")
+    found = found.join(best.select("start", F.col("id").alias("node"), "cost"), ["start", "node"], "left").join(ways, "node", "left")
+    reason = F.when(F.col("node").isNull() | F.col("start").isNull(), "too_far_from_graph").when(F.col("cost").isNull(), "different_component").otherwise("reachable")
+    return found.select("scene_id", "id", "node", "distance", reason.alias("reason"), "cost", F.when(F.col("cost").isNotNull(), F.col("way")).alias("way"))

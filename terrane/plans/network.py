@@ -112,9 +112,9 @@ def _db(profile: str):
     return F.round(db, 6) if profile == "zone" else db
 
 
-@query(f"{W} SELECT house, co, metres, " + ", ".join(f"{_db_sql(p)} AS db_{p}" for p in nw.SPLITTERS) + " FROM paths")
+@query(f"{W} SELECT house, co, metres, " + ", ".join(f"{_db_sql(p)} AS db_{p}" for p in nw.RESERVE) + " FROM paths")
 def optical_paths(spark, sf_dir):
-    return paths(spark, sf_dir).select("house", "co", "metres", *[_db(p).alias(f"db_{p}") for p in nw.SPLITTERS])
+    return paths(spark, sf_dir).select("house", "co", "metres", *[_db(p).alias(f"db_{p}") for p in nw.RESERVE])
 
 
 @query(f"{W}, p AS (SELECT co, {_db_sql('index')} AS db FROM paths) SELECT co, count(*) AS n, count(*) FILTER (db <= 28) AS compliant, count(*) FILTER (db >= 25 AND db < 27) AS warning, count(*) FILTER (db >= 27) AS critical, floor(avg(db) * 10 + 0.5) / 10 AS avg_db, max(db) AS max_db, min(db) AS min_db FROM p GROUP BY 1")
