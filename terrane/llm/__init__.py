@@ -1 +1 @@
-"""Operators for preparing training data: ten operators, their queries and their oracle SQL."""
+"""Operators for preparing training data: thirteen operators, their queries and their oracle SQL."""

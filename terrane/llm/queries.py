@@ -1,11 +1,11 @@
-"""The queries of this subpackage, op1_ to op10_, over whole tables with production parameters, and their SQL."""
+"""The queries of this subpackage, op1_ to op13_, over whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import ann, lines, mixing, neardup, packing, pii, quality, records, secrets, sharding, tokens
+from terrane.llm import ann, audit, lines, mixing, neardup, negatives, packing, pii, pivots, quality, records, secrets, sharding, tokens
 from terrane.llm.staging import Staged, table
 
 
@@ -65,11 +65,28 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters take from all documents, in every order, by source."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_pivot_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings of a label."""
+    return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of a fiftieth of the embeddings, in all of them; every seventh label is moved by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.whole_vectors(table(spark, sf_dir, "embeddings"), label))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_histogram_shards, op3_weak_supervision_pii, op4_length_delimited_records, op5_source_mix, op6_best_fit_packing,
         op7_ownership_secrets, op8_setsketch_neardup, op9_robust_outliers, op10_posting_lists,
+        op11_filter_audit, op12_pivot_neardup, op13_hard_negatives,
     )
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op7_ownership_secrets": secrets.SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": lines.SQL, "op5_source_mix": mixing.SQL, "op7_ownership_secrets": secrets.SQL, "op11_filter_audit": audit.SQL, "op12_pivot_neardup": pivots.SQL, "op13_hard_negatives": negatives.SQL}
