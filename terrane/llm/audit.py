@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.llm.staging import Staged, scratch
+
 LETTERS = "ABCDE"
 FEW_WORDS = 200
 WINDOW = 1 << 20  # bytes that are looked at together; a longer word makes a longer window
@@ -174,7 +176,7 @@ def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scanned = docs.select("doc_id", part, F.col("text").cast("string").alias("text")).mapInArrow(_scan, schema)
     flag = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(c)
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(flag("quality"), flag("toxic")).filter("quality OR toxic")
-    own = scanned.groupBy("doc_id", "part", "mask", "digest").agg(F.count("*").alias("n"))
+    own = Staged(scanned.groupBy("doc_id", "part", "mask", "digest").agg(F.count("*").alias("n")), "masks").df  # read twice
     spread = own.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0).cast("int"))
     named = spread.join(known.withColumn("salt", F.lit(0)), ["doc_id", "salt"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("quality", "toxic")})
     has_id = F.col("doc_id").isNotNull()
@@ -205,7 +207,8 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of the first id's. Rows count as often as they come. A document is good or toxic if any label of its id is 1. Texts of any
     length are scanned whole. An empty table gives an empty one.
     """
-    masks = failure_masks(docs, labels)
+    with scratch():
+        masks = Staged(failure_masks(docs, labels), "mask-counts").keep().df
     full, names = 1 << len(LETTERS), ("n", "good", "toxic")
     kept = masks.groupBy("part").agg(*[F.array(*[_without(s, c) for s in range(full)]).alias(c) for c in names])
     weight = {s: factorial(s.bit_count()) * factorial(len(LETTERS) - 1 - s.bit_count()) for s in range(full - 1)}
