@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read again."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -33,14 +34,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable. Least labels spread along edges and jump to the label of their label."""
-    links = _settled(both_ways(edges.select("source", "target")).distinct())
-    labels = _settled(links.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m")).select("id", F.least("id", "m").alias("component")))
+    links = settled(both_ways(edges.select("source", "target")).distinct())
+    labels = settled(links.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         near = links.join(labels, links.target == labels.id).groupBy(F.col("source").alias("id")).agg(F.min("component").alias("m"))
         spread = labels.join(near, "id").select("id", F.least("component", "m").alias("component"))
         jump = spread.select(F.col("id").alias("component"), F.col("component").alias("next"))
         after = spread.join(jump, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-        after = _settled(after)
+        after = settled(after)
         changed = after.withColumnRenamed("component", "now").join(labels, "id").filter("now <> component").isEmpty()
         labels = after
         if changed:
@@ -57,7 +58,7 @@ def trace_up(starts: DataFrame, cables: DataFrame, hops: int | None = 20) -> Dat
     for _ in range(64 if hops is None else max(1, hops).bit_length()):
         more = way.select(F.col("at").alias("last"), F.col("way").alias("rest"), F.col("last").alias("end"))
         longer = way.join(more, "last", "left").select("at", F.concat("way", F.coalesce("rest", F.array().cast("array<string>"))).alias("way"), F.coalesce("end", "last").alias("last"), F.col("end").isNotNull().alias("grew"))
-        way = _settled(longer)
+        way = settled(longer)
         if way.filter("grew").isEmpty():
             break
         way = way.drop("grew")
@@ -70,7 +71,7 @@ def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) ->
     """(start, id, cost, previous): least cost from each start over directed edges (source, target, cost >= 0), ties to the
     smaller previous node. Only nodes improved in the last round are relaxed again, until none is; a bound of rounds that is hit
     before is an error."""
-    best = _settled(starts.select("start", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("previous")))
+    best = settled(starts.select("start", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("previous")))
     front = best
     done = 0
     while True:
@@ -78,13 +79,13 @@ def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) ->
         offers = reached.select("start", F.col("target").alias("id"), (F.col("base") + F.col("cost")).alias("cost"), F.col("source").alias("previous"))
         offers = offers.groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*")
         known = best.select("start", "id", F.col("cost").alias("known"))
-        front = _settled(offers.join(known, ["start", "id"], "left").filter("known IS NULL OR cost < known").drop("known"))
+        front = settled(offers.join(known, ["start", "id"], "left").filter("known IS NULL OR cost < known").drop("known"))
         if front.isEmpty():
             return best
         if done == rounds:
             raise RuntimeError(f"shortest paths are not final after {rounds} rounds")
         done += 1
-        best = _settled(best.unionByName(front).groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*"))
+        best = settled(best.unionByName(front).groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*"))
 
 
 def closest_between(nodes: DataFrame, membership: DataFrame, metres: float = 100.0) -> DataFrame:

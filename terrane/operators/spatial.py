@@ -40,8 +40,9 @@ def points_in_footprints(points: DataFrame, areas: DataFrame, size: float = CELL
     return near.filter(geo.in_ring(P(F.col("x"), F.col("y")), F.col("footprint"))).select("scene_id", "id", "area")
 
 
-def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: float = CELL) -> DataFrame:
-    """segments (with x, y, bx, by) joined with the footprints they pass through, as column `area`."""
+def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: float = CELL, mode: str | None = None) -> DataFrame:
+    """segments (with x, y, bx, by) joined with the footprints they pass through, as column `area`; with a mode by the test of that
+    name (geo.segment_meets_ring)."""
     box = areas.select("scene_id", F.col("id").alias("area"), "footprint", geo.bounds(F.col("footprint")).alias("b")).select("*", "b.*").drop("b")
     right = cells_of_box(box, "min_x", "min_y", "max_x", "max_y", size)
     names = segments.columns
@@ -57,7 +58,8 @@ def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: flo
     seg = seg.withColumn("cy", F.explode(F.sequence(geo.cell(lo - size * 1e-6, size), geo.cell(hi + size * 1e-6, size))))
     near = seg.join(right, ["scene_id", "cx", "cy"]).filter("hx >= min_x AND lx <= max_x AND hy >= min_y AND ly <= max_y")
     line = F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
-    return near.filter(geo.line_meets_ring(line, F.col("footprint"))).select(*names, "area").distinct()
+    test = geo.segment_meets_ring(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")), F.col("footprint"), mode) if mode else geo.line_meets_ring(line, F.col("footprint"))
+    return near.filter(test).select(*names, "area").distinct()
 
 
 def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
