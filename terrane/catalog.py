@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import coverage, documents, evaluation, network, procedural, routes, rules, spatial, store, towns, twin, views
+from terrane.plans import coverage, documents, evaluation, network, procedural, routes, rules, spatial, store, twin, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, towns, twin, documents):
+for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, twin, documents):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE

@@ -145,5 +145,5 @@ def padded(n: Column, width: int) -> Column:
 
 
 def element_type(node: Column) -> Column:
-    """Kind of element of a node; unknown ones are houses."""
-    return F.when(node.isin("co", "cabinet", "closure", "pole", "house"), node).otherwise("house")
+    """Kind of element of a node; a den is a closure, unknown ones are houses."""
+    return F.when(node == "den", "closure").when(node.isin("co", "cabinet", "closure", "house"), node).otherwise("house")

@@ -6,20 +6,25 @@ Loops run on tables; each round is written to the checkpoint folder, so plans st
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read again."""
-    sc = df.sparkSession.sparkContext
+    """df, written to the folder of spark.checkpoint.dir and read again: one pass, no lineage, and a known size, so that small tables
+    are joined without a shuffle. Only a local session without that setting gets a folder of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrane-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geo
 from terrane.functions.geo import P
+from terrane.operators.graph import settled
 
 CELL = 0.001
+FEW = 2_048  # rows of a scene that each row may be compared with
 
 
 def _around(metres: float, size: float) -> Column:
@@ -47,15 +49,7 @@ def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: flo
     right = cells_of_box(box, "min_x", "min_y", "max_x", "max_y", size)
     names = segments.columns
     seg = segments.withColumns({"lx": F.least("x", "bx"), "ly": F.least("y", "by"), "hx": F.greatest("x", "bx"), "hy": F.greatest("y", "by")})
-    # Cells that the segment itself runs through: per column of cells, the rows between its ends there, one to each side.
-    col = F.sequence(geo.cell(F.col("lx"), size), geo.cell(F.col("hx"), size))
-    seg = seg.withColumn("cx", F.explode(col))
-    slope = F.try_divide(F.col("by") - F.col("y"), F.col("bx") - F.col("x"))
-    at = lambda x: F.coalesce(F.col("y") + slope * (x - F.col("x")), F.col("ly"))
-    left_x, right_x = F.greatest(F.col("lx"), F.col("cx") * size), F.least(F.col("hx"), (F.col("cx") + 1) * size)
-    lo = F.when(slope.isNull(), F.col("ly")).otherwise(F.least(at(left_x), at(right_x)))
-    hi = F.when(slope.isNull(), F.col("hy")).otherwise(F.greatest(at(left_x), at(right_x)))
-    seg = seg.withColumn("cy", F.explode(F.sequence(geo.cell(lo - size * 1e-6, size), geo.cell(hi + size * 1e-6, size))))
+    seg = segment_cells(seg, size)
     near = seg.join(right, ["scene_id", "cx", "cy"]).filter("hx >= min_x AND lx <= max_x AND hy >= min_y AND ly <= max_y")
     line = F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
     test = geo.segment_meets_ring(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")), F.col("footprint"), mode) if mode else geo.line_meets_ring(line, F.col("footprint"))
@@ -73,40 +67,97 @@ def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame
     return own.join(others, ["scene_id", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= metres).select("scene_id", "id", "other", "d")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, start_m: float = 200.0, rings: int = 0) -> DataFrame:
-    """(scene_id, id, other, d, rank) of the k nearest of right for every row of left, ties to the smaller id; itself excluded.
+def crowded(df: DataFrame) -> bool:
+    """Has a scene more than FEW rows?"""
+    return not df.groupBy("scene_id").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).isEmpty()
+
+
+def span(*tables: DataFrame) -> float:
+    """Metres from corner to corner of the widest scene of tables (scene_id, x, y)."""
+    both = tables[0].select("scene_id", "x", "y")
+    for t in tables[1:]:
+        both = both.unionByName(t.select("scene_id", "x", "y"))
+    low, high = P(F.min("x"), F.min("y")), P(F.max("x"), F.max("y"))
+    width = F.greatest(geo.haversine(low, high), geo.haversine(P(low.x, high.y), P(high.x, low.y)))
+    return both.groupBy("scene_id").agg(width.alias("m")).agg(F.max("m")).head()[0] or 0.0
+
+
+def _by_rings(todo: DataFrame, found_within, k: int, start_m: float, most_m: float) -> DataFrame:
+    """Rows (scene_id, id, ..., rank) of the k best that found_within(todo, metres) gives with their rank, for growing circles: rows with k
+    hits inside a circle are done, as anything outside it is farther; a circle as wide as the scene holds all."""
+    done, metres = None, start_m
+    while True:
+        best = settled(found_within(todo, metres).filter(F.col("rank") <= k))
+        if metres >= 1.01 * most_m + 1:
+            return best if done is None else done.unionByName(best)
+        full = best.filter(F.col("rank") == k).select("scene_id", "id")
+        part = best.join(full, ["scene_id", "id"], "left_semi")
+        done = part if done is None else done.unionByName(part)
+        todo = settled(todo.join(full, ["scene_id", "id"], "left_anti"))
+        if todo.isEmpty():
+            return done
+        metres *= 4
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, start_m: float = 200.0, rings: bool | None = None) -> DataFrame:
+    """(scene_id, id, other, d, rank) of the k nearest of right for every row of left, distances equal to a micrometre tie, to the smaller
+    id; itself excluded.
 
-    Scenes of bounded size are compared as they are (rings = 0): one join on the scene, which grows with the number of scenes.
-    For scenes without a bound, rows look within start_m first; those with fewer than k hits look again four times as far, for
-    `rings` rounds, and only what is still open (points far from everything) is compared with its whole scene. Exact: a hit
-    within the radius is nearer than anything outside it.
+    Where no scene of right has more than FEW rows, rows are compared with their scene: one join, linear in left. Else
+    (or with rings) they look in growing circles, by cells: within start_m first, then four times as far, until k are found.
     """
-    rank = F.row_number().over(Window.partitionBy("scene_id", "id").orderBy("d", "other"))
-    todo, done, metres = left, None, start_m
-    for turn in range(rings + 1):
-        if turn < rings:
-            pairs = within_metres(todo, right, metres)
-        else:
-            others = right.select("scene_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-            d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("ox"), F.col("oy")))
-            pairs = todo.join(others, "scene_id").select("scene_id", "id", "other", d.alias("d"))
-        best = pairs.filter("id <> other").withColumn("rank", rank).filter(F.col("rank") <= k)
-        if turn < rings:
-            full = best.filter(F.col("rank") == k).select("scene_id", "id")
-            best = best.join(full, ["scene_id", "id"], "left_semi")
-            todo = todo.join(full, ["scene_id", "id"], "left_anti")
-        done = best if done is None else done.unionByName(best)
-        metres *= 4
-    return done
+    rank = F.row_number().over(Window.partitionBy("scene_id", "id").orderBy(F.round("d", 6), "other"))
+    ranked = lambda pairs: pairs.filter("id <> other").withColumn("rank", rank)
+    if not (crowded(right) if rings is None else rings):
+        others = right.select("scene_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("ox"), F.col("oy")))
+        return ranked(left.join(others, "scene_id").select("scene_id", "id", "other", d.alias("d"))).filter(F.col("rank") <= k)
+    left, right = settled(left.select("scene_id", "id", "x", "y")), settled(right.select("scene_id", "id", "x", "y"))
+    return _by_rings(left, lambda todo, metres: ranked(within_metres(todo, right, metres)), k, start_m, span(left, right))
+
+
+def segment_cells(segments: DataFrame, size: float) -> DataFrame:
+    """segments (with x, y, bx, by) once for every cell (cx, cy) that they run through: per column of cells, the rows between where a
+    segment enters and leaves it."""
+    low, high = F.least("x", "bx"), F.greatest("x", "bx")
+    seg = segments.withColumn("cx", F.explode(F.sequence(geo.cell(low, size), geo.cell(high, size))))
+    slope = F.try_divide(F.col("by") - F.col("y"), F.col("bx") - F.col("x"))
+    at = lambda x: F.col("y") + slope * (x - F.col("x"))
+    enter, leave = at(F.greatest(low, F.col("cx") * size)), at(F.least(high, (F.col("cx") + 1) * size))
+    lo = F.when(slope.isNull(), F.least("y", "by")).otherwise(F.least(enter, leave))
+    hi = F.when(slope.isNull(), F.greatest("y", "by")).otherwise(F.greatest(enter, leave))
+    return seg.withColumn("cy", F.explode(F.sequence(geo.cell(lo - size * 1e-6, size), geo.cell(hi + size * 1e-6, size))))
 
 
-def nearest_street(points: DataFrame, streets: DataFrame) -> DataFrame:
-    """(scene_id, id, street_id, name, d): the nearest street of the scene; distances equal to a micrometre tie, to the smaller id. Streets are few per scene."""
+def segments_within(points: DataFrame, streets: DataFrame, metres: float) -> DataFrame:
+    """(scene_id, id, street_id, name, d) of streets (scene_id, street_id, name, x, y, bx, by) no farther than metres from points, by the
+    cells that a street runs through and those that a circle touches."""
+    size = metres / 80_000.0
+    own = points.select("scene_id", "id", "x", "y", _around(metres, size).alias("c")).select("scene_id", "id", "x", "y", "c.cx", "c.cy")
+    side = segment_cells(streets.select("scene_id", "street_id", "name", "x", "y", "bx", "by"), size).withColumnsRenamed({"x": "sx", "y": "sy"})
     d = geo.segment_metres(P(F.col("x"), F.col("y")), P(F.col("sx"), F.col("sy")), P(F.col("bx"), F.col("by")))
-    side = streets.select("scene_id", "street_id", "name", F.col("x").alias("sx"), F.col("y").alias("sy"), "bx", "by")
-    pairs = points.select("scene_id", "id", "x", "y").join(side, "scene_id").withColumn("d", d)
-    best = pairs.groupBy("scene_id", "id").agg(F.min_by(F.struct("street_id", "name", "d"), F.struct(F.round("d", 6), "street_id")).alias("s"))
-    return best.select("scene_id", "id", "s.*")
+    near = own.join(side, ["scene_id", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= metres)
+    return near.groupBy("scene_id", "id", "street_id").agg(F.first("name").alias("name"), F.first("d").alias("d"))  # once for all cells
+
+
+def nearest_street(points: DataFrame, streets: DataFrame, start_m: float = 100.0, rings: bool | None = None) -> DataFrame:
+    """(scene_id, id, street_id, name, d): the nearest street of the scene; distances equal to a micrometre tie, to the smaller id.
+
+    Where no scene has more than FEW streets, points are compared with their scene's; else (or with rings) they look in growing
+    circles among the streets indexed by the cells that they run through.
+    """
+    if not (crowded(streets) if rings is None else rings):
+        d = geo.segment_metres(P(F.col("x"), F.col("y")), P(F.col("sx"), F.col("sy")), P(F.col("bx"), F.col("by")))
+        side = streets.select("scene_id", "street_id", "name", F.col("x").alias("sx"), F.col("y").alias("sy"), "bx", "by")
+        pairs = points.select("scene_id", "id", "x", "y").join(side, "scene_id").withColumn("d", d)
+        best = pairs.groupBy("scene_id", "id").agg(F.min_by(F.struct("street_id", "name", "d"), F.struct(F.round("d", 6), "street_id")).alias("s"))
+        return best.select("scene_id", "id", "s.*")
+    points = settled(points.select("scene_id", "id", "x", "y"))
+    streets = settled(streets.select("scene_id", "street_id", "name", "x", "y", "bx", "by"))
+    ends = streets.select("scene_id", F.col("bx").alias("x"), F.col("by").alias("y"))
+    rank = F.row_number().over(Window.partitionBy("scene_id", "id").orderBy(F.round("d", 6), "street_id"))
+    found = lambda todo, metres: segments_within(todo, streets, metres).withColumn("rank", rank)
+    return _by_rings(points, found, 1, start_m, span(points, streets, ends)).drop("rank")
 
 
 def coverage_gaps(buildings: DataFrame, closures: DataFrame, metres: float = 35.0) -> DataFrame:

@@ -204,10 +204,10 @@ def _pairs_within(one: DataFrame, two: DataFrame, metres: float) -> DataFrame:
 
 def bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, metres: float = BRIDGE_M) -> DataFrame:
     """(scene_id, source, target, kind, metres): for every two components of a scene the nearest pair of nodes no farther apart than
-    metres whose line no building blocks; ties to the smaller nodes."""
+    metres whose line no building blocks; distances equal to a micrometre tie, to the smaller nodes."""
     own = nodes.select("scene_id", "ord", "x", "y").join(member, ["scene_id", "ord"])
     free = unblocked(_pairs_within(own, own, metres).filter("ca < cb"), buildings)
-    best = free.groupBy("scene_id", "ca", "cb").agg(F.min(F.struct("metres", "source", "target")).alias("s"))
+    best = free.groupBy("scene_id", "ca", "cb").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "source", "target", "metres")).alias("s"))
     return best.select("scene_id", "s.source", "s.target", F.lit("road_crossing").alias("kind"), "s.metres")
 
 
@@ -228,7 +228,7 @@ def forced_bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, st
     while True:
         pairs = gr.settled(_pairs_within(base, todo, metres))
         free = unblocked(pairs, buildings)
-        best = lambda df, crosses: df.groupBy("scene_id", "cb").agg(F.min(F.struct("metres", "source", "target")).alias("s")).select("scene_id", "cb", "s.*", F.lit(crosses).alias("crosses"))
+        best = lambda df, crosses: df.groupBy("scene_id", "cb").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "source", "target", "metres")).alias("s")).select("scene_id", "cb", "s.source", "s.target", "s.metres", F.lit(crosses).alias("crosses"))
         done = gr.settled(best(free, False))
         out = done if out is None else out.unionByName(done)
         todo = gr.settled(todo.join(done.select("scene_id", F.col("cb").alias("component")), ["scene_id", "component"], "left_anti"))

@@ -121,10 +121,14 @@ def top_three(spark, sf_dir):
     return t.groupBy(F.col("c_nationkey").alias("zone")).agg(F.array_join(F.transform(order, lambda s: s["k"]), ",").alias("top"))
 
 
-@query("SELECT least(40, CAST(floor(12 * sqrt(s / 350.0) + 0.5) AS BIGINT)) AS budget, s AS size FROM (SELECT unnest([350, 700, 1400, 2800, 5600]) AS s)")
+@query(f"""WITH {SCENE_SQL}, w AS (SELECT scene_id, CAST(round(greatest({sql_haversine('min(x)', 'min(y)', 'max(x)', 'min(y)')}, {sql_haversine('min(x)', 'min(y)', 'min(x)', 'max(y)')})) AS BIGINT) AS size FROM pts GROUP BY 1)
+SELECT scene_id, size, least(40, CAST(floor(12 * sqrt(size / 350.0) + 0.5) AS BIGINT)) AS budget FROM w""")
 def building_budget(spark, sf_dir):
-    sizes = spark.range(5).select((350 * F.pow(F.lit(2), F.col("id"))).cast("int").alias("size"))
-    return sizes.select(F.least(F.lit(40), F.floor(12 * F.sqrt(F.col("size") / 350) + 0.5)).alias("budget"), "size")
+    """How many buildings a scene may keep by its longer side in metres."""
+    low = P(F.min("x"), F.min("y"))
+    size = F.greatest(geo.haversine(low, P(F.max("x"), low.y)), geo.haversine(low, P(low.x, F.max("y"))))
+    s = sc.points(spark, sf_dir).groupBy("scene_id").agg(F.round(size).cast("long").alias("size"))
+    return s.select("scene_id", "size", F.least(F.lit(40), F.floor(12 * F.sqrt(F.col("size") / 350) + 0.5)).alias("budget"))
 
 
 @query("WITH r AS (SELECT DISTINCT p_brand AS subject, p_type AS object FROM part), t AS (SELECT p_brand AS subject, p_type AS object, count(*) AS n FROM part WHERE p_size > 25 GROUP BY ALL) SELECT r.subject, r.object, t.n FROM r JOIN t ON r.subject = t.subject AND r.object = t.object")

@@ -156,32 +156,93 @@ def project_memory(spark, sf_dir):
     return n.groupBy("zone").agg(F.concat(F.lit("## Issues\n"), part(F.col("issue")), F.lit("\n## Notes\n"), part(~F.col("issue"))).alias("memory"))
 
 
-#: Sizes of a static map by tier and the longest address.
-TIERS = [(640, "full"), (480, "no labels"), (320, "no buildings"), (240, "closures only"), (160, "bare")]
-LONGEST_URL = 8000
+#: Fixed values of addresses of static maps: where they begin and end, the longest that is served, and the marks of closures.
+MAP_BASE, MAP_TAIL, LONGEST_URL, PIN_LETTERS = "https://api.mapbox.com/styles/v1/mapbox/light-v11/static", "/auto/700x500@2x?access_token=TOKEN&padding=30", 8000, "abcdefghijklmnopqrstuvwxyz"
 
 
-@query(f"""{S}, n AS (SELECT scene_id, count(*) AS n FROM pts GROUP BY 1) SELECT scene_id, CASE WHEN n * 40 <= 2000 THEN 'full' WHEN n * 40 <= 3000 THEN 'no labels' WHEN n * 20 <= 3000 THEN 'no buildings' WHEN n * 8 <= 8000 THEN 'closures only' ELSE 'bare' END AS tier FROM n""")
-def map_tier(spark, sf_dir):
-    """How much of a scene a static map can show within the longest address."""
-    n = sc.points(spark, sf_dir).groupBy("scene_id").agg(F.count("*").alias("n"))
-    k = F.col("n")
-    return n.select("scene_id", F.when(k * 40 <= 2000, TIERS[0][1]).when(k * 40 <= 3000, TIERS[1][1]).when(k * 20 <= 3000, TIERS[2][1]).when(k * 8 <= LONGEST_URL, TIERS[3][1]).otherwise(TIERS[4][1]).alias("tier"))
+def _five(c) -> Column:
+    """A coordinate as text, rounded half up to five decimals."""
+    return F.regexp_replace((F.floor(c * 100000 + 0.5) / 100000).cast("string"), r"\.0$", "")
 
 
-@query(f"{W} SELECT tier, CASE tier WHEN 'feeder' THEN '=' WHEN 'distribution' THEN '-' ELSE '.' END || CASE WHEN max(fibres) >= 48 THEN 'x' ELSE '' END AS symbol, CAST(max(fibres) AS INT) AS fibres FROM net GROUP BY 1")
-def cable_symbols(spark, sf_dir):
-    """Character of each tier of cables on the grid, with a mark for thick ones."""
-    n = net(spark, sf_dir).groupBy("tier").agg(F.max("fibres").alias("fibres"))
-    return n.select("tier", F.concat(F.when(F.col("tier") == "feeder", "=").when(F.col("tier") == "distribution", "-").otherwise("."), F.when(F.col("fibres") >= 48, "x").otherwise("")).alias("symbol"), "fibres")
+def _joined(c: str, order: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda s: s[c]), ",")
+
 
+_R5 = "regexp_replace(CAST(floor(({}) * 100000 + 0.5) / 100000 AS VARCHAR), '\\.0$', '')"
+_PAIR = lambda x, y: f"'[' || {_R5.format(x)} || ',' || {_R5.format(y)} || ']'"
+_FEATURE = lambda kind, parts: f"""'{{{{"type":"Feature","geometry":{{{{"type":"{kind}","coordinates":[' || {parts} || ']}}}},"properties":{{{{}}}}}}}}'""".replace("{{", "{").replace("}}", "}")
 
-@query(f"{S}, h AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id ORDER BY id) AS n FROM bld) SELECT scene_id, id, CASE WHEN n <= 9 THEN CAST(n AS VARCHAR) WHEN n <= 35 THEN chr(CAST(87 + n AS INT)) ELSE '#' END AS symbol FROM h")
+
+@query(f"""{S},
+b AS (SELECT scene_id, {_FEATURE('MultiPolygon', f"string_agg('[[' || {_PAIR('x0', 'y0')} || ',' || {_PAIR('x1', 'y0')} || ',' || {_PAIR('x1', 'y1')} || ',' || {_PAIR('x0', 'y1')} || ',' || {_PAIR('x0', 'y0')} || ']]', ',' ORDER BY id)")} AS f,
+      string_agg('pin-s' || CASE WHEN id <= 99 THEN '-' || id ELSE '' END || '+00f(' || {_R5.format('x')} || ',' || {_R5.format('y')} || ')', ',' ORDER BY id) AS pins FROM bld GROUP BY 1),
+s AS (SELECT scene_id, {_FEATURE('MultiLineString', f"string_agg('[' || {_PAIR('x', 'y')} || ',' || {_PAIR('bx', 'ey')} || ']', ',' ORDER BY street_id)")} AS f FROM st GROUP BY 1),
+c AS (SELECT scene_id, {_FEATURE('MultiLineString', f"string_agg('[' || {_PAIR('x', 'y')} || ',' || {_PAIR('bx', 'ey')} || ']', ',' ORDER BY source)")} AS f FROM dist GROUP BY 1),
+q AS (SELECT *, count(*) FILTER (kind <> 'co') OVER (PARTITION BY scene_id ORDER BY id) AS n FROM eq),
+e AS (SELECT scene_id, string_agg(CASE WHEN kind = 'co' THEN 'pin-s-star+f00(' WHEN n <= 26 THEN 'pin-s-' || substr('{PIN_LETTERS}', CAST(n AS INT), 1) || '+0a0(' ELSE 'pin-s+0a0(' END || {_R5.format('x')} || ',' || {_R5.format('y')} || ')', ',' ORDER BY id) AS pins FROM q GROUP BY 1),
+g AS (SELECT DISTINCT scene_id FROM pts), a AS (SELECT scene_id, b.f AS b, s.f AS s, c.f AS c, concat_ws(',', e.pins, b.pins) AS pins FROM g LEFT JOIN b USING (scene_id) LEFT JOIN s USING (scene_id) LEFT JOIN c USING (scene_id) LEFT JOIN e USING (scene_id)),
+t AS (SELECT scene_id, pins, unnest([{{'tier': 1, 'f': concat_ws(',', b, s, c)}}, {{'tier': 2, 'f': concat_ws(',', b, c)}}, {{'tier': 3, 'f': coalesce(c, '')}}, {{'tier': 5, 'f': ''}}]) AS k FROM a),
+u AS (SELECT scene_id, k.tier AS tier, '{MAP_BASE}/' || CASE WHEN k.f = '' THEN pins ELSE 'geojson(' || url_encode('{{"type":"FeatureCollection","features":[' || k.f || ']}}') || '),' || pins END || '{MAP_TAIL}' AS url FROM t)
+SELECT scene_id, CAST(arg_min(tier, tier) AS INT) AS tier, CAST(length(arg_min(url, tier)) AS INT) AS length, md5(arg_min(url, tier)) AS digest FROM u WHERE length(url) <= {LONGEST_URL} GROUP BY 1""")
+def map_tier(spark, sf_dir):
+    """The address of each scene's static map: all shapes, else without streets, else cables alone, else pins alone (tiers 1, 2, 3, 5; a
+    straight cable cannot be thinned, so tier 4 is tier 3), the first that is no longer than LONGEST_URL; no row if none is."""
+    pair = lambda x, y: F.concat(F.lit("["), _five(x), F.lit(","), _five(y), F.lit("]"))
+    chain = lambda *p: F.concat_ws(",", *p)
+    feature = lambda kind, c: F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":['), c, F.lit(']},"properties":{}}'))
+    x, y = F.col("x"), F.col("y")
+    wrapped = lambda a, t, b: F.concat(F.lit(a), t, F.lit(b))
+    b = sc.buildings(spark, sf_dir)
+    ring = wrapped("[[", F.array_join(F.transform("footprint", lambda v: pair(v["x"], v["y"])), ","), "]]")
+    at = F.concat(F.lit("("), _five(x), F.lit(","), _five(y), F.lit(")"))
+    pin = F.concat(F.lit("pin-s"), F.when(F.col("id") <= 99, F.concat(F.lit("-"), F.col("id").cast("string"))).otherwise(""), F.lit("+00f"), at)
+    b = b.withColumns({"shape": ring, "pin": pin}).groupBy("scene_id").agg(feature("MultiPolygon", _joined("shape", "id")).alias("b"), _joined("pin", "id").alias("b_pins"))
+    line = wrapped("[", chain(pair(x, y), pair(F.col("bx"), F.col("by"))), "]")
+    lines = lambda df, order, name: df.withColumn("shape", line).groupBy("scene_id").agg(feature("MultiLineString", _joined("shape", order)).alias(name))
+    s, c = lines(sc.streets(spark, sf_dir), "street_id", "s"), lines(sc.distribution(spark, sf_dir), "source", "c")
+    nth = F.count_if(F.col("kind") != "co").over(Window.partitionBy("scene_id").orderBy("id"))
+    e = sc.equipment(spark, sf_dir).withColumn("n", nth)
+    mark = F.when(F.col("kind") == "co", "-star+f00").when(F.col("n") <= len(PIN_LETTERS), F.concat(F.lit("-"), F.substr(F.lit(PIN_LETTERS), F.col("n").cast("int"), F.lit(1)), F.lit("+0a0"))).otherwise("+0a0")
+    e = e.withColumn("pin", F.concat(F.lit("pin-s"), mark, at)).groupBy("scene_id").agg(_joined("pin", "id").alias("e_pins"))
+    a = sc.points(spark, sf_dir).select("scene_id").distinct()
+    for part in (b, s, c, e):
+        a = a.join(part, "scene_id", "left")
+    pins = chain("e_pins", "b_pins")
+    url = lambda f: F.concat(F.lit(MAP_BASE + "/"), F.when(f == "", pins).otherwise(F.concat(F.lit("geojson("), F.url_encode(wrapped('{"type":"FeatureCollection","features":[', f, "]}")), F.lit("),"), pins)), F.lit(MAP_TAIL))
+    tiers = F.array(*[F.struct(F.lit(k).alias("tier"), url(f).alias("url")) for k, f in ((1, chain("b", "s", "c")), (2, chain("b", "c")), (3, F.coalesce("c", F.lit(""))), (5, F.lit("")))])
+    first = F.get(F.filter(tiers, lambda t: F.length(t["url"]) <= LONGEST_URL), F.lit(0))
+    out = a.withColumn("t", first).filter("t IS NOT NULL")
+    return out.select("scene_id", "t.tier", F.length("t.url").alias("length"), F.md5("t.url").alias("digest"))
+
+
+#: Symbols of cables by tier, along and down, and of numbered houses.
+CABLE_SYMBOLS = {"feeder": ("═", "║"), "distribution": ("─", "│"), "drop": ("·", ":")}
+HOUSE_SYMBOLS = "⓪①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳㉑㉒㉓㉔㉕㉖㉗㉘㉙㉚㉛㉜㉝㉞㉟㊱㊲㊳㊴㊵㊶㊷㊸㊹㊺㊻㊼㊽㊾"
+
+
+@query(f"""{S}, a AS (SELECT scene_id, cable_id, 'distribution' AS tier, abs(bx - x) >= abs(ey - y) AS flat FROM dist UNION ALL SELECT scene_id, 'feed-' || id, 'feeder', abs(x - {sc.LNG0}) >= abs(y - {sc.LAT0}) FROM eq WHERE kind = 'co'
+ UNION ALL SELECT scene_id, 'drop-' || street_id, 'drop', abs(bx - x) >= abs(ey - y) FROM st) SELECT scene_id, cable_id, tier, CASE tier WHEN 'feeder' THEN CASE WHEN flat THEN '═' ELSE '║' END WHEN 'distribution' THEN CASE WHEN flat THEN '─' ELSE '│' END ELSE CASE WHEN flat THEN '·' ELSE ':' END END AS symbol FROM a""")
+def cable_symbols(spark, sf_dir):
+    """Symbol of a cable on the grid by its tier and the way it mostly runs: cables between closures, feeders from the middle of the
+    map to an office, and drops along streets."""
+    flat = lambda dx, dy: F.abs(dx) >= F.abs(dy)
+    own = flat(F.col("bx") - F.col("x"), F.col("by") - F.col("y")).alias("flat")
+    d = sc.distribution(spark, sf_dir).select("scene_id", "cable_id", F.lit("distribution").alias("tier"), own)
+    f = sc.equipment(spark, sf_dir).filter("kind = 'co'").select("scene_id", F.concat(F.lit("feed-"), F.col("id").cast("string")).alias("cable_id"), F.lit("feeder").alias("tier"), flat(F.col("x") - sc.LNG0, F.col("y") - sc.LAT0).alias("flat"))
+    s = sc.streets(spark, sf_dir).select("scene_id", F.concat(F.lit("drop-"), F.col("street_id").cast("string")).alias("cable_id"), F.lit("drop").alias("tier"), own)
+    symbols = F.create_map(*[F.lit(x) for t, pair in CABLE_SYMBOLS.items() for i, g in zip((True, False), pair) for x in (f"{t}:{str(i).lower()}", g)])
+    return d.unionByName(f).unionByName(s).select("scene_id", "cable_id", "tier", F.element_at(symbols, F.concat_ws(":", "tier", F.col("flat").cast("string"))).alias("symbol"))
+
+
+@query(f"""{S}, h AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id ORDER BY id) AS n FROM bld)
+SELECT scene_id, id, CASE WHEN n < 50 THEN substr('{HOUSE_SYMBOLS}', CAST(n + 1 AS INT), 1) ELSE '[H' || lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INT), '0') || ']' END AS symbol FROM h""")
 def house_symbols(spark, sf_dir):
-    """One character for a house: digits, then letters, then a common one."""
+    """Symbol of a house by its number in the scene (from 1): a number in a circle, else the number in brackets."""
     n = F.row_number().over(Window.partitionBy("scene_id").orderBy("id"))
     h = sc.buildings(spark, sf_dir).select("scene_id", "id", n.alias("n"))
-    return h.select("scene_id", "id", F.when(F.col("n") <= 9, F.col("n").cast("string")).when(F.col("n") <= 35, F.char((87 + F.col("n")).cast("int"))).otherwise("#").alias("symbol"))
+    circled = F.substr(F.lit(HOUSE_SYMBOLS), F.col("n") + 1, F.lit(1))
+    return h.select("scene_id", "id", F.when(F.col("n") < len(HOUSE_SYMBOLS), circled).otherwise(F.concat(F.lit("[H"), tx.padded(F.col("n"), 2), F.lit("]"))).alias("symbol"))
 
 
 @query(f"{W} SELECT count(*) AS addresses, count(*) FILTER (WHERE length <= 100) AS served, 'Served ' || count(*) FILTER (WHERE length <= 100) || ' of ' || count(*) || ' addresses' AS text FROM cables WHERE id LIKE 'x-%'")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.operators import procedural as pr
 from terrane.operators import spatial as sp
+from terrane.operators import streetgraph as sg
 from terrane.sources import scenes as sc
-from terrane.sources.scenes import SCENE_SQL, sql_segment
+from terrane.sources.scenes import SCENE_SQL, sql_blocked, sql_haversine, sql_segment
 from terrane.streaming.accuracy import windowed_accuracy
 
 QUERIES: dict = {}
@@ -57,9 +58,15 @@ def interior_buildings(spark, sf_dir):
     return own.filter(geo.polyline_metres(geo.P(F.col("x"), F.col("y")), F.col("ring")) > 1).select("scene_id", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCENE_SQL}, num AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY id) AS n FROM pts),
+g AS (SELECT scene_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS into_, CAST([] AS STRUCT(o BIGINT, x DOUBLE, y DOUBLE)[]) AS seeds FROM (SELECT DISTINCT scene_id FROM num)
+      UNION ALL SELECT scene_id, n, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(seeds, {{'o': id, 'x': x, 'y': y}}) ELSE seeds END
+      FROM (SELECT num.*, g.seeds, list_filter(g.seeds, lambda s: {sql_haversine('s.x', 's.y', 'num.x', 'num.y')} <= 40)[1].o AS hit FROM g JOIN num ON num.scene_id = g.scene_id AND num.n = g.n + 1))
+SELECT scene_id, id, into_ AS "into" FROM g WHERE n > 0""")
 def merge_nodes(spark, sf_dir):
-    return pr.merge_nearby(sc.points(spark, sf_dir), 40.0)
+    """Points merged in order of their ids with the first kept one within 40 m."""
+    p = sc.points(spark, sf_dir).select("scene_id", F.col("id").alias("ord"), "x", "y", F.lit(None).cast("string").alias("side"))
+    return sg.absorbed(p, 40.0).withColumnRenamed("ord", "id")
 
 
 @query()
@@ -86,19 +93,6 @@ def route_astar(spark, sf_dir):
     return pr.route_requests(d, b, 180, 180)
 
 
-@query()
-def synthetic_scene(spark, sf_dir):
-    specs = spark.range(40).select(F.col("id").cast("int").alias("scene_id"), (1000 + F.col("id")).alias("seed"), (2 + F.col("id") % 4).alias("cols"), (2 + F.col("id") % 3).alias("rows"))
-    return pr.synthetic_scenes(specs)
-
-
-@query("SELECT CAST(i AS INT) AS scene_id, 1000 + i AS seed, ['none', 'closureInBuilding', 'cableCrossing', 'coverageGap', 'all'][CAST(i % 5 + 1 AS INT)] AS plant, CAST(2 + (i // 5) % 4 AS INT) AS size FROM (SELECT unnest(range(60)) AS i)")
-def balanced_specs(spark, sf_dir):
-    plants = F.array(*map(F.lit, ("none", "closureInBuilding", "cableCrossing", "coverageGap", "all")))
-    i = F.col("id")
-    return spark.range(60).select(i.cast("int").alias("scene_id"), (1000 + i).alias("seed"), F.element_at(plants, (i % 5 + 1).cast("int")).alias("plant"), (2 + F.floor(i / 5) % 4).cast("int").alias("size"))
-
-
 @query("""WITH g AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type AS arm, count(*) AS n, CAST(sum(CASE WHEN value >= 40 THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM events GROUP BY ALL)
 SELECT *, round(correct / n, 6) AS acc,
  round((correct / n + 3.8416 / (2 * n) - 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 6) AS lo,
@@ -108,13 +102,16 @@ def windowed_accuracy_by_hour(spark, sf_dir):
     return windowed_accuracy(e)
 
 
-@query()
-def bridge_gaps(spark, sf_dir):
-    """The nearest pair between groups of points that are farther than 60 m from each other."""
-    from terrane.operators import graph as gr
+_NEAR = f"""WITH RECURSIVE {SCENE_SQL}, link AS (SELECT a.scene_id, a.id AS a, b.id AS b FROM pts a JOIN pts b ON b.scene_id = a.scene_id AND a.id <> b.id WHERE {sql_haversine('a.x', 'a.y', 'b.x', 'b.y')} <= 60),
+r AS (SELECT scene_id, id AS a, id AS b FROM pts UNION SELECT r.scene_id, r.a, l.b FROM r JOIN link l ON l.a = r.b), c AS (SELECT pts.*, m.c FROM pts JOIN (SELECT scene_id, a AS id, min(b) AS c FROM r GROUP BY ALL) m USING (scene_id, id)),
+p AS (SELECT x.scene_id, x.c AS ca, y.c AS cb, x.id AS source, y.id AS target, x.x, x.y, y.x AS bx, y.y AS ey, {sql_haversine('x.x', 'x.y', 'y.x', 'y.y')} AS metres FROM c x JOIN c y ON y.scene_id = x.scene_id AND x.c < y.c)"""
 
+
+@query(f"""{_NEAR} SELECT scene_id, source, target, 'road_crossing' AS kind, round(metres, 4) AS metres FROM p l WHERE metres <= 100 AND NOT EXISTS (SELECT 1 FROM bld b WHERE b.scene_id = l.scene_id AND {sql_blocked('l.x', 'l.y', 'l.bx', 'l.ey')})
+QUALIFY row_number() OVER (PARTITION BY scene_id, ca, cb ORDER BY round(metres, 6), source, target) = 1""")
+def bridge_gaps(spark, sf_dir):
+    """The nearest pair, up to 100 m and past no building, between groups of points that are farther than 60 m from each other."""
     p = sc.points(spark, sf_dir)
-    near = sp.within_metres(p, p, 60.0).filter("id < other").select(F.col("id").alias("source"), F.col("other").alias("target"))
-    own = gr.components(near)
-    member = p.select("id").join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return gr.closest_between(p, member, 200.0)
+    near = sp.within_metres(p, p, 60.0).filter("id < other").select("scene_id", F.col("id").alias("source"), F.col("other").alias("target"))
+    nodes = p.withColumnRenamed("id", "ord")
+    return sg.bridges(nodes, sg.component_of(nodes, near), sc.buildings(spark, sf_dir)).withColumn("metres", F.round("metres", 4))

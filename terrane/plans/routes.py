@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators import graph as gr
 from terrane.operators import procedural as pr
+from terrane.operators import routing as rt
 from terrane.operators import streetgraph as sg
 from terrane.plans.procedural import HULL_SQL
 from terrane.sources import scenes as sc
-from terrane.sources.scenes import sql_haversine, sql_segment
+from terrane.sources.scenes import sql_blocked, sql_haversine, sql_segment
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 INFRA_ORD = 1 << 52  # after all samples of streets
+REACH_M = 100.0  # of a building or an office from its node
 CORNER_M = 60.0  # street ends of a scene that are taken for one corner
 
 
@@ -62,21 +65,6 @@ class SceneGraph:
         return edges, sg.gr.settled(sg.bridges(self.nodes, sg.component_of(self.nodes, edges), self.buildings))
 
 
-def _sql_turn(a: str, b: str, c: str) -> str:
-    """Points as prefixes of columns _x and _y, or pairs in brackets."""
-    (ax, ay), (bx, by), (cx, cy) = (p.split("|") for p in (a, b, c))
-    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
-
-
-def sql_blocked(ax: str, ay: str, bx: str, by: str, box: str = "b") -> str:
-    """A segment properly crosses the square of a building, or both its ends are inside."""
-    p, q = f"{ax}|{ay}", f"{bx}|{by}"
-    ring = [f"{box}.x0|{box}.y0", f"{box}.x1|{box}.y0", f"{box}.x1|{box}.y1", f"{box}.x0|{box}.y1"]
-    cross = [f"({_sql_turn(c, d, p)} * {_sql_turn(c, d, q)} < 0 AND {_sql_turn(p, q, c)} * {_sql_turn(p, q, d)} < 0)" for c, d in zip(ring, ring[1:] + ring[:1])]
-    inside = lambda x, y: f"({x} > {box}.x0 AND {x} < {box}.x1 AND {y} > {box}.y0 AND {y} < {box}.y1)"
-    return f"({' OR '.join(cross)} OR ({inside(ax, ay)} AND {inside(bx, by)}))"
-
-
 def sql_bearing(ax: str, ay: str, bx: str, by: str) -> str:
     return f"degrees(atan2(sin(radians({bx} - {ax})) * cos(radians({by})), cos(radians({ay})) * sin(radians({by})) - sin(radians({ay})) * cos(radians({by})) * cos(radians({bx} - {ax}))))"
 
@@ -133,13 +121,13 @@ BRIDGES_SQL = f"""{EDGES_SQL}, {_sql_components('edge', 'c1')},
 near AS (SELECT p.scene_id, p.comp AS ca, q.comp AS cb, p.ord AS source, q.ord AS target, p.x, p.y, q.x AS bx, q.y AS ey, {sql_haversine('p.x', 'p.y', 'q.x', 'q.y')} AS metres
          FROM c1 p JOIN c1 q ON q.scene_id = p.scene_id AND p.comp < q.comp WHERE {sql_haversine('p.x', 'p.y', 'q.x', 'q.y')} <= {sg.BRIDGE_M}),
 bridge AS (SELECT scene_id, source, target, 'road_crossing' AS kind, metres FROM near l WHERE NOT EXISTS (SELECT 1 FROM bld b WHERE b.scene_id = l.scene_id AND {sql_blocked('l.x', 'l.y', 'l.bx', 'l.ey')})
-           QUALIFY row_number() OVER (PARTITION BY scene_id, ca, cb ORDER BY metres, source, target) = 1)"""
+           QUALIFY row_number() OVER (PARTITION BY scene_id, ca, cb ORDER BY round(metres, 6), source, target) = 1)"""
 
 FORCED_SQL = f"""{BRIDGES_SQL}, joined AS (SELECT * FROM edge UNION ALL SELECT * FROM bridge), {_sql_components('joined', 'c2')},
 far AS (SELECT p.scene_id, q.comp AS cb, p.ord AS source, q.ord AS target, {sql_haversine('p.x', 'p.y', 'q.x', 'q.y')} AS metres,
         EXISTS (SELECT 1 FROM bld b WHERE b.scene_id = p.scene_id AND {sql_blocked('p.x', 'p.y', 'q.x', 'q.y')}) AS crosses
         FROM c2 p JOIN c2 q ON q.scene_id = p.scene_id AND q.comp <> p.comp WHERE p.comp = (SELECT min(o.ord) FROM node o WHERE o.scene_id = p.scene_id)),
-forced AS (SELECT scene_id, source, target, 'road_crossing' AS kind, metres, crosses FROM far QUALIFY row_number() OVER (PARTITION BY scene_id, cb ORDER BY crosses, metres, source, target) = 1)"""
+forced AS (SELECT scene_id, source, target, 'road_crossing' AS kind, metres, crosses FROM far QUALIFY row_number() OVER (PARTITION BY scene_id, cb ORDER BY crosses, round(metres, 6), source, target) = 1)"""
 
 
 @query(f"{NODES_SQL} SELECT scene_id, ord, round(x, 7) AS x, round(y, 7) AS y, kind, side, name, n_streets, members FROM node")
@@ -223,3 +211,21 @@ def corner_arcs(spark, sf_dir):
     ends = end("x", "y", 0).unionByName(end("bx", "by", 1))
     corners = sg.merged(ends, sg.absorbed(ends, CORNER_M))
     return sg.corner_arcs(corners, s).withColumns({"x": F.round("x", 7), "y": F.round("y", 7)})
+
+
+@query(f"""{FORCED_SQL}, o AS (SELECT scene_id, arg_min(x, id) AS x, arg_min(y, id) AS y FROM eq WHERE kind = 'co' GROUP BY 1),
+snap AS (SELECT b.scene_id, b.id, n.ord, n.comp, {sql_haversine('b.x', 'b.y', 'n.x', 'n.y')} AS d FROM (SELECT scene_id, id, x, y FROM bld UNION ALL SELECT scene_id, -1, x, y FROM o) b JOIN c2 n ON n.scene_id = b.scene_id
+         QUALIFY row_number() OVER (PARTITION BY b.scene_id, b.id ORDER BY round({sql_haversine('b.x', 'b.y', 'n.x', 'n.y')}, 6), CAST(n.ord AS VARCHAR)) = 1)
+SELECT b.scene_id, b.id, s.ord AS node, round(s.d, 4) AS distance, CASE WHEN s.ord IS NULL OR k.ord IS NULL THEN 'too_far_from_graph' WHEN s.comp = k.comp THEN 'reachable' ELSE 'different_component' END AS reason
+FROM bld b LEFT JOIN snap s ON s.scene_id = b.scene_id AND s.id = b.id AND s.d <= {REACH_M} LEFT JOIN snap k ON k.scene_id = b.scene_id AND k.id = -1 AND k.d <= {REACH_M}""")
+def scene_reach(spark, sf_dir):
+    """Which buildings reach the office of their scene along streets and bridges, by the nearest node of each."""
+    g = SceneGraph(spark, sf_dir)
+    edges, more = g.bridged()
+    text = lambda c: F.col(c).cast("string").alias(c)
+    ways = gr.both_ways(edges.unionByName(more).select(text("source"), text("target"), F.col("metres").alias("cost")))
+    e = sc.equipment(spark, sf_dir).filter("kind = 'co'")
+    office = e.groupBy("scene_id").agg(F.min_by("x", "id").alias("x"), F.min_by("y", "id").alias("y"))
+    points = g.buildings.select("scene_id", text("id"), "x", "y")
+    found = rt.reach(points, office, g.nodes.select("scene_id", F.col("ord").cast("string").alias("id"), "x", "y"), sg.gr.settled(ways), REACH_M)
+    return found.select("scene_id", F.col("id").cast("long").alias("id"), F.col("node").cast("long").alias("node"), F.round("distance", 4).alias("distance"), "reason")

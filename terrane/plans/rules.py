@@ -10,7 +10,7 @@ from terrane.functions import text as tx
 from terrane.functions.stats import half_up
 from terrane.operators.routing import EDGE_COSTS
 from terrane.plans.evaluation import ITEMS, items
-from terrane.plans.network import NET, cables, net, nodes
+from terrane.plans.network import NET, cables, net, nodes, paths
 from terrane.sources.scenes import table
 
 QUERIES: dict = {}
@@ -157,10 +157,14 @@ def edge_costs(spark, sf_dir):
     return c.select("id", "kind", F.round(F.col("length") * rate(0), 6).alias("underground"), F.round(F.col("length") * rate(1), 6).alias("aerial"))
 
 
-@query(f"{W} SELECT source AS closure, CAST(sum(ceil(fibres / 12.0)) AS BIGINT) AS tubes, CAST(sum(fibres) AS BIGINT) AS fibres, count(*) < 8 AS can_connect FROM cables GROUP BY 1")
+@query(f"""{W}, u AS (SELECT source, CAST(sum(ceil(fibres / 12.0)) AS BIGINT) AS tubes, CAST(sum(fibres) AS BIGINT) AS fibres, count(*) FILTER (id LIKE 'x-%') AS homes FROM cables GROUP BY 1)
+SELECT n.id AS closure, tubes, u.fibres, CAST(substr(ratio, 3) AS BIGINT) > homes AS can_connect FROM u JOIN nodes n ON n.id = u.source WHERE n.ratio IS NOT NULL""")
 def downstream_fibres(spark, sf_dir):
-    """Tubes of twelve that the cables below a node need, and whether one more house can be connected."""
-    return cables(spark, sf_dir).groupBy(F.col("source").alias("closure")).agg(F.sum(F.ceil(F.col("fibres") / 12)).alias("tubes"), F.sum("fibres").cast("long").alias("fibres"), (F.count("*") < 8).alias("can_connect"))
+    """Tubes of twelve that the cables below a device with a splitter need, and whether a port is left for one more house."""
+    c, homes = cables(spark, sf_dir), F.count_if(F.col("id").startswith("x-"))
+    use = c.groupBy(F.col("source").alias("closure")).agg(F.sum(F.ceil(F.col("fibres") / 12)).alias("tubes"), F.sum("fibres").cast("long").alias("fibres"), homes.alias("homes"))
+    ways = nodes(spark, sf_dir).filter("ratio IS NOT NULL").select(F.col("id").alias("closure"), tx.splitter_ways(F.col("ratio")).alias("ways"))
+    return use.join(ways, "closure").select("closure", "tubes", "fibres", (F.col("ways") > F.col("homes")).alias("can_connect"))
 
 
 @query(f"""{W}, f AS (SELECT id AS cable, unnest(range(1, fibres + 1)) AS fibre FROM cables) SELECT cable, count(*) FILTER (fibre % 12 IN (1, 2)) AS spliced, count(*) FILTER (fibre % 12 IN (3, 4, 5)) AS passing, count(*) FILTER (fibre % 12 NOT IN (1, 2, 3, 4, 5)) AS reserve FROM f GROUP BY 1""")
@@ -170,22 +174,38 @@ def fibre_usage(spark, sf_dir):
     return f.groupBy("cable").agg(F.count_if(F.col("k").isin(1, 2)).alias("spliced"), F.count_if(F.col("k").isin(3, 4, 5)).alias("passing"), F.count_if(~F.col("k").isin(1, 2, 3, 4, 5)).alias("reserve"))
 
 
-@query(f"{W} SELECT CASE WHEN id LIKE 'cl-%0' THEN 'house' ELSE type END AS element, count(*) AS n FROM nodes GROUP BY 1")
+@query(f"{W} SELECT CASE WHEN id LIKE 'cl-%0' THEN 'house' WHEN id LIKE 'h-%7' THEN 'closure' ELSE type END AS element, count(*) AS n FROM nodes GROUP BY 1")
 def element_types(spark, sf_dir):
-    """Kinds of elements of nodes; kinds that are not known count as houses."""
-    kind = F.when(F.col("id").rlike("^cl-.*0$"), "splice box").otherwise(F.col("type"))
+    """Kinds of elements of nodes; dens are closures, poles and kinds that are not known count as houses."""
+    kind = F.when(F.col("id").rlike("^cl-.*0$"), F.when(F.col("id").rlike("[02468]0$"), "pole").otherwise("splice box")).when(F.col("id").rlike("^h-.*7$"), "den").otherwise(F.col("type"))
     return nodes(spark, sf_dir).groupBy(tx.element_type(kind).alias("element")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{W}, i AS (SELECT 'too_long' AS kind, id FROM net WHERE length > CASE tier WHEN 'drop' THEN 100 WHEN 'distribution' THEN 500 ELSE 2000 END)
-SELECT kind, id, upper(substr(kind, 1, 3)) || '-' || lpad(CAST(row_number() OVER (PARTITION BY kind ORDER BY id) AS VARCHAR), 6, '0') AS issue, 'split_cable' AS fix FROM i""")
+ISSUES = f"""{W}, i AS (SELECT 'cable_too_long' AS type, id, source AS near_ FROM net WHERE length > CASE tier WHEN 'drop' THEN 100 WHEN 'distribution' THEN 500 ELSE 2000 END
+ UNION ALL SELECT 'disconnected_node', id, id FROM nodes WHERE id NOT IN (SELECT source FROM cables UNION ALL SELECT target FROM cables)
+ UNION ALL SELECT 'optical_budget_exceeded', house, cabinet FROM paths WHERE w1 * w2 > 64 UNION ALL SELECT 'cascade_exceeded', id, id FROM net WHERE tier = 'feeder' AND length > 9000),
+z AS (SELECT *, 'Z' || regexp_extract(near_, '([0-9]+)$', 1) AS zone FROM i)"""
+
+
+@query(f"""{ISSUES} SELECT zone, type, id, zone || '-' || substr(replace(upper(type), '_', '-'), 1, 10) || '-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS issue,
+CASE type WHEN 'optical_budget_exceeded' THEN 'change_splitter_ratio' WHEN 'disconnected_node' THEN 'reassign_house' WHEN 'cascade_exceeded' THEN 'add_node' END AS fix
+FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY type, id) AS n FROM z)""")
 def issue_ids(spark, sf_dir):
-    """Issues with numbers in their kind and the tool that mends them."""
+    """Issues of each zone with their ids (zone, kind cut to ten characters, number in the zone) and the tool that mends them, if any.
+    A zone is named by the number of the node that an issue lies at."""
     most = F.when(F.col("tier") == "drop", 100).when(F.col("tier") == "distribution", 500).otherwise(2000)
-    i = net(spark, sf_dir).filter(F.col("length") > most).select(F.lit("too_long").alias("kind"), "id")
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
-    fix = F.when(F.col("kind") == "too_long", "split_cable").otherwise("review")
-    return i.select("kind", "id", F.concat(F.upper(F.substring("kind", 1, 3)), F.lit("-"), tx.padded(n, 6)).alias("issue"), fix.alias("fix"))
+    n, all_ = net(spark, sf_dir), nodes(spark, sf_dir)
+    used = cables(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    kind = lambda df, name, ident, at: df.select(F.lit(name).alias("type"), F.col(ident).alias("id"), F.col(at).alias("near"))
+    i = kind(n.filter(F.col("length") > most), "cable_too_long", "id", "source")
+    i = i.unionByName(kind(all_.join(used, "id", "left_anti"), "disconnected_node", "id", "id"))
+    i = i.unionByName(kind(paths(spark, sf_dir).filter("w1 * w2 > 64"), "optical_budget_exceeded", "house", "cabinet"))
+    i = i.unionByName(kind(n.filter("tier = 'feeder' AND length > 9000"), "cascade_exceeded", "id", "id"))
+    z = i.withColumn("zone", F.concat(F.lit("Z"), F.regexp_extract("near", "([0-9]+)$", 1)))
+    number = F.row_number().over(Window.partitionBy("zone").orderBy("type", "id"))
+    code = F.substring(F.replace(F.upper("type"), F.lit("_"), F.lit("-")), 1, 10)
+    fix = F.when(F.col("type") == "optical_budget_exceeded", "change_splitter_ratio").when(F.col("type") == "disconnected_node", "reassign_house").when(F.col("type") == "cascade_exceeded", "add_node")
+    return z.select("zone", "type", "id", F.concat_ws("-", "zone", code, tx.padded(number, 3)).alias("issue"), fix.alias("fix"))
 
 
 @query(f"{W}, h AS (SELECT x.target AS house, 'house ' || x.target || ' <- ' || x.source || ' <- ' || d.source || ' <- ' || f.source AS path, 3 AS hops FROM cables x JOIN cables d ON d.target = x.source JOIN cables f ON f.target = d.source) SELECT house, path, hops FROM h")

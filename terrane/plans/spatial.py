@@ -122,10 +122,14 @@ def drop_crossing(spark, sf_dir):
     return hits.filter("area <> target").select("scene_id", "cable_id").distinct()
 
 
-@query(f"{W}, {NN}, {DROPS} SELECT a.cable_id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS crossed FROM drops a JOIN bld b ON a.scene_id = b.scene_id AND b.id <> a.target WHERE {_sql_meets('a', 'b')} GROUP BY 1")
+@query(f"""{W}, k AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY source) AS k FROM dist), h AS (SELECT a.scene_id, b.id, min(k) AS k FROM k a JOIN bld b ON b.scene_id = a.scene_id AND {_sql_meets('a', 'b')} GROUP BY ALL)
+SELECT scene_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k, id) AS crossed FROM h GROUP BY 1""")
 def crossed_buildings(spark, sf_dir):
-    hits = sp.segments_through_footprints(drops(spark, sf_dir), sc.buildings(spark, sf_dir)).filter("area <> target")
-    return hits.groupBy("cable_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("area")), lambda x: x.cast("string")), ",").alias("crossed"))
+    """The buildings that the line through all closures of a scene passes through, each once, by the stretch that meets it first."""
+    trunk = sc.distribution(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("scene_id").orderBy("source")))
+    hits = sp.segments_through_footprints(trunk, sc.buildings(spark, sf_dir)).groupBy("scene_id", "area").agg(F.min("k").alias("k"))
+    order = F.array_sort(F.collect_list(F.struct("k", "area")))
+    return hits.groupBy("scene_id").agg(F.array_join(F.transform(order, lambda s: s["area"].cast("string")), ",").alias("crossed"))
 
 
 NS = f"""ns AS (SELECT * FROM (SELECT e.scene_id, e.id, s.street_id, s.name, {sql_segment('e.x', 'e.y', 's.x', 's.y', 's.bx', 's.ey')} AS d,

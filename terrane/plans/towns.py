@@ -1,4 +1,4 @@
-"""Questions on grid towns: what the operators find must be what was planted."""
+"""Questions on generated towns, for tests alone (no table is read): what the operators find must be what was planted."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from terrane.functions import geo
 from terrane.functions.geo import P
 from terrane.functions.stats import half_up
 from terrane.operators import graph as gr
+from terrane.operators import procedural as pr
 from terrane.operators import routing as rt
 from terrane.operators import spatial as sp
 from terrane.sources import towns as tw
@@ -119,3 +120,16 @@ def town_one_way(spark, sf_dir):
     best = gr.shortest(edges, n.select(name(F.lit(0), F.lit(0)).alias("start")))
     part = lambda k: F.get(F.split("id", "/"), F.lit(k))
     return best.select(part(0).cast("int").alias("scene_id"), part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), F.col("cost").cast("long").alias("metres"))
+
+
+@query()
+def synthetic_scene(spark, sf_dir):
+    specs = spark.range(40).select(F.col("id").cast("int").alias("scene_id"), (1000 + F.col("id")).alias("seed"), (2 + F.col("id") % 4).alias("cols"), (2 + F.col("id") % 3).alias("rows"))
+    return pr.synthetic_scenes(specs)
+
+
+@query("SELECT CAST(i AS INT) AS scene_id, 1000 + i AS seed, ['none', 'closureInBuilding', 'cableCrossing', 'coverageGap', 'all'][CAST(i % 5 + 1 AS INT)] AS plant, CAST(2 + (i // 5) % 4 AS INT) AS size FROM (SELECT unnest(range(60)) AS i)")
+def balanced_specs(spark, sf_dir):
+    plants = F.array(*map(F.lit, ("none", "closureInBuilding", "cableCrossing", "coverageGap", "all")))
+    i = F.col("id")
+    return spark.range(60).select(i.cast("int").alias("scene_id"), (1000 + i).alias("seed"), F.element_at(plants, (i % 5 + 1).cast("int")).alias("plant"), (2 + F.floor(i / 5) % 4).cast("int").alias("size"))

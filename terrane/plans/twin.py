@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geo
@@ -17,6 +17,7 @@ from terrane.operators import routing as rt
 from terrane.operators import spatial as sp
 from terrane.operators import textmap as tm
 from terrane.plans.network import NET, _db, _db_sql, cables, nodes, paths
+from terrane.plans.spatial import _sql_meets
 from terrane.plans.towns import SPEC, TOWNS
 from terrane.sources import scenes as sc
 from terrane.sources import towns as tw
@@ -37,6 +38,21 @@ def query(oracle: str | None = None):
     return add
 
 
+#: Questions on generated towns, for tests: they read no table, so they are not in the catalogue.
+TOWN_QUERIES: dict = {}
+TOWN_ORACLE: dict[str, str] = {}
+
+
+def town_query(oracle: str | None = None):
+    def add(f):
+        TOWN_QUERIES[f.__name__] = f
+        if oracle:
+            TOWN_ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
 # Towns as text. A town's frame begins a quarter of a cell outside its corner, so nothing lies on a border between cells.
 EDGE, MAPS = 0.25, 18
 
@@ -76,7 +92,7 @@ far AS (SELECT a.scene_id, a.g, a.tc AS c1, a.tr AS r1, b.tc AS c2, b.tr AS r2,
 TOWN_SQL, MAP_SQL = _TOWN.format(towns=TOWNS), _TOWN.format(towns=MAPS)
 
 
-@query(f"""WITH {MAP_SQL}, cells AS (SELECT *, unnest(range(g)) AS c FROM (SELECT *, unnest(range(g)) AS r FROM fr)),
+@town_query(f"""WITH {MAP_SQL}, cells AS (SELECT *, unnest(range(g)) AS c FROM (SELECT *, unnest(range(g)) AS r FROM fr)),
 st AS (SELECT scene_id, 5 * k AS r, 5 * n AS c, 'S' || k AS name FROM (SELECT *, unnest(range(n + 1)) AS k FROM fr) UNION ALL SELECT scene_id, 5 * n, 5 * k, 'S' || (n + 1 + k) FROM (SELECT *, unnest(range(n)) AS k FROM fr)),
 stamp AS (SELECT scene_id, r, c + i AS c, substr(name, CAST(i + 1 AS INT), 1) AS ch FROM (SELECT *, unnest(range(length(name))) AS i FROM st)),
 geo AS (SELECT q.scene_id, q.g, q.r, q.c, coalesce(s.ch, CASE WHEN q.r = q.g - 1 OR q.c = q.g - 1 THEN '.' WHEN q.r % 5 = 0 THEN '=' WHEN q.c % 5 = 0 THEN '|'
@@ -122,7 +138,7 @@ def _wire(name: str, kind: str, ends: str, cc: str, rr: str, dc: str, dr: str) -
 _AREA = f"{sql_haversine(f'(34.78 + (b.c0 + 2) * {_DL})', f'(32.085 + (b.r0 + 2) * {_DA})', f'(34.78 + cl.cc * {_DL})', f'(32.085 + cl.rr * {_DA})')}"
 
 
-@query(f"""WITH {MAP_SQL}, near AS (SELECT b.scene_id, b.k, min({_AREA}) AS d FROM bb b JOIN cl ON cl.scene_id = b.scene_id GROUP BY ALL),
+@town_query(f"""WITH {MAP_SQL}, near AS (SELECT b.scene_id, b.k, min({_AREA}) AS d FROM bb b JOIN cl ON cl.scene_id = b.scene_id GROUP BY ALL),
 hb AS (SELECT b.*, 'B-' || b.bi || '-' || b.bj AS id, d, coalesce(cl.id, 'none') AS by_ FROM bb b JOIN near USING (scene_id, k) LEFT JOIN cl ON cl.scene_id = b.scene_id AND cl.k = b.k)
 SELECT scene_id, 'equipment' AS section, CAST(k + 1 AS BIGINT) AS n, '  ' || rpad(id, 8, ' ') || ' ' || substr('abcdefghijklmnopqrstuvwxyz', CAST(k + 1 AS INT), 1) || '  ' || {_spot('cc', 'rr')} || '  closure serves=' || home || ' on=' || CASE WHEN inb AND k = 0 THEN 'S' || (n + 1) || ' "V Street 0' ELSE 'S' || bj || ' "H Street ' || bj END || '" near "' || addr
  || '" inside=' || CASE WHEN inb AND k = 0 THEN home ELSE 'none' END || ' d_street=' || CASE WHEN inb AND k = 0 THEN '25.0' WHEN road AND k = closures - 1 THEN '0.0' ELSE '3.0' END || 'm street=' || CASE WHEN inb AND k = 0 THEN 'V' ELSE 'H' END || ' Street ' || bj || ' up=CO-1' AS line FROM cl
@@ -139,7 +155,7 @@ def town_legend(spark, sf_dir):
     return tm.legend(_frames(specs), **_town(specs))
 
 
-@query(f"""WITH {TOWN_SQL} SELECT scene_id, 'drop-' || id AS cable_id, 'OK' AS status FROM cl UNION ALL SELECT scene_id, 'dist-cross', 'CROSSES_BUILDING' FROM far
+@town_query(f"""WITH {TOWN_SQL} SELECT scene_id, 'drop-' || id AS cable_id, 'OK' AS status FROM cl UNION ALL SELECT scene_id, 'dist-cross', 'CROSSES_BUILDING' FROM far
 UNION ALL SELECT scene_id, 'feed-1', CASE WHEN inb THEN 'OFF_ROAD' ELSE 'OK' END FROM fr UNION ALL SELECT scene_id, 'lead-1', 'TOO_LONG' FROM fr""")
 def town_cable_status(spark, sf_dir):
     """State of each cable: the towns' own, one from the office to the first closure, and a drop along the whole southern street."""
@@ -155,6 +171,51 @@ def town_cable_status(spark, sf_dir):
     return cable_states(c, own, tw.buildings(specs), tw.streets(specs))
 
 
+def _scene(spark, sf_dir) -> tuple[DataFrame, dict]:
+    """Frames and tables of the supplied scenes for their text maps."""
+    nth = lambda key: (F.row_number().over(Window.partitionBy("scene_id").orderBy(key)) - 1).alias("ord")
+    text = lambda c: F.col(c).cast("string")
+    b, e, d = sc.buildings(spark, sf_dir), sc.equipment(spark, sf_dir), sc.distribution(spark, sf_dir)
+    streets = sc.streets(spark, sf_dir).select("scene_id", "street_id", nth("street_id"), "name", "line")
+    near = sp.nearest(b, e, 1).groupBy("scene_id", F.col("other").alias("id")).agg(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")).alias("serves"))
+    equipment = e.join(near, ["scene_id", "id"], "left").select("scene_id", nth("id"), text("id").alias("id"), "kind", "x", "y", F.coalesce("serves", F.array().cast("array<string>")).alias("serves"))
+    buildings = b.select("scene_id", nth("id"), text("id").alias("id"), "x", "y", "footprint", "type", "floors", F.concat(text("id"), F.lit(" Main Street")).alias("address"))
+    cables = _line(d).select("scene_id", nth("source"), F.col("cable_id").alias("id"), "kind", text("source").alias("source"), text("target").alias("target"), "line")
+    frames = sc.points(spark, sf_dir).groupBy("scene_id").agg(*[f(c).alias(f"{k}_{c}") for c in ("x", "y") for k, f in (("min", F.min), ("max", F.max))])
+    frames = frames.select("scene_id", *[(F.col(c) + s * sc.HALF).alias(c) for c, s in (("min_x", -1), ("min_y", -1), ("max_x", 1), ("max_y", 1))])
+    return tm.framed(frames), {"streets": streets, "buildings": buildings, "equipment": equipment, "cables": cables}
+
+
+@query()
+def scene_map(spark, sf_dir):
+    """Both grids of each supplied scene."""
+    f, t = _scene(spark, sf_dir)
+    layers = {"geography": tm.geography(f, t["streets"], t["buildings"]), "network": tm.network(f, t["equipment"], t["cables"])}
+    one, two = (tm.grid(f, cells).withColumn("layer", F.lit(name)) for name, cells in layers.items())
+    return one.unionByName(two)
+
+
+@query()
+def scene_legend(spark, sf_dir):
+    """The measured legend of each supplied scene."""
+    f, t = _scene(spark, sf_dir)
+    return tm.legend(f, **t)
+
+
+_T = "greatest(0.0, least(1.0, coalesce((((a.x + a.bx) / 2 - s.x) * (s.bx - s.x) + ((a.y + a.ey) / 2 - s.y) * (s.ey - s.y)) / nullif((s.bx - s.x) * (s.bx - s.x) + (s.ey - s.y) * (s.ey - s.y), 0), 0)))"
+
+
+@query(f"""WITH {sc.SCENE_SQL}, o AS (SELECT a.cable_id, min(sqrt(pow((a.x + a.bx) / 2 - (s.x + {_T} * (s.bx - s.x)), 2) + pow((a.y + a.ey) / 2 - (s.y + {_T} * (s.ey - s.y)), 2))) AS off FROM dist a JOIN st s ON s.scene_id = a.scene_id GROUP BY 1),
+h AS (SELECT DISTINCT a.cable_id FROM dist a JOIN bld b ON b.scene_id = a.scene_id AND {_sql_meets('a', 'b')})
+SELECT scene_id, cable_id, CASE WHEN cable_id IN (SELECT cable_id FROM h) THEN 'CROSSES_BUILDING' WHEN coalesce(off, 1e9) >= 0.0001 AND greatest(floor({sql_haversine('x', 'y', 'bx', 'y')} / 10), floor({sql_haversine('x', 'y', 'x', 'ey')} / 10)) >= 2 THEN 'OFF_ROAD'
+ WHEN {sql_haversine('x', 'y', 'bx', 'ey')} > 500 THEN 'TOO_LONG' ELSE 'OK' END AS status FROM dist LEFT JOIN o USING (cable_id)""")
+def scene_cable_status(spark, sf_dir):
+    """State of each cable between closures of the supplied scenes."""
+    d = sc.distribution(spark, sf_dir)
+    own = d.select("scene_id", "cable_id", F.explode(F.array("source", "target")).alias("area"))
+    return cable_states(d, own, sc.buildings(spark, sf_dir), sc.streets(spark, sf_dir))
+
+
 #: Degrees within which the middle of a cable counts as on a road, and the grid cells that a stretch off it may have.
 ON_ROAD, OFF_CELLS = 0.0001, 2
 
@@ -174,7 +235,7 @@ def cable_states(lines: DataFrame, own: DataFrame, buildings: DataFrame, streets
     return c.select("scene_id", "cable_id", nw.cable_status(F.coalesce("hit", F.lit(False)), off, F.col("kind"), geo.haversine(a, b)).alias("status"))
 
 
-@query(f"""WITH {TOWN_SQL} SELECT scene_id, id, CASE WHEN bi = n - 1 THEN 'different_component' ELSE 'reachable' END AS reason, CAST(CASE WHEN bi < n - 1 THEN 50 * (bi + 1 + bj) END AS BIGINT) AS metres,
+@town_query(f"""WITH {TOWN_SQL} SELECT scene_id, id, CASE WHEN bi = n - 1 THEN 'different_component' ELSE 'reachable' END AS reason, CAST(CASE WHEN bi < n - 1 THEN 50 * (bi + 1 + bj) END AS BIGINT) AS metres,
  CAST(CASE WHEN bi < n - 1 THEN bi + 1 + bj END AS INT) AS hops FROM cl WHERE NOT inb AND NOT road UNION ALL SELECT scene_id, 'FAR', 'too_far_from_graph', NULL, NULL FROM fr WHERE NOT inb AND NOT road""")
 def town_reach(spark, sf_dir):
     """Which closures the office reaches along a lattice of crossings whose last column is cut off, how far and over how many edges."""

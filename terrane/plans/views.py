@@ -203,10 +203,15 @@ def _sql_diamond(x: str, y: str) -> str:
     return f"(({hits}) % 2 = 1)"
 
 
-@query(f"{S} SELECT scene_id, street_id, name FROM st WHERE NOT regexp_matches(name, '^Street [0-9]+$') AND ({_sql_diamond('x', 'y')} OR {_sql_diamond('bx', 'ey')})")
+#: Types of streets by their number, as the supplied table has none.
+HIGHWAYS = ("residential", "service", "primary", "unclassified", "tertiary")
+
+
+@query(f"{S} SELECT scene_id, street_id, name FROM st WHERE street_id // 10 % 5 NOT IN (1, 3) AND ({_sql_diamond('x', 'y')} OR {_sql_diamond('bx', 'ey')})")
 def streets_in_polygon(spark, sf_dir):
-    """Streets of a real name with a vertex in a polygon: by its box first, then exactly."""
-    s = sc.streets(spark, sf_dir).filter(~F.col("name").rlike("(?i)^street [0-9]+$"))
+    """Streets other than service and unclassified ones with a vertex in a polygon: by its box first, then exactly."""
+    kind = F.element_at(F.array(*map(F.lit, HIGHWAYS)), (F.floor(F.col("street_id") / 10) % len(HIGHWAYS) + 1).cast("int"))
+    s = sc.streets(spark, sf_dir).withColumn("highway", kind).filter(~F.col("highway").isin("service", "unclassified"))
     box = F.exists("line", lambda v: v["x"].between(min(p[0] for p in DIAMOND), max(p[0] for p in DIAMOND)) & v["y"].between(min(p[1] for p in DIAMOND), max(p[1] for p in DIAMOND)))
     return s.filter(box).filter(F.exists("line", lambda v: geo.in_ring(P(v["x"], v["y"]), _diamond()))).select("scene_id", "street_id", "name")
 
@@ -303,11 +308,24 @@ def links_by_direction(spark, sf_dir):
     return d.groupBy("scene_id", "direction").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("cable_id")), ",").alias("cables"))
 
 
-@query(f"{S}, z AS (SELECT scene_id, name, street_id, CAST(floor(x / {TILE}) AS BIGINT) AS zc, CAST(floor(y / {TILE}) AS BIGINT) AS zr, {sql_haversine('x', 'y', 'bx', 'ey')} AS m FROM st) SELECT scene_id, zc, zr, name, arg_max(street_id, (round(m, 6), -street_id)) AS longest FROM z GROUP BY ALL")
+@query(f"""{S}, z AS (SELECT scene_id, street_id, lower(trim(name)) AS name, x, y, bx, ey, {sql_haversine('x', 'y', 'bx', 'ey')} AS m, unnest(list_distinct([{{'zc': CAST(floor(x / {TILE}) AS BIGINT), 'zr': CAST(floor(y / {TILE}) AS BIGINT)}}, {{'zc': CAST(floor(bx / {TILE}) AS BIGINT), 'zr': CAST(floor(ey / {TILE}) AS BIGINT)}}])) AS k FROM st),
+g AS (SELECT scene_id, street_id, name, m, k.zc AS zc, k.zr AS zr, greatest(0, least(19, floor((x - k.zc * {TILE}) / ({TILE} / 20)))) AS ax, greatest(0, least(19, 19 - floor((y - k.zr * {TILE}) / ({TILE} / 20)))) AS ay,
+ greatest(0, least(19, floor((bx - k.zc * {TILE}) / ({TILE} / 20)))) AS cx, greatest(0, least(19, 19 - floor((ey - k.zr * {TILE}) / ({TILE} / 20)))) AS cy FROM z)
+SELECT scene_id, zc, zr, name, street_id AS longest, CAST(floor((ax + cx) / 2) AS INT) AS col, CAST(floor((ay + cy) / 2) AS INT) AS row, CASE WHEN abs(cx - ax) >= abs(cy - ay) THEN 'horizontal' ELSE 'vertical' END AS orientation
+FROM g QUALIFY row_number() OVER (PARTITION BY scene_id, zc, zr, name ORDER BY round(m, 6) DESC, street_id) = 1""")
 def street_annotation(spark, sf_dir):
-    """Names of the streets that begin in a zone, with the longest way of each."""
-    s = zoned(sc.streets(spark, sf_dir)).withColumn("m", F.round(geo.line_metres(F.col("line")), 6))
-    return s.groupBy("scene_id", "zc", "zr", "name").agg(F.max_by("street_id", F.struct("m", -F.col("street_id"))).alias("longest"))
+    """Where a zone writes a street's name: the longest segment of that name with an end in the zone, the middle of its ends on the
+    zone's grid of 20 by 20 cells, and the way it runs there."""
+    s = sc.streets(spark, sf_dir).withColumns({"m": F.round(geo.line_metres(F.col("line")), 6), "name": F.lower(F.trim("name"))})
+    zone = lambda x, y: F.struct(geo.cell(F.col(x), TILE).alias("zc"), geo.cell(F.col(y), TILE).alias("zr"))
+    z = s.withColumn("z", F.explode(F.array_distinct(F.array(zone("x", "y"), zone("bx", "by"))))).select("*", "z.*")
+    inner = lambda c, k: F.floor((F.col(c) - F.col(k) * TILE) / (TILE / 20))
+    held = lambda c: F.greatest(F.lit(0), F.least(F.lit(19), c))
+    ends = {"ax": held(inner("x", "zc")), "ay": held(19 - inner("y", "zr")), "cx": held(inner("bx", "zc")), "cy": held(19 - inner("by", "zr"))}
+    best = z.withColumns(ends).groupBy("scene_id", "zc", "zr", "name").agg(F.max_by(F.struct("street_id", "ax", "ay", "cx", "cy"), F.struct("m", -F.col("street_id"))).alias("s")).select("scene_id", "zc", "zr", "name", "s.*")
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("int")
+    flat = F.abs(F.col("cx") - F.col("ax")) >= F.abs(F.col("cy") - F.col("ay"))
+    return best.select("scene_id", "zc", "zr", "name", F.col("street_id").alias("longest"), middle("ax", "cx").alias("col"), middle("ay", "cy").alias("row"), F.when(flat, "horizontal").otherwise("vertical").alias("orientation"))
 
 
 @query(f"""{S} SELECT scene_id, street_id, round(b, 6) AS bearing, round(asin(sin(radians(my)) * cos(5 / 6371000.0) + cos(radians(my)) * sin(5 / 6371000.0) * cos(radians(b + 90))) * 180 / pi(), 8) AS right_lat
@@ -341,15 +359,17 @@ def sampled_crossings(spark, sf_dir):
     return d.join(b, "scene_id").filter(hit).groupBy("scene_id", "cable_id").agg(F.count("*").alias("n"))
 
 
-SPIRAL = [(0, 0), (1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (-1, 1), (-1, -1), (1, -1)]
+#: Where the customers of one cell are drawn, in order; further ones are drawn on the cell itself.
+SPIRAL = [(0, 0), (1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (-1, 1), (-1, -1), (1, -1), (2, 0), (0, 2), (-2, 0), (0, -2)]
+OVERLAY = 0.002  # degrees of a cell, so that some hold more customers than there are places
 
 
-@query(f"{S}, c AS (SELECT scene_id, id, CAST(floor(x / 0.0005) AS BIGINT) AS c, CAST(floor(y / 0.0005) AS BIGINT) AS r FROM bld), n AS (SELECT *, row_number() OVER (PARTITION BY scene_id, c, r ORDER BY id) - 1 AS k FROM c) SELECT scene_id, id, c + ({[p[0] for p in SPIRAL]})[CAST(k % 9 + 1 AS INT)] AS col, r + ({[p[1] for p in SPIRAL]})[CAST(k % 9 + 1 AS INT)] AS row FROM n")
+@query(f"{S}, c AS (SELECT scene_id, id, CAST(floor(x / {OVERLAY}) AS BIGINT) AS c, CAST(floor(y / {OVERLAY}) AS BIGINT) AS r FROM bld), n AS (SELECT *, row_number() OVER (PARTITION BY scene_id, c, r ORDER BY id) - 1 AS k FROM c) SELECT scene_id, id, c + coalesce(({[p[0] for p in SPIRAL]})[CAST(k + 1 AS INT)], 0) AS col, r + coalesce(({[p[1] for p in SPIRAL]})[CAST(k + 1 AS INT)], 0) AS row FROM n")
 def customer_overlay(spark, sf_dir):
-    """Customers of one cell spread over it and its neighbours, in order of their ids."""
-    b = sc.buildings(spark, sf_dir).select("scene_id", "id", geo.cell(F.col("x"), 0.0005).alias("c"), geo.cell(F.col("y"), 0.0005).alias("r"))
-    k = ((F.row_number().over(Window.partitionBy("scene_id", "c", "r").orderBy("id")) - 1) % 9 + 1).cast("int")
-    step = lambda i: F.element_at(F.array(*[F.lit(p[i]) for p in SPIRAL]), F.col("k"))
+    """Customers of one cell spread over it and its neighbours, in order of their ids; those beyond the places stay on the cell."""
+    b = sc.buildings(spark, sf_dir).select("scene_id", "id", geo.cell(F.col("x"), OVERLAY).alias("c"), geo.cell(F.col("y"), OVERLAY).alias("r"))
+    k = F.row_number().over(Window.partitionBy("scene_id", "c", "r").orderBy("id")) - 1
+    step = lambda i: F.coalesce(F.get(F.array(*[F.lit(p[i]) for p in SPIRAL]), F.col("k")), F.lit(0))
     return b.withColumn("k", k).select("scene_id", "id", (F.col("c") + step(0)).alias("col"), (F.col("r") + step(1)).alias("row"))
 
 

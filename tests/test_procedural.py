@@ -30,7 +30,7 @@ def test_pairs_within_metres_at_any_latitude(spark):
         p = _points(spark, rows)
         assert {(r.id, r.other) for r in sp.within_metres(p, p, 150.0).collect()} == want
         want = {i: min((_metres(at[i], at[j]), j) for j in at if j != i)[1] for i in at}
-        for rings in (0, 2):
+        for rings in (False, True, None):
             assert {r.id: r.other for r in sp.nearest(p, p, 1, 40.0, rings).collect()} == want
 
 
