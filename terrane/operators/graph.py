@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,45 @@ def shortest(edges: DataFrame, starts: DataFrame, rounds: int | None = None) ->
         best = settled(best.unionByName(front).groupBy("start", "id").agg(F.min(F.struct("cost", "previous")).alias("o")).select("start", "id", "o.*"))
 
 
+def ways_to(links: DataFrame, goals: DataFrame) -> DataFrame:
+    """(id, path): from every node that a goal (id) reaches over links (source, target), walked in either direction, the way with the
+    fewest links to the nearest goal, the node first and the goal last; of equal ways that of the smaller next node.
+
+    All goals start at once, and a node is reached in one round only, so a cycle or a second goal costs nothing. There are as
+    many rounds as the longest way has links.
+    """
+    both = settled(both_ways(links.select("source", "target")).distinct())
+    front = settled(goals.select("id", F.array("id").alias("path")).distinct())
+    reached = front
+    while True:
+        step = front.withColumnRenamed("id", "source").join(both, "source").groupBy(F.col("target").alias("id")).agg(F.min_by("path", "source").alias("rest"))
+        front = settled(step.join(reached.select("id"), "id", "left_anti").select("id", F.concat(F.array("id"), "rest").alias("path")))
+        if front.isEmpty():
+            return reached
+        reached = settled(reached.unionByName(front))
+
+
+def tree_lines(nodes: DataFrame, cables: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, place, line): the tree below each root (id, label) as indented lines, of any depth. nodes: (id, label); cables: (source,
+    target, ord), whose order is that of the branches. place holds the branch numbers from the root, so it sorts the lines.
+    Branches to unknown nodes are left out, and so is one that leads back to a node above it."""
+    w = Window.partitionBy("source")
+    known = cables.join(nodes.withColumnsRenamed({"id": "target", "label": "text"}), "target").select("source", "target", "ord", "text")
+    number = F.row_number().over(w.orderBy("ord", "target")).cast("long")
+    branches = settled(known.withColumns({"k": number, "last": number == F.count("*").over(w)}).drop("ord"))
+    empty = F.lit("")
+    front = settled(roots.select(F.col("id").alias("root"), "id", F.array().cast("array<bigint>").alias("place"), F.col("label").alias("line"), empty.alias("prefix"), F.array("id").alias("above")))
+    out = front.drop("prefix", "above")
+    while True:
+        step = front.drop("line").withColumnRenamed("id", "source").join(branches, "source").filter(~F.array_contains("above", F.col("target")))
+        line = F.concat("prefix", F.when(F.col("last"), "└── ").otherwise("├── "), "text")
+        step = step.select("root", F.col("target").alias("id"), F.array_append("place", F.col("k")).alias("place"), line.alias("line"), F.concat("prefix", F.when(F.col("last"), "    ").otherwise("│   ")).alias("prefix"), F.array_append("above", F.col("target")).alias("above"))
+        front = settled(step)
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front.drop("prefix", "above"))
+
+
 def closest_between(nodes: DataFrame, membership: DataFrame, metres: float = 100.0) -> DataFrame:
     """The nearest pair of nodes of every two components no farther apart than metres: (ca, cb, a, b, d)."""
     from terrane.operators.spatial import within_metres

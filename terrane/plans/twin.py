@@ -257,9 +257,34 @@ def town_reach(spark, sf_dir):
 @query(f"{W} SELECT id, CAST(CASE type WHEN 'co' THEN 0 WHEN 'cabinet' THEN 1 WHEN 'closure' THEN 2 ELSE 3 END AS BIGINT) AS hops FROM nodes WHERE type = 'co' OR id IN (SELECT target FROM cables)")
 def hops_to_office(spark, sf_dir):
     """Cables between a node and its office, walked in either direction."""
-    links = gr.both_ways(cables(spark, sf_dir).select("source", "target")).withColumn("cost", F.lit(1.0))
-    offices = nodes(spark, sf_dir).filter("type = 'co'").select(F.col("id").alias("start"))
-    return gr.shortest(links, offices).groupBy("id").agg(F.min("cost").cast("long").alias("hops"))
+    return _ways(spark, sf_dir).select("id", (F.size("path") - 1).cast("long").alias("hops"))
+
+
+def _ways(spark, sf_dir) -> DataFrame:
+    return gr.ways_to(cables(spark, sf_dir), nodes(spark, sf_dir).filter("type = 'co'"))
+
+
+@query(f"WITH RECURSIVE {NET}, t AS (SELECT id, id AS path FROM nodes WHERE type = 'co' UNION ALL SELECT c.target, c.target || ' <- ' || t.path FROM t JOIN cables c ON c.source = t.id) SELECT id, path FROM t")
+def path_to_office(spark, sf_dir):
+    """The way from every node to the nearest office, of any length."""
+    return _ways(spark, sf_dir).select("id", F.array_join("path", " <- ").alias("path"))
+
+
+_LABEL = "CASE type WHEN 'co' THEN '★' WHEN 'cabinet' THEN '◆' WHEN 'closure' THEN '●' ELSE '○' END || ' ' || upper(type) || coalesce(' (' || ratio || ')', '') || ' [' || id || ']'"
+
+
+@query(f"""WITH RECURSIVE {NET}, x AS (SELECT id, type, {_LABEL} AS text FROM nodes), ch AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY ord, target) AS k, count(*) OVER (PARTITION BY source) AS n FROM cables),
+t AS (SELECT id AS root, id, '' AS place, text AS line, '' AS prefix FROM x WHERE type = 'co'
+ UNION ALL SELECT root, x.id, place || CASE WHEN place = '' THEN '' ELSE '.' END || k, prefix || CASE WHEN k = n THEN '└── ' ELSE '├── ' END || text, prefix || CASE WHEN k = n THEN '    ' ELSE '│   ' END FROM t JOIN ch ON ch.source = t.id JOIN x ON x.id = ch.target)
+SELECT root, id, place, line FROM t""")
+def hierarchy_lines(spark, sf_dir):
+    """The network below each office as the lines of a tree, of any depth."""
+    n = nodes(spark, sf_dir)
+    symbol = F.when(F.col("type") == "co", "★").when(F.col("type") == "cabinet", "◆").when(F.col("type") == "closure", "●").otherwise("○")
+    label = F.concat(symbol, F.lit(" "), F.upper("type"), F.coalesce(F.concat(F.lit(" ("), "ratio", F.lit(")")), F.lit("")), F.lit(" ["), "id", F.lit("]"))
+    named = n.select("id", "type", label.alias("label"))
+    t = gr.tree_lines(named.select("id", "label"), cables(spark, sf_dir), named.filter("type = 'co'"))
+    return t.select("root", "id", F.array_join(F.transform("place", lambda k: k.cast("string")), ".").alias("place"), "line")
 
 
 # Fibres, ports and hardware of cabinets and closures.
