@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators import graph as gr
+from terrane.operators import gridroute as gro
 from terrane.operators import procedural as pr
 from terrane.operators import routing as rt
 from terrane.operators import streetgraph as sg
@@ -229,3 +230,40 @@ def scene_reach(spark, sf_dir):
     points = g.buildings.select("scene_id", text("id"), "x", "y")
     found = rt.reach(points, office, g.nodes.select("scene_id", F.col("ord").cast("string").alias("id"), "x", "y"), sg.gr.settled(ways), REACH_M)
     return found.select("scene_id", F.col("id").cast("long").alias("id"), F.col("node").cast("long").alias("node"), F.round("distance", 4).alias("distance"), "reason")
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    p = sc.points(spark, sf_dir).groupBy("scene_id").agg(*[(f(c) + s * sc.HALF).alias(f"{k}_{c}") for k, f, s in (("min", F.min, -1), ("max", F.max, 1)) for c in ("x", "y")])
+    return gro.framed(p)
+
+
+def _sql_route_frames() -> str:
+    side = lambda x, y: f"CAST(greatest({gro.LEAST_CELLS}, least({gro.MOST_CELLS}, floor(greatest(1.0, {sql_haversine('mx', 'my', x, y)}) / {gro.CELL_M} + 0.5))) AS INT)"
+    return f"""fr0 AS (SELECT scene_id, min(x) - {sc.HALF} AS mx, min(y) - {sc.HALF} AS my, max(x) + {sc.HALF} AS hx, max(y) + {sc.HALF} AS hy FROM pts GROUP BY 1),
+fr1 AS (SELECT *, {side('hx', 'my')} AS gw, {side('mx', 'hy')} AS gh FROM fr0), fr AS (SELECT *, (hx - mx) / gw AS cw, (hy - my) / gh AS ch FROM fr1),
+ce AS (SELECT scene_id, col, row, mx + (col + 0.5) * cw AS px, my + (row + 0.5) * ch AS py FROM (SELECT *, unnest(range(gh)) AS row FROM (SELECT *, unnest(range(gw)) AS col FROM fr)))"""
+
+
+_EDGE = lambda a, b: sql_segment("px", "py", *a, *b)
+_RING = [("b.x0", "b.y0"), ("b.x1", "b.y0"), ("b.x1", "b.y1"), ("b.x0", "b.y1")]
+
+
+@query(f"""WITH {sc.SCENE_SQL}, {_sql_route_frames()},
+cl AS (SELECT DISTINCT ce.scene_id, col, row FROM ce JOIN bld b ON b.scene_id = ce.scene_id AND px BETWEEN b.x0 - 0.0001 AND b.x1 + 0.0001 AND py BETWEEN b.y0 - 0.0001 AND b.y1 + 0.0001
+ WHERE (px > b.x0 AND px < b.x1 AND py > b.y0 AND py < b.y1) OR least({', '.join(_EDGE(a, b) for a, b in zip(_RING, _RING[1:] + _RING[:1]))}) < {gro.CLEARANCE_M}),
+sl AS (SELECT DISTINCT ce.scene_id, col, row FROM ce JOIN st s ON s.scene_id = ce.scene_id WHERE {sql_segment('px', 'py', 's.x', 's.y', 's.bx', 's.ey')} < {gro.STREET_CELLS * gro.CELL_M})
+SELECT scene_id, 'closed' AS kind, count(*) AS cells, CAST(sum(col * 1000 + row) AS BIGINT) AS places FROM cl GROUP BY 1 UNION ALL SELECT scene_id, 'street', count(*), CAST(sum(col * 1000 + row) AS BIGINT) FROM sl GROUP BY 1""")
+def route_cells(spark, sf_dir):
+    """Cells of each scene's routing grid that buildings close, and those on streets."""
+    f = _frames(spark, sf_dir)
+    both = gro.closed_cells(f, sc.buildings(spark, sf_dir)).withColumn("kind", F.lit("closed")).unionByName(gro.street_cells(f, sc.streets(spark, sf_dir)).withColumn("kind", F.lit("street")))
+    return both.groupBy("scene_id", "kind").agg(F.count("*").alias("cells"), F.sum(F.col("col") * 1000 + F.col("row")).cast("long").alias("places"))
+
+
+@query()
+def laid_routes(spark, sf_dir):
+    """The cables between closures of each scene on their cheapest ways around buildings, off the streets where that is cheaper."""
+    f, d = _frames(spark, sf_dir), sc.distribution(spark, sf_dir)
+    ways = gro.routed(d.withColumnRenamed("cable_id", "request"), f, gro.closed_cells(f, sc.buildings(spark, sf_dir)), gro.street_cells(f, sc.streets(spark, sf_dir)))
+    out = gro.laid(d.select("scene_id", "cable_id", "kind", "source", "target"), ways)
+    return out.select("scene_id", "cable_id", "source", "target", F.round("cost", 6).alias("cost"), F.size("line").alias("points"), F.round("metres", 4).alias("metres"))
