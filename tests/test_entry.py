@@ -29,4 +29,4 @@ def test_queries_without_the_corpus_folders(tmp_path):
 def test_queries_with_the_corpus_folders():
     if os.path.isdir(os.path.join(ROOT, "terrane", "llm")):
         queries, _, corpus = _counts(ROOT)
-        assert corpus == 10 + os.path.exists(os.path.join(ROOT, "corpus_pipeline.py")) and queries == len(catalog.QUERIES) + corpus
+        assert corpus == 13 + os.path.exists(os.path.join(ROOT, "corpus_pipeline.py")) and queries == len(catalog.QUERIES) + corpus
