@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import coverage, documents, evaluation, layers, network, procedural, routes, rules, spatial, store, twin, views
+from terrane.plans import coverage, documents, evaluation, layers, network, procedural, routes, rules, spatial, store, twin, upkeep, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, layers, twin, documents):
+for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, layers, twin, documents, upkeep):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE
