@@ -35,3 +35,21 @@ def shuffled(items: Column, seed: Column) -> Column:
         return F.struct(s.alias("s"), a.alias("a"))
 
     return F.aggregate(places, first, swap, lambda acc: acc["a"])
+
+
+def jump(n: int) -> tuple[int, int]:
+    """(multiplier, step) by which the sequence goes n places at once."""
+    m, a = 1, 0
+    for _ in range(n):
+        m, a = m * MULTIPLIER % WORD, (a * MULTIPLIER + STEP) % WORD
+    return m, a
+
+
+def leap(state: Column, multiplier: Column, step_: Column) -> Column:
+    """The state after such a jump; the multiplier is taken in two halves, so that no product leaves 64 bits."""
+    high, low = F.floor(multiplier / 65536).cast("long"), F.pmod(multiplier, F.lit(65536).cast("long"))
+    return F.pmod(F.pmod(high * state, F.lit(65536).cast("long")) * 65536 + low * state + step_, F.lit(WORD))
+
+
+def first_state(seed: Column) -> Column:
+    return F.when(seed == 0, F.lit(1).cast("long")).otherwise(seed)

@@ -1,10 +1,11 @@
-"""Zones and indexes of scenes kept up to date from changes, and their figures and issues."""
+"""Zones and indexes of scenes kept up to date from changes, their figures and issues; seeded tiles clear of evaluation windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import tiles as ti
 from terrane.operators import zones as zn
 from terrane.operators.graph import settled
 from terrane.plans.views import named_streets
@@ -125,3 +126,23 @@ def index_update(spark, sf_dir):
     before = settled(zn.entries(at, zn.spans(c.cables, at, at), named_streets(at, streets)))
     _, index = zn.update_index(before, settled(zn.lookup_rows(before)), c, lambda own: named_streets(own, streets))
     return index.fillna(-1, ["closure", "db"])
+
+
+TILE_SQL = f"""WITH RECURSIVE j(i, m, a) AS (SELECT 0, 1::HUGEINT, 0::HUGEINT UNION ALL SELECT i + 1, (m * 1103515245) % 4294967296, (a * 1103515245 + 12345) % 4294967296 FROM j WHERE i < 1000),
+sd AS (SELECT seed, CASE WHEN h = 0 THEN 1 ELSE h END AS s FROM (SELECT c_custkey AS seed, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('tile|' || c_custkey, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM customer)),
+ins AS (SELECT 350 / 2.0 / (111320 * cos(radians((40.732 + 40.778) / 2.0))) + 0.001 AS ix, 350 / 2.0 / 110540 + 0.001 AS iy),
+u AS (SELECT seed, p.i // 2 AS attempt, -74.011 + ix + CAST((p.m * s + p.a) % 4294967296 AS DOUBLE) / 4294967296 * (-73.957 + 74.011 - 2 * ix) AS lng, 40.732 + iy + CAST((q.m * s + q.a) % 4294967296 AS DOUBLE) / 4294967296 * (40.778 - 40.732 - 2 * iy) AS lat
+ FROM sd, ins, j p JOIN j q ON q.i = p.i + 1 WHERE p.i % 2 = 1 AND p.i < 1000),
+t AS (SELECT seed, attempt, lng - 350 / 2.0 / (111320 * cos(radians(lat))) AS x0, lat - 350 / 2.0 / 110540 AS y0, lng + 350 / 2.0 / (111320 * cos(radians(lat))) AS x1, lat + 350 / 2.0 / 110540 AS y1 FROM u),
+c AS (SELECT -73.984 + ((r * 73 % 100) / 100.0 - 0.5) * 0.02 AS lng, 40.7549 + ((r * 91 % 100) / 100.0 - 0.5) * 0.02 AS lat FROM (SELECT unnest(range(100)) AS r)),
+b AS (SELECT lng - 550 / 2.0 / (111320 * cos(radians(lat))) AS x0, lat - 550 / 2.0 / 110540 AS y0, lng + 550 / 2.0 / (111320 * cos(radians(lat))) AS x1, lat + 550 / 2.0 / 110540 AS y1 FROM c),
+f AS (SELECT seed, min(attempt) AS attempt FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE t.x0 < b.x1 AND t.x1 > b.x0 AND t.y0 < b.y1 AND t.y1 > b.y0) GROUP BY 1)
+SELECT sd.seed, CAST(f.attempt AS INT) AS attempt, round(x0, 9) AS x0, round(y0, 9) AS y0, round(x1, 9) AS x1, round(y1, 9) AS y1 FROM sd LEFT JOIN f ON f.seed = sd.seed LEFT JOIN t ON t.seed = f.seed AND t.attempt = f.attempt"""
+
+
+@query(TILE_SQL)
+def train_tiles(spark, sf_dir):
+    """A tile of each customer's number as a seed, clear of all evaluation windows."""
+    seeds = sc.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))
+    t = ti.tiles(seeds, ti.evaluation_boxes(spark))
+    return t.select("seed", "attempt", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
