@@ -3,7 +3,7 @@ hardware that holds them, and checks.
 
 A device is a row (id, ratio, fibres) with the fibres of its incoming cable. A device has at most MOST fibres and as many ports as
 its ratio says, so of the cables below it only the first that many can matter: they are taken by rank before anything is
-summed, and a device with a large share of all cables sends no more rows on than others.
+summed or joined to ports, and a device with a large share of all cables sends no more rows on than its ports.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def allocation(devices: DataFrame, below: DataFrame) -> DataFrame:
 
 
 def ports(devices: DataFrame, drops: DataFrame) -> DataFrame:
-    """(id, port, address, cable, status, colour): the houses of drops (id, target, cable, ord) in order at the ports of the splitter."""
+    """(id, port, address, cable, status, colour): the houses of drops (id, target, cable, ord) in order at the ports of the splitter,
+    however many it has; houses beyond the last port have none."""
     ways = devices.select("id", tx.splitter_ways(F.col("ratio")).alias("ways"))
-    ranked = drops.withColumn("port", F.row_number().over(Window.partitionBy("id").orderBy("ord", "cable"))).filter(F.col("port") <= MOST)
+    ranked = drops.join(ways, "id").withColumn("port", F.row_number().over(Window.partitionBy("id").orderBy("ord", "cable"))).filter("port <= ways")
     every = ways.select("id", F.explode(F.sequence(F.lit(1), "ways")).alias("port"))
     held = every.join(ranked.select("id", "port", F.col("target").alias("address"), "cable"), ["id", "port"], "left")
     return held.withColumns({"status": F.when(F.col("address").isNull(), "available").otherwise("allocated"), "colour": tx.fibre_colour(F.col("port"))})

@@ -88,3 +88,10 @@ def test_trace_without_a_bound(spark):
     starts = spark.createDataFrame([(f"n{n}",), ("other",)], "id string")
     got = {r.id: r.path for r in gr.trace_up(starts, cables, None).collect()}
     assert got[f"n{n}"] == [f"n{i}" for i in range(n, -1, -1)] and got["other"] == ["other"]
+
+
+def test_every_port_of_a_large_splitter_is_dealt(spark):
+    devices = spark.createDataFrame([("big", "1:256", 12), ("small", "1:2", 12)], "id string, ratio string, fibres int")
+    drops = spark.createDataFrame([(d, f"h-{i}", f"c-{i}", i) for d in ("big", "small") for i in range(300)], "id string, target string, cable string, ord int")
+    rows = fb.ports(devices, drops).collect()
+    assert {(r.id, r.port): r.address for r in rows} == {("big", i + 1): f"h-{i}" for i in range(256)} | {("small", 1): "h-0", ("small", 2): "h-1"}
