@@ -27,16 +27,17 @@ ACCESS_M, CLOSE_M = 15.0, 5.0
 KINDS = {BUILDING: "building", ROAD_H: "road", ROAD_V: "road", ROAD_X: "intersection", PAVEMENT: "sidewalk", " ": "empty", "◆": "cabinet", "★": "co", "○": "house"}
 
 
-def framed(frames: DataFrame) -> DataFrame:
-    """Frames with the degrees cw and ch of a cell."""
+def framed(frames: DataFrame, width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """Frames with the cells w and h of their grids, and the degrees cw and ch of a cell."""
+    w, h = F.lit(WIDTH) if width is None else width, F.lit(HEIGHT) if height is None else height
     cells = lambda a, b, n: (F.col(b) - F.col(a)) / n
-    return frames.select("scene_id", "min_x", "min_y", "max_x", "max_y", cells("min_x", "max_x", WIDTH).alias("cw"), cells("min_y", "max_y", HEIGHT).alias("ch"))
+    return frames.select("scene_id", "min_x", "min_y", "max_x", "max_y", w.alias("w"), h.alias("h"), cells("min_x", "max_x", w).alias("cw"), cells("min_y", "max_y", h).alias("ch"))
 
 
 def cell_of(x: Column, y: Column) -> tuple[Column, Column]:
     """Column and row of a point in the row's frame; points outside are put on the edge."""
-    held = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), v)).cast("int")
-    return held(F.floor((x - F.col("min_x")) / F.col("cw")), WIDTH), held(HEIGHT - 1 - F.floor((y - F.col("min_y")) / F.col("ch")), HEIGHT)
+    held = lambda v, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, v)).cast("int")
+    return held(F.floor((x - F.col("min_x")) / F.col("cw")), "w"), held(F.col("h") - 1 - F.floor((y - F.col("min_y")) / F.col("ch")), "h")
 
 
 def _lines(f: DataFrame, lines: DataFrame) -> DataFrame:
@@ -46,8 +47,9 @@ def _lines(f: DataFrame, lines: DataFrame) -> DataFrame:
     return line_cells(lines.join(f, "scene_id").withColumns({"c0": c0, "r0": r0, "c1": c1, "r1": r1, "flat": flat}))
 
 
-def building_cells(f: DataFrame, buildings: DataFrame) -> DataFrame:
-    """(scene_id, id, col, row): cells whose place is inside a footprint drawn on the grid; the building's own cell where none is."""
+def building_cells(f: DataFrame, buildings: DataFrame, own_cell: bool = True) -> DataFrame:
+    """(scene_id, id, col, row): cells whose place is inside a footprint drawn on the grid; the building's own cell where none is, unless
+    own_cell is false."""
     on = lambda v, i: cell_of(v["x"], v["y"])[i].cast("double")
     b = buildings.join(f, "scene_id").withColumn("ring", F.transform("footprint", lambda v: F.struct(on(v, 0).alias("x"), on(v, 1).alias("y"))))
     at = cell_of(F.col("x"), F.col("y"))
@@ -56,7 +58,7 @@ def building_cells(f: DataFrame, buildings: DataFrame) -> DataFrame:
     cells = F.flatten(F.transform(F.sequence(whole("min_y"), whole("max_y")), lambda r: F.transform(F.sequence(whole("min_x"), whole("max_x")), lambda c: F.struct(c.alias("col"), r.alias("row")))))
     inside = F.filter(cells, lambda k: geo.in_ring(P(k["col"].cast("double"), k["row"].cast("double")), F.col("ring")))
     own = F.when(F.size(inside) > 0, inside).otherwise(F.array(F.struct(F.col("c").alias("col"), F.col("r").alias("row"))))
-    return b.select("scene_id", "id", F.explode(own).alias("k")).select("scene_id", "id", "k.col", "k.row")
+    return b.select("scene_id", "id", F.explode(own if own_cell else inside).alias("k")).select("scene_id", "id", "k.col", "k.row")
 
 
 def _around(cells: DataFrame, n: int) -> DataFrame:
@@ -72,10 +74,16 @@ def road_cells(f: DataFrame, streets: DataFrame) -> DataFrame:
     return g.select("scene_id", "col", "row", F.when(F.col("h") & F.col("v"), ROAD_X).when(F.col("h"), ROAD_H).otherwise(ROAD_V).alias("glyph"))
 
 
+def pavement(f: DataFrame, cells: DataFrame) -> DataFrame:
+    """(scene_id, col, row): cells of the grid near the given ones."""
+    near = _around(cells.join(f.select("scene_id", "w", "h"), "scene_id"), PAVEMENT_CELLS).filter("ncol BETWEEN 0 AND w - 1 AND nrow BETWEEN 0 AND h - 1")
+    return near.select("scene_id", F.col("ncol").alias("col"), F.col("nrow").alias("row")).distinct()
+
+
 def base(f: DataFrame, streets: DataFrame, buildings: DataFrame) -> DataFrame:
     """Buildings over roads over the pavement around buildings."""
     b = building_cells(f, buildings).select("scene_id", "col", "row").distinct()
-    near = _around(b, PAVEMENT_CELLS).filter(F.col("ncol").between(0, WIDTH - 1) & F.col("nrow").between(0, HEIGHT - 1)).select("scene_id", F.col("ncol").alias("col"), F.col("nrow").alias("row")).distinct()
+    near = pavement(f, b)
     layers = b.withColumns({"p": F.lit(3), "glyph": F.lit(BUILDING)}).unionByName(road_cells(f, streets).withColumn("p", F.lit(2))).unionByName(near.withColumns({"p": F.lit(1), "glyph": F.lit(PAVEMENT)}))
     return layers.groupBy("scene_id", "col", "row").agg(F.max_by("glyph", "p").alias("glyph"))
 
@@ -107,8 +115,8 @@ def composite(under: DataFrame, over: DataFrame) -> DataFrame:
 def text(f: DataFrame, cells: DataFrame) -> DataFrame:
     """(scene_id, row, line): all rows of the grids, blanks where nothing is painted."""
     rows = cells.groupBy("scene_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "glyph"))).alias("at"))
-    every = f.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("row")).join(rows, ["scene_id", "row"], "left")
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(" "))), "")
+    every = f.select("scene_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row")).join(rows, ["scene_id", "row"], "left")
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(" "))), "")
     return every.select("scene_id", "row", line.alias("line"))
 
 
@@ -123,8 +131,8 @@ def neighbourhoods(lines: DataFrame, closures: DataFrame, f: DataFrame) -> DataF
     distance of the first road and building that a scan of widening squares meets (row by row, up to ten cells), the three
     nearest other closures on the grid, and whether they have access to a road, stand on a pavement, or should move."""
     c, r = cell_of(F.col("x"), F.col("y"))
-    east = geo.haversine(P(F.col("min_x"), F.col("min_y")), P(F.col("max_x"), F.col("min_y"))) / WIDTH
-    north = geo.haversine(P(F.col("min_x"), F.col("min_y")), P(F.col("min_x"), F.col("max_y"))) / HEIGHT
+    east = geo.haversine(P(F.col("min_x"), F.col("min_y")), P(F.col("max_x"), F.col("min_y"))) / F.col("w")
+    north = geo.haversine(P(F.col("min_x"), F.col("min_y")), P(F.col("min_x"), F.col("max_y"))) / F.col("h")
     own = closures.join(f, "scene_id").select("scene_id", "id", c.alias("col"), r.alias("row"), east.alias("mx"), north.alias("my"))
     cells = parsed(lines).select("scene_id", F.col("col").alias("ncol"), F.col("row").alias("nrow"), "glyph")
     seen = _around(own, SEARCH_CELLS).filter((F.col("dc") != 0) | (F.col("dr") != 0)).join(cells, ["scene_id", "ncol", "nrow"], "left")
