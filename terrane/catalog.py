@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import coverage, documents, evaluation, layers, network, procedural, questions, representations, routes, rules, spatial, store, twin, upkeep, views
+from terrane.plans import areas, coverage, documents, evaluation, layers, network, procedural, questions, representations, routes, rules, spatial, store, twin, upkeep, views
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, layers, representations, twin, documents, upkeep, questions):
+for _plan in (evaluation, spatial, network, procedural, store, coverage, views, rules, routes, layers, representations, areas, twin, documents, upkeep, questions):
     QUERIES |= _plan.QUERIES
     ORACLE |= _plan.ORACLE
