@@ -6,6 +6,8 @@ on an order within a scene is a fold over one array value, and scenes run in par
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +55,32 @@ def _middle(ring: Column, k: str) -> Column:
     return F.aggregate(F.transform(open_, lambda v: v[k]), F.lit(0.0), lambda a, x: a + x) / F.size(open_)
 
 
-def chosen_buildings(w: DataFrame, buildings: DataFrame, most: int = 12) -> DataFrame:
+def _one_a_cell(b: DataFrame, most: int) -> DataFrame:
+    """(scene_id, first): for each cell of a grid over the places (mx, my) of a scene, of at least `most` cells, the building nearest to its
+    middle, row by row from the south-west. A place between two cells is in the one that comes first."""
+    k = math.ceil(math.sqrt(most))
+    box = b.groupBy("scene_id").agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
+    width = lambda a, z: F.when(F.col(z) > F.col(a), (F.col(z) - F.col(a)) / k).otherwise(1e-9)
+    c = b.join(box, "scene_id").withColumns({"cw": width("x0", "x1"), "ch": width("y0", "y1")})
+    cell = lambda v, a, w: F.greatest(F.lit(0), F.least(F.lit(k - 1), F.ceil((F.col(v) - F.col(a)) / F.col(w)) - 1))
+    c = c.withColumns({"cx": cell("mx", "x0", "cw"), "cy": cell("my", "y0", "ch")})
+    d = F.round(geo.haversine(P(F.col("mx"), F.col("my")), P(F.col("x0") + (F.col("cx") + 0.5) * F.col("cw"), F.col("y0") + (F.col("cy") + 0.5) * F.col("ch"))), 6)
+    best = c.groupBy("scene_id", "cx", "cy").agg(F.min_by(F.struct("id", "mx", "my"), F.struct(d, F.col("id"))).alias("s"))
+    row = F.struct((F.col("cy") * k + F.col("cx")).cast("double").alias("d"), F.col("s.id").alias("id"), F.col("s.mx").alias("x"), F.col("s.my").alias("y"))
+    return best.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("first"))
+
+
+def chosen_buildings(w: DataFrame, buildings: DataFrame, most: int = 12, spread: bool = False) -> DataFrame:
     """(scene_id, n, source, x, y, footprint, number, street, type, floors) of the buildings (id, x, y: centre, footprint, address: text) of a
-    scene: from the middle of all in the window outwards, each that is at least 8 m from those taken before it, up to `most` (1 to 40)."""
+    scene: from the middle of all in the window outwards, each that is at least 8 m from those taken before it, up to `most` (1 to 40). With spread, one for each cell of a grid over all
+    comes first, so that the choice grows with the window."""
     most = max(1, min(most, MOST))
     b = _in_windows(buildings.filter(F.size("footprint") >= 3), w).withColumns({"mx": _middle(F.col("footprint"), "x"), "my": _middle(F.col("footprint"), "y")})
     middle = b.groupBy("scene_id").agg(F.avg("mx").alias("ox"), F.avg("my").alias("oy"))
     d = F.round(geo.haversine(P(F.col("mx"), F.col("my")), P(F.col("ox"), F.col("oy"))), 6)
     sorted_ = b.join(middle, "scene_id").groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), "id", F.col("mx").alias("x"), F.col("my").alias("y")))).alias("all"))
+    if spread:
+        sorted_ = sorted_.join(_one_a_cell(b, most), "scene_id").select("scene_id", F.concat("first", "all").alias("all"))
     near = lambda k, x: geo.haversine(P(k["x"], k["y"]), P(x["x"], x["y"])) < APART_M
     free = lambda kept, x: (F.size(kept) < most) & ~F.exists(kept, lambda k: near(k, x))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
@@ -89,14 +109,14 @@ def _snapped(points: DataFrame, streets: DataFrame) -> DataFrame:
     return points.join(best, ["scene_id", "k"], "left").select(*points.columns, F.coalesce("s.x", "x").alias("sx"), F.coalesce("s.y", "y").alias("sy"))
 
 
-def scenes(w: DataFrame, buildings: DataFrame, streets: DataFrame, most: int = 12) -> dict[str, DataFrame]:
+def scenes(w: DataFrame, buildings: DataFrame, streets: DataFrame, most: int = 12, spread: bool = False) -> dict[str, DataFrame]:
     """buildings, streets, equipment (scene_id, id, kind, serves, x, y) and cables (scene_id, id, kind, source, target, x, y, bx, by) of windows
     that have, beside their box, a boolean for each of PLANTS: a building left without a closure (the most isolated), the
     first closure inside its building, a cable from the first to the last closure, the last closure on its street.
 
     Every building has a closure on the pavement before it, and an office stands on the street nearest to the south-western
     corner. Windows without buildings give nothing; null plants count as false."""
-    b = chosen_buildings(w, buildings, most)
+    b = chosen_buildings(w, buildings, most, spread)
     side = lambda f, g, k: f(g(F.transform("footprint", lambda v: v[k])))
     bounds = b.groupBy("scene_id").agg(side(F.min, F.array_min, "x").alias("x0"), side(F.max, F.array_max, "x").alias("x1"), side(F.min, F.array_min, "y").alias("y0"), side(F.max, F.array_max, "y").alias("y1"))
     s = chosen_streets(w, streets, bounds)

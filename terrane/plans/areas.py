@@ -56,19 +56,40 @@ def area_boxes(spark, sf_dir):
     return w.join(n, "scene_id", "left").select("scene_id", "seed", "size_m", *[F.round(c, 9).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")], F.coalesce("buildings", F.lit(0)).cast("long").alias("buildings"))
 
 
-@query(f"""{AREAS}, mi AS (SELECT scene_id, avg(x) AS ox, avg(y) AS oy FROM wb GROUP BY 1),
-ca AS (SELECT wb.*, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY round({sql_haversine('x', 'y', 'ox', 'oy')}, 6), id) AS BIGINT) AS k FROM wb JOIN mi USING (scene_id)),
+_NEAREST = f"SELECT wb.*, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY round({sql_haversine('x', 'y', 'ox', 'oy')}, 6), id) AS BIGINT) AS k FROM wb JOIN mi USING (scene_id)"
+_CELL = "greatest(0, least(3, ceil(({v} - {a}) / {w}) - 1))"
+_MIDDLE = sql_haversine("x", "y", "x0 + (cx + 0.5) * cw", "y0 + (cy + 0.5) * ch")
+_SPREAD = f"""SELECT scene_id, id, x, y, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY part, o) AS BIGINT) AS k FROM
+ (SELECT scene_id, id, x, y, 1 AS part, k AS o FROM ({_NEAREST}) UNION ALL SELECT scene_id, id, x, y, 0, cy * 4 + cx FROM
+  (SELECT *, {_CELL.format(v='x', a='x0', w='cw')} AS cx, {_CELL.format(v='y', a='y0', w='ch')} AS cy FROM (SELECT *, CASE WHEN x1 > x0 THEN (x1 - x0) / 4 ELSE 1e-9 END AS cw, CASE WHEN y1 > y0 THEN (y1 - y0) / 4 ELSE 1e-9 END AS ch FROM
+   (SELECT *, min(x) OVER s AS x0, max(x) OVER s AS x1, min(y) OVER s AS y0, max(y) OVER s AS y1 FROM wb WINDOW s AS (PARTITION BY scene_id))))
+  QUALIFY row_number() OVER (PARTITION BY scene_id, cx, cy ORDER BY round({_MIDDLE}, 6), id) = 1)"""
+
+
+def _chosen(order: str) -> str:
+    """SQL: those of the candidates, in order k, that are apart from all taken before them."""
+    return f"""{AREAS}, mi AS (SELECT scene_id, avg(x) AS ox, avg(y) AS oy FROM wb GROUP BY 1), ca AS ({order}),
 g AS (SELECT scene_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept FROM mi
  UNION ALL SELECT scene_id, k, CASE WHEN free THEN id END, CASE WHEN free THEN list_append(kept, {{'x': x, 'y': y}}) ELSE kept END FROM
  (SELECT g.scene_id, ca.k, ca.id, ca.x, ca.y, kept, len(kept) < 12 AND len(list_filter(kept, lambda o: {sql_haversine('o.x', 'o.y', 'ca.x', 'ca.y')} < {ar.APART_M})) = 0 AS free FROM g JOIN ca ON ca.scene_id = g.scene_id AND ca.k = g.k + 1)),
 t AS (SELECT g.scene_id, g.id, CAST(row_number() OVER (PARTITION BY g.scene_id ORDER BY k) - 1 AS INT) AS n FROM g WHERE id IS NOT NULL)
-SELECT t.scene_id, n, t.id AS source, round(b.x, 7) AS x, round(b.y, 7) AS y, CASE WHEN t.id % 3 = 0 THEN CAST(t.id AS VARCHAR) END AS number, CASE WHEN t.id % 3 = 0 THEN 'Oak Street' END AS street, CASE WHEN n % 4 = 0 THEN 'commercial' ELSE 'residential' END AS type, 3 + n % 8 AS floors FROM t JOIN bld b ON b.id = t.id""")
+SELECT t.scene_id, n, t.id AS source, round(b.x, 7) AS x, round(b.y, 7) AS y, CASE WHEN t.id % 3 = 0 THEN CAST(t.id AS VARCHAR) END AS number, CASE WHEN t.id % 3 = 0 THEN 'Oak Street' END AS street, CASE WHEN n % 4 = 0 THEN 'commercial' ELSE 'residential' END AS type, 3 + n % 8 AS floors FROM t JOIN bld b ON b.id = t.id"""
+
+
+@query(_chosen(_NEAREST))
 def area_buildings(spark, sf_dir):
     """The buildings of each window's scene."""
     b = ar.chosen_buildings(_windows(spark, sf_dir), _city(spark, sf_dir)[0])
     return b.drop("footprint").withColumns({"x": F.round("x", 7), "y": F.round("y", 7)})
 
 
+@query(_chosen(_SPREAD))
+def area_buildings_spread(spark, sf_dir):
+    """The buildings of each window's scene where they are spread over the window."""
+    b = ar.chosen_buildings(_windows(spark, sf_dir), _city(spark, sf_dir)[0], spread=True)
+    return b.drop("footprint").withColumns({"x": F.round("x", 7), "y": F.round("y", 7)})
+
+
 @query()
 def area_scenes(spark, sf_dir):
     """Everything in each window's scene: buildings, streets, devices and cables, with the planted fault of its seed."""

@@ -121,3 +121,27 @@ def test_without_rows_or_streets(spark, city):
     assert ar.entities(ar.scenes(w, b.limit(0), s)).count() == 0
     alone = ar.entities(ar.scenes(w, b, s.limit(0)))
     assert alone.filter("part = 'street'").count() == 0 and alone.filter("id = 'CO-1'").count() == 1
+
+
+def test_buildings_spread_over_the_window(spark, city):
+    buildings, _, b, _ = city
+    w = ar.windows(requests(spark, [(k, "nyc", k, 700.0 + 300 * k, *[None] * 4) for k in range(3)]))
+    got = {}
+    for r in ar.chosen_buildings(w, b, 12, spread=True).collect():
+        got.setdefault(r.scene_id, []).append((r.n, r.source))
+    for r in w.collect():
+        own = [x for x in buildings if r.min_x <= x[1] <= r.max_x and r.min_y <= x[2] <= r.max_y]
+        low, high = [min(x[k] for x in own) for k in (1, 2)], [max(x[k] for x in own) for k in (1, 2)]
+        size, took = [(b - a) / 4 for a, b in zip(low, high)], []
+        apart = lambda x: all(metres(x[1], x[2], o[1], o[2]) >= 8 for o in took)
+        for cy in range(4):
+            for cx in range(4):
+                west, south = low[0] + cx * size[0], low[1] + cy * size[1]
+                here = [x for x in own if west - 1e-12 <= x[1] <= west + size[0] + 1e-12 and south - 1e-12 <= x[2] <= south + size[1] + 1e-12 and x not in took]
+                if here and len(took) < 12:
+                    best = min(here, key=lambda x: (round(metres(x[1], x[2], west + size[0] / 2, south + size[1] / 2), 6), x[0]))
+                    took += [best] if apart(best) else []
+        middle = [sum(x[k] for x in own) / len(own) for k in (1, 2)]
+        for x in sorted(own, key=lambda x: (round(metres(x[1], x[2], *middle), 6), x[0])):
+            took += [x] if len(took) < 12 and apart(x) else []
+        assert sorted(got[r.scene_id]) == [(k, x[0]) for k, x in enumerate(took)]
