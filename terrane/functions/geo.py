@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 EARTH_M = 6_371_000.0
 LNG_M, LAT_M = 111_320.0, 110_540.0
@@ -130,6 +133,30 @@ def segment_meets_ring(a: P, b: P, ring: Column, mode: str = "closed") -> Column
     return F.when(n < 1, F.lit(False)).otherwise(edge | ends)
 
 
+@F.arrow_udf(BooleanType())
+def meets_ring_both_ends(x: pa.Array, y: pa.Array, bx: pa.Array, by: pa.Array, ring: pa.Array) -> pa.Array:
+    """segment_meets_ring() in the mode both_ends for rings of one vertex or more, by batches: the same arithmetic over all edges of all
+    pairs at once."""
+    n = ring.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+    if not len(n):
+        return pa.array([], pa.bool_())
+    vx, vy = (c.to_numpy(zero_copy_only=False) for c in ring.flatten().flatten())
+    start = np.cumsum(n) - n
+    after = np.arange(1, len(vx) + 1)
+    after[start + n - 1] = start
+    wx, wy = vx[after], vy[after]
+    ax, ay, cx, cy = (np.repeat(c.to_numpy(zero_copy_only=False), n) for c in (x, y, bx, by))
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    cut = (side(vx, vy, wx, wy, ax, ay) * side(vx, vy, wx, wy, cx, cy) < 0) & (side(ax, ay, cx, cy, vx, vy) * side(ax, ay, cx, cy, wx, wy) < 0)
+
+    def inside(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        level = np.where(wy == vy, 1.0, wy - vy)
+        hit = ((vy > py) != (wy > py)) & (px < (wx - vx) * (py - vy) / level + vx)
+        return np.add.reduceat(hit.astype("int64"), start) % 2 == 1
+
+    return pa.array(np.logical_or.reduceat(cut, start) | (inside(ax, ay) & inside(cx, cy)))
+
+
 def centroid(ring: Column) -> Column:
     """Struct (x, y): mean of the vertices; the last one is left out where it repeats the first."""
     n = F.size(ring)

@@ -26,6 +26,18 @@ def _around(metres: float, size: float) -> Column:
     return F.explode(F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy"))))))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session names: rows that are few in bytes may still be long work."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def _by_cell(left: DataFrame, right: DataFrame, dealt: bool) -> DataFrame:
+    """left and right joined by scene and cell; `dealt`: by as many tasks as the session names, and nothing by way of the driver."""
+    key = ("scene_id", "cx", "cy")
+    return spread(left, *key).join(spread(right, *key).hint("merge"), list(key)) if dealt else left.join(right, list(key))
+
+
 def cells_of_box(df: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str, size: float = CELL) -> DataFrame:
     """df once for every cell that its box touches, with columns cx and cy."""
     xs = F.sequence(geo.cell(F.col(min_x), size), geo.cell(F.col(max_x), size))
@@ -42,29 +54,46 @@ def points_in_footprints(points: DataFrame, areas: DataFrame, size: float = CELL
     return near.filter(geo.in_ring(P(F.col("x"), F.col("y")), F.col("footprint"))).select("scene_id", "id", "area")
 
 
-def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: float = CELL, mode: str | None = None) -> DataFrame:
-    """segments (with x, y, bx, by) joined with the footprints they pass through, as column `area`; with a mode by the test of that
-    name (geo.segment_meets_ring)."""
+def _near_footprints(segments: DataFrame, areas: DataFrame, size: float, dealt: bool = False) -> DataFrame:
+    """segments (with x, y, bx, by) with the footprints whose box theirs meets, once for each cell that both touch."""
     box = areas.select("scene_id", F.col("id").alias("area"), "footprint", geo.bounds(F.col("footprint")).alias("b")).select("*", "b.*").drop("b")
     right = cells_of_box(box, "min_x", "min_y", "max_x", "max_y", size)
-    names = segments.columns
     seg = segments.withColumns({"lx": F.least("x", "bx"), "ly": F.least("y", "by"), "hx": F.greatest("x", "bx"), "hy": F.greatest("y", "by")})
     seg = segment_cells(seg, size)
-    near = seg.join(right, ["scene_id", "cx", "cy"]).filter("hx >= min_x AND lx <= max_x AND hy >= min_y AND ly <= max_y")
+    return _by_cell(seg, right, dealt).filter("hx >= min_x AND lx <= max_x AND hy >= min_y AND ly <= max_y")
+
+
+def segments_through_footprints(segments: DataFrame, areas: DataFrame, size: float = CELL, mode: str | None = None) -> DataFrame:
+    """segments (with x, y, bx, by) joined with the footprints they pass through, as column `area`; with a mode by the test of that
+    name (geo.segment_meets_ring)."""
+    near = _near_footprints(segments, areas, size)
     line = F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
     test = geo.segment_meets_ring(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")), F.col("footprint"), mode) if mode else geo.line_meets_ring(line, F.col("footprint"))
-    return near.filter(test).select(*names, "area").distinct()
+    return near.filter(test).select(*segments.columns, "area").distinct()
 
 
-def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """(scene_id, id, other, d) of pairs no farther apart than metres (haversine), by cells of about that size. Up to 89 degrees
-    of latitude; a circle that passes the date line is cut there."""
+def segments_blocked(segments: DataFrame, areas: DataFrame, size: float = CELL) -> DataFrame:
+    """Those of segments (with x, y, bx, by) that properly cross a footprint's outline or have both ends in one: the test both_ends, by
+    batches of pairs. A segment may come more than once."""
+    near = _near_footprints(segments, areas, size, dealt=True)
+    return near.filter(geo.meets_ring_both_ends("x", "y", "bx", "by", "footprint")).select(*segments.columns)
+
+
+def met_within(left: DataFrame, right: DataFrame, metres: float, dealt: bool = True) -> DataFrame:
+    """Rows of left (scene_id, x, y, ...) with those of right (scene_id, bx, by, ...) no farther away than `metres` (haversine), and the
+    column of that name, by cells of about that size; other columns go along. Up to 89 degrees of latitude; a circle that
+    passes the date line is cut there."""
     size = metres / 80_000.0
-    own = left.select("scene_id", "id", "x", "y", _around(metres, size).alias("c")).select("scene_id", "id", "x", "y", "c.cx", "c.cy")
-    others = right.select("scene_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    others = others.withColumns({"cx": geo.cell(F.col("ox"), size), "cy": geo.cell(F.col("oy"), size)})
-    d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("ox"), F.col("oy")))
-    return own.join(others, ["scene_id", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= metres).select("scene_id", "id", "other", "d")
+    own = left.select("*", _around(metres, size).alias("c")).select(*left.columns, "c.cx", "c.cy")
+    others = right.withColumns({"cx": geo.cell(F.col("bx"), size), "cy": geo.cell(F.col("by"), size)})
+    d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")))
+    return _by_cell(own, others, dealt).withColumn("metres", d).filter(F.col("metres") <= metres).drop("cx", "cy")
+
+
+def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """(scene_id, id, other, d) of pairs of left and right (scene_id, id, x, y) no farther apart than metres, as of met_within()."""
+    others = right.select("scene_id", F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return met_within(left.select("scene_id", "id", "x", "y"), others, metres, dealt=False).select("scene_id", "id", "other", F.col("metres").alias("d"))
 
 
 def crowded(df: DataFrame) -> bool:

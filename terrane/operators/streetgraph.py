@@ -8,6 +8,8 @@ all scenes at once.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ ARC_M, ARC_POINTS, ARC_LEAST, ARC_MOST = 3.0, 3, 30.0, 330.0
 INFRASTRUCTURE = ("pole", "handhole", "conduit_access")
 _SAMPLES = 1 << 20  # of one side of a street, at most
 SWEEP_CELL = 0.02  # degrees
+GROUP_ROWS = 1 << 17  # nodes of a scene's side, or edges of a scene, that a task may hold; larger ones go by rounds
 
 
 def sampled(streets: DataFrame, step: float = STEP_M, side: float = SIDE_M) -> DataFrame:
@@ -53,12 +56,9 @@ def _sweep(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "id": pd.Series(list(fate), dtype="int64"), "fate": pd.Series(list(fate.values()), dtype="bool")})
 
 
-def absorbed(nodes: DataFrame, metres: float = MERGE_M, cell: float = SWEEP_CELL) -> DataFrame:
-    """(scene_id, ord, into) of nodes (scene_id, ord, x, y, side): in the order of ord, a node that no earlier seed of its side has
-    taken becomes a seed and takes all later ones within metres; null is a side of its own.
-
-    Only neighbours within metres, found by cells, ever meet. A node's fate is known once an earlier neighbour is a seed or all are
-    taken. Every round sweeps the nodes of each cell in order, with what is known of other cells, and leaves those that
+def _absorbed_by_sweeps(nodes: DataFrame, metres: float, cell: float) -> DataFrame:
+    """absorbed() for sides of any size. Only neighbours within metres, found by cells, ever meet. A node's fate is known once an
+    earlier neighbour is a seed or all are taken. Every round sweeps the nodes of each cell in order, with what is known of other cells, and leaves those that
     wait for one; so there are as many rounds as a chain of waiting nodes enters cells, whatever its length, and a task
     holds the open neighbours of one cell.
     """
@@ -86,11 +86,60 @@ def absorbed(nodes: DataFrame, metres: float = MERGE_M, cell: float = SWEEP_CELL
     return own.select(F.col("scene").alias("scene_id"), F.col("id").alias("ord"), F.coalesce("by", "id").alias("into"))
 
 
+def _by_size(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most so many rows, and those of larger ones; None where there are none."""
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    if large.isEmpty():
+        return df, None
+    match = [F.col(f"d.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    one, two = df.alias("d"), gr.settled(large.drop("n")).alias("l")
+    return one.join(two, match, "left_anti"), one.join(two, match, "left_semi")
+
+
+def _absorbing(metres: float):
+    """A function that merges the nodes of one side in order, with the seeds found so far by cells."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        high = metres / 110_000.0
+        wide = high / math.cos(math.radians(min(89.5, rows["y"].abs().max() + high)))
+        seeds: dict[tuple[int, int], list] = {}
+        into = []
+        for i, x, y in zip(rows["ord"].tolist(), rows["x"].tolist(), rows["y"].tolist()):
+            by = None
+            if math.isfinite(x) and math.isfinite(y):
+                cx, cy, lat = math.floor(x / wide), math.floor(y / high), math.radians(y)
+                flat = math.cos(lat)
+                for near in ((cx + dx, cy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+                    for j, sx, sy, sflat in seeds.get(near, ()):
+                        if by is None or j < by:
+                            h = math.sin(math.radians(sy - y) / 2) ** 2 + flat * sflat * math.sin(math.radians(sx - x) / 2) ** 2
+                            if 2 * geo.EARTH_M * math.asin(min(1.0, math.sqrt(h))) <= metres:
+                                by = j
+                if by is None:
+                    seeds.setdefault((cx, cy), []).append((i, x, y, flat))
+            into.append(i if by is None else by)
+        return pd.DataFrame({"scene_id": rows["scene_id"], "ord": rows["ord"], "into": into})
+
+    return one
+
+
+def absorbed(nodes: DataFrame, metres: float = MERGE_M, cell: float = SWEEP_CELL, most: int = GROUP_ROWS) -> DataFrame:
+    """(scene_id, ord, into) of nodes (scene_id, ord, x, y, side): in the order of ord, a node that no earlier seed of its side has
+    taken becomes a seed and takes all later ones within metres; null is a side of its own.
+
+    Sides of at most `most` nodes are merged one by one inside tasks; larger ones by sweeps over their cells."""
+    small, large = _by_size(nodes.select("scene_id", "ord", "x", "y", "side"), ["scene_id", "side"], most)
+    kind = nodes.schema["scene_id"].dataType.simpleString()
+    out = sp.spread(small, "scene_id", "side").groupBy("scene_id", "side").applyInPandas(_absorbing(metres), f"scene_id {kind}, ord long, into long")
+    return out if large is None else out.unionByName(_absorbed_by_sweeps(large, metres, cell))
+
+
 def merged(nodes: DataFrame, into: DataFrame) -> DataFrame:
     """(scene_id, ord, x, y, kind, side, name, streets, members) of nodes (scene_id, ord, x, y, kind, side, name, street_id) put together by
     absorbed(): the place of the first piece of infrastructure, else the mean; an intersection where several streets meet, else
     the last special kind; names and streets in order of appearance. A group holds what lies within reach of its seed."""
-    own = nodes.join(into, ["scene_id", "ord"])
+    own = nodes.join(into.hint("merge"), ["scene_id", "ord"])
     in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))), lambda s: s[c]))
     fixed = F.col("kind").isin(*INFRASTRUCTURE)
     special = fixed | (F.col("kind") == "intersection")
@@ -137,8 +186,8 @@ def clipped(nodes: DataFrame, areas: DataFrame, metres: float = BUFFER_M) -> Dat
 def unblocked(segments: DataFrame, buildings: DataFrame) -> DataFrame:
     """Segments (with scene_id, x, y, bx, by) that do not properly cross the outline of a footprint and do not lie inside one."""
     key = ["scene_id", "x", "y", "bx", "by"]
-    hit = sp.segments_through_footprints(segments.select(*key).distinct(), buildings, mode="both_ends").select(*key).distinct()
-    return segments.join(hit, key, "left_anti")
+    hit = sp.segments_blocked(segments.select(*key).distinct(), buildings).distinct()
+    return segments.join(hit.hint("merge"), key, "left_anti")
 
 
 def _placed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,18 +195,18 @@ def _placed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     a = nodes.select("scene_id", F.col("ord").alias("source"), "x", "y")
     b = nodes.select("scene_id", F.col("ord").alias("target"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d = geo.haversine(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")))
-    return pairs.join(a, ["scene_id", "source"]).join(b, ["scene_id", "target"]).withColumn("metres", d)
+    return pairs.join(a.hint("merge"), ["scene_id", "source"]).join(b.hint("merge"), ["scene_id", "target"]).withColumn("metres", d)
 
 
 def street_edges(samples: DataFrame, into: DataFrame, nodes: DataFrame, buildings: DataFrame) -> DataFrame:
     """(scene_id, source, target, kind, metres) between merged nodes: `sidewalk` from sample to sample of a side, `road_crossing` at both
     ends of a street. Once for each pair of nodes and kind; none through a building."""
-    s = samples.join(into, ["scene_id", "ord"]).select("scene_id", "street_id", "side", "k", "last", "into")
-    nxt = s.select("scene_id", "street_id", "side", (F.col("k") - 1).alias("k"), F.col("into").alias("target"))
-    along = s.join(nxt, ["scene_id", "street_id", "side", "k"]).select("scene_id", F.col("into").alias("source"), "target", F.lit("sidewalk").alias("kind"))
-    ends = s.filter("k = 0 OR last")
-    right = ends.filter("side = 'right'").select("scene_id", "street_id", "k", F.col("into").alias("target"))
-    across = ends.filter("side = 'left'").join(right, ["scene_id", "street_id", "k"]).select("scene_id", F.col("into").alias("source"), "target", F.lit("road_crossing").alias("kind"))
+    s = samples.join(into.hint("merge"), ["scene_id", "ord"]).select("scene_id", "street_id", "side", "k", "last", "into")
+    following = F.lead("into").over(Window.partitionBy("scene_id", "street_id", "side").orderBy("k"))
+    along = s.select("scene_id", F.col("into").alias("source"), following.alias("target"), F.lit("sidewalk").alias("kind"))
+    own = lambda side: F.max(F.when(F.col("side") == side, F.col("into")))
+    across = s.filter("k = 0 OR last").groupBy("scene_id", "street_id", "k").agg(own("left").alias("source"), own("right").alias("target"))
+    across = across.select("scene_id", "source", "target", F.lit("road_crossing").alias("kind"))
     both = along.unionByName(across).filter("source <> target")
     both = both.select("scene_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "kind").distinct()
     return unblocked(_placed(both, nodes), buildings).select("scene_id", "source", "target", "kind", "metres")
@@ -185,28 +234,48 @@ def corner_arcs(corners: DataFrame, streets: DataFrame, side: float = SIDE_M, ra
     return each.select("scene_id", "ord", "street_id", "next_id", "j", spot.x.alias("x"), spot.y.alias("y"))
 
 
-def component_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scene_id, ord, component): the least ord reachable in the scene."""
-    name = lambda c: F.struct("scene_id", F.col(c).alias("ord"))
-    found = gr.components(edges.select(name("source").alias("source"), name("target").alias("target")))
-    found = found.select(F.col("id.scene_id").alias("scene_id"), F.col("id.ord").alias("ord"), F.col("component.ord").alias("component"))
-    return nodes.select("scene_id", "ord").join(found, ["scene_id", "ord"], "left").select("scene_id", "ord", F.coalesce("component", "ord").alias("component"))
+def _components_inside(rows: pd.DataFrame) -> pd.DataFrame:
+    """The least node reachable from each node of a scene's edges."""
+    above: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := above.setdefault(i, i)) != i:
+            above[i] = above[up]
+            i = up
+        return i
+
+    for a, b in zip(rows["source"].tolist(), rows["target"].tolist()):
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "ord": pd.Series(list(above), dtype="int64"), "component": pd.Series([top(i) for i in above], dtype="int64")})
+
+
+def component_of(nodes: DataFrame, edges: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """(scene_id, ord, component): the least ord reachable in the scene. Scenes of at most `most` edges are joined up inside tasks; larger
+    ones by rounds over all nodes."""
+    small, large = _by_size(edges.select("scene_id", "source", "target"), ["scene_id"], most)
+    kind = edges.schema["scene_id"].dataType.simpleString()
+    found = sp.spread(small, "scene_id").groupBy("scene_id").applyInPandas(_components_inside, f"scene_id {kind}, ord long, component long")
+    if large is not None:
+        name = lambda c: F.struct("scene_id", F.col(c).alias("ord"))
+        far = gr.components(large.select(name("source").alias("source"), name("target").alias("target")))
+        found = found.unionByName(far.select(F.col("id.scene_id").alias("scene_id"), F.col("id.ord").alias("ord"), F.col("component.ord").alias("component")))
+    return nodes.select("scene_id", "ord").join(found.hint("merge"), ["scene_id", "ord"], "left").select("scene_id", "ord", F.coalesce("component", "ord").alias("component"))
 
 
-def _pairs_within(one: DataFrame, two: DataFrame, metres: float) -> DataFrame:
-    """(scene_id, ca, cb, source, target, metres, x, y, bx, by) of nodes (scene_id, ord, component, x, y) of different components."""
-    a = one.select("scene_id", F.col("ord").alias("id"), "x", "y")
-    b = two.select("scene_id", F.col("ord").alias("id"), "x", "y")
-    side = lambda df, node, comp, x, y: df.select("scene_id", F.col("ord").alias(node), F.col("component").alias(comp), F.col("x").alias(x), F.col("y").alias(y))
-    near = sp.within_metres(a, b, metres).select("scene_id", F.col("id").alias("source"), F.col("other").alias("target"), F.col("d").alias("metres"))
-    return near.join(side(one, "source", "ca", "x", "y"), ["scene_id", "source"]).join(side(two, "target", "cb", "bx", "by"), ["scene_id", "target"]).filter("ca <> cb")
+def _pairs_within(one: DataFrame, two: DataFrame, metres: float, kept: str) -> DataFrame:
+    """(scene_id, ca, cb, source, target, metres, x, y, bx, by) of nodes (scene_id, ord, component, x, y) no farther apart than metres
+    whose components satisfy `kept`."""
+    a = one.select("scene_id", F.col("ord").alias("source"), F.col("component").alias("ca"), "x", "y")
+    b = two.select("scene_id", F.col("ord").alias("target"), F.col("component").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return sp.met_within(a, b, metres).filter(kept)
 
 
 def bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, metres: float = BRIDGE_M) -> DataFrame:
     """(scene_id, source, target, kind, metres): for every two components of a scene the nearest pair of nodes no farther apart than
     metres whose line no building blocks; distances equal to a micrometre tie, to the smaller nodes."""
-    own = nodes.select("scene_id", "ord", "x", "y").join(member, ["scene_id", "ord"])
-    free = unblocked(_pairs_within(own, own, metres).filter("ca < cb"), buildings)
+    own = nodes.select("scene_id", "ord", "x", "y").join(member.hint("merge"), ["scene_id", "ord"])
+    free = unblocked(gr.settled(_pairs_within(own, own, metres, "ca < cb")), buildings)
     best = free.groupBy("scene_id", "ca", "cb").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "source", "target", "metres")).alias("s"))
     return best.select("scene_id", "s.source", "s.target", F.lit("road_crossing").alias("kind"), "s.metres")
 
@@ -218,7 +287,7 @@ def forced_bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, st
     Pairs are searched in growing circles: once a component has a free pair within the radius, none outside is nearer, and it
     is done. A component is compared with the whole first one only if buildings wall it in.
     """
-    own = gr.settled(nodes.select("scene_id", "ord", "x", "y").join(member, ["scene_id", "ord"]))
+    own = gr.settled(nodes.select("scene_id", "ord", "x", "y").join(member.hint("merge"), ["scene_id", "ord"]))
     first = own.groupBy("scene_id").agg(F.min("ord").alias("component"))
     base = gr.settled(own.join(first, ["scene_id", "component"], "left_semi").select("scene_id", "ord", "component", "x", "y"))
     todo = gr.settled(own.join(first, ["scene_id", "component"], "left_anti").select("scene_id", "ord", "component", "x", "y"))
@@ -226,7 +295,7 @@ def forced_bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, st
     span = box.agg(F.max("m")).head()[0] or 0.0
     out, metres = None, start_m
     while True:
-        pairs = gr.settled(_pairs_within(base, todo, metres))
+        pairs = gr.settled(_pairs_within(base, todo, metres, "ca <> cb"))
         free = unblocked(pairs, buildings)
         best = lambda df, crosses: df.groupBy("scene_id", "cb").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "source", "target", "metres")).alias("s")).select("scene_id", "cb", "s.source", "s.target", "s.metres", F.lit(crosses).alias("crosses"))
         done = gr.settled(best(free, False))

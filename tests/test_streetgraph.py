@@ -110,3 +110,46 @@ def test_a_scene_of_a_hundred_thousand_points_grows_in_proportion(spark):
 
     small, large = candidates(25_600), candidates(102_400)
     assert abs(large / small - 1) < 0.1
+
+
+def test_merging_by_groups_and_by_sweeps_is_the_same(spark):
+    rng = random.Random(5)
+    rows = [(s, i, *place(rng.uniform(0, 300), rng.uniform(0, 300)), rng.choice(["left", "right", None])) for s in (1, 2) for i in range(150)]
+    nodes = spark.createDataFrame([*rows, (1, 900, None, None, "left")], "scene_id int, ord long, x double, y double, side string")
+    found = [sorted(map(tuple, sg.absorbed(nodes, 15.0, most=most).collect())) for most in (10**6, 50, 0)]
+    assert len(found[0]) == 301 and found[0] == found[1] == found[2]
+
+
+def test_components_by_groups_and_by_rounds_are_the_same(spark):
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(80)], "scene_id int, ord long")
+    edges = spark.createDataFrame([(s, *rng.sample(range(80), 2)) for s, n in ((1, 30), (2, 60)) for _ in range(n)], "scene_id int, source long, target long")
+    found = [sorted(map(tuple, sg.component_of(nodes, edges, most).collect())) for most in (10**6, 40, 0)]
+    assert len(found[0]) == 160 and found[0] == found[1] == found[2]
+
+
+def _broadcasts(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_growing_tables_of_a_graph_are_not_sent_to_the_driver(spark):
+    """Small tables were broadcast in every step of a graph, so what the driver got grew with the nodes."""
+    df = spark.createDataFrame([(s, k, *place(40.0 * k, 0)) for s in (1, 2) for k in range(20)], "scene_id int, ord long, x double, y double")
+    df = sg.gr.settled(df)
+    edges = sg.gr.settled(spark.createDataFrame([(1, 0, 1)], "scene_id int, source long, target long"))
+    b = sg.gr.settled(spark.createDataFrame([(1, 9, [{"x": x, "y": y} for x, y in [place(*p) for p in [(25, 1), (30, 1), (30, 5), (25, 5), (25, 1)]]])], "scene_id int, id long, footprint array<struct<x: double, y: double>>"))
+    member = sg.component_of(df, edges)
+    assert _broadcasts(member) == 0
+    assert _broadcasts(sg.bridges(df, sg.gr.settled(member), b)) == 0
+
+
+def test_blocked_by_batches_is_the_test_of_expressions(spark):
+    rng = random.Random(8)
+    ring = lambda n: [{"x": 20 * math.cos(2 * math.pi * k / n) + rng.choice([0.0, 1.0]), "y": 20 * math.sin(2 * math.pi * k / n)} for k in range(n)]
+    rows = [(*[float(rng.randint(-30, 30)) for _ in range(4)], r + r[:1] * rng.randint(0, 1)) for _ in range(600) for r in [ring(rng.randint(1, 7))]]
+    df = spark.createDataFrame(rows, "x double, y double, bx double, by double, ring array<struct<x: double, y: double>>")
+    geo = sg.geo
+    one = geo.segment_meets_ring(geo.P(F.col("x"), F.col("y")), geo.P(F.col("bx"), F.col("by")), F.col("ring"), "both_ends")
+    got = df.select(one.alias("a"), geo.meets_ring_both_ends("x", "y", "bx", "by", "ring").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and 0 < sum(r.a for r in got) < 600
