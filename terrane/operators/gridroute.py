@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.functions.geo import P
 from terrane.functions.stats import half_up
+from terrane.operators.graph import settled
+from terrane.operators.spatial import spread
 from terrane.operators.textmap import line_cells
 
 #: Metres of a cell and of clearance, cost of a cell on a street, cells of a side, reach of a street in cells, diagonal.
@@ -43,7 +45,7 @@ def _centre() -> P:
 
 def closed_cells(f: DataFrame, buildings: DataFrame, clearance: float = CLEARANCE_M) -> DataFrame:
     """(scene_id, col, row): cells whose centre is inside a footprint or nearer than clearance to its outline."""
-    b = buildings.join(f, "scene_id").withColumn("b", geo.bounds(F.col("footprint")))
+    b = spread(buildings.join(f, "scene_id"), "scene_id", "id").withColumn("b", geo.bounds(F.col("footprint")))
     wide, high = clearance / (geo.LNG_M * F.cos(F.radians(F.greatest(F.abs("b.min_y"), F.abs("b.max_y"))))), clearance / geo.LAT_M
     (c0, r0), (c1, r1) = _cell(F.col("b.min_x") - 2 * wide, F.col("b.min_y") - 2 * high), _cell(F.col("b.max_x") + 2 * wide, F.col("b.max_y") + 2 * high)
     cells = b.withColumn("col", F.explode(F.sequence(c0, c1))).withColumn("row", F.explode(F.sequence(r0, r1)))
@@ -55,7 +57,7 @@ def street_cells(f: DataFrame, streets: DataFrame) -> DataFrame:
     """(scene_id, col, row): cells whose centre is within STREET_CELLS cells (of CELL_M) of a street (scene_id, x, y, bx, by)."""
     reach = STREET_CELLS * CELL_M
     (c0, r0), (c1, r1) = _cell(F.col("x"), F.col("y")), _cell(F.col("bx"), F.col("by"))
-    on = line_cells(streets.select("scene_id", "x", "y", "bx", "by").join(f, "scene_id").withColumns({"c0": c0, "r0": r0, "c1": c1, "r1": r1}))
+    on = line_cells(spread(streets.select("scene_id", "x", "y", "bx", "by").join(f, "scene_id"), "scene_id", "x", "y").withColumns({"c0": c0, "r0": r0, "c1": c1, "r1": r1}))
     around = lambda c, degrees, metres: F.explode(F.sequence(F.col(c) - 2 - F.floor(reach / (F.col(degrees) * metres)).cast("int"), F.col(c) + 2 + F.floor(reach / (F.col(degrees) * metres)).cast("int")))
     east = geo.LNG_M * F.cos(F.radians("y"))
     near = on.withColumn("nc", around("col", "cw", east)).withColumn("nr", around("row", "ch", F.lit(geo.LAT_M))).drop("col", "row").withColumnsRenamed({"nc": "col", "nr": "row"})
@@ -77,35 +79,74 @@ def nearest_open(at: tuple[int, int], closed: set, gw: int, gh: int) -> tuple[in
     return at
 
 
+def walled(gw: int, gh: int, closed: set, slow: set) -> list[float]:
+    """Weights of the cells of a grid by their place (col + 1) * (gh + 2) + row + 1: 0 where closed and on the frame around, STREET_COST
+    where slow, else 1."""
+    high = gh + 2
+    weight = [0.0] * high + ([0.0, *[1.0] * gh, 0.0] * gw) + [0.0] * high
+    for cells, w in ((slow, STREET_COST), (closed, 0.0)):
+        for c, r in cells:
+            weight[(c + 1) * high + r + 1] = w
+    return weight
+
+
 def search(gw: int, gh: int, closed: set, weight: Callable[[tuple[int, int]], float], start: tuple[int, int], goal: tuple[int, int]) -> tuple[list[tuple[int, int]], float]:
-    """The cheapest way over eight neighbours and its cost ([], infinity: none). Entering a cell costs its weight, of 1 at least, so the
-    straight distance (in DIAGONAL's measure) is never too much. Closed cells are not entered, but for the goal, and a diagonal
-    step does not cut a closed corner."""
-    far = lambda c: (lambda a, b: max(a, b) - min(a, b) + DIAGONAL * min(a, b))(abs(c[0] - goal[0]), abs(c[1] - goal[1]))
-    cost, came, heap = {start: 0.0}, {}, [(far(start), start)]
-    done = set()
+    """cheapest() with closed cells and weights that are given cell by cell."""
+    table = walled(gw, gh, closed, set())
+    for at in ((c, r) for c in range(gw) for r in range(gh) if (c, r) not in closed):
+        table[(at[0] + 1) * (gh + 2) + at[1] + 1] = weight(at)
+    return cheapest(gw, gh, table, start, goal, weight(goal))
+
+
+def cheapest(gw: int, gh: int, weight: list[float], start: tuple[int, int], goal: tuple[int, int], entry: float = 1.0) -> tuple[list[tuple[int, int]], float]:
+    """The cheapest way over eight neighbours and its cost ([], infinity: none). weight: walled(). Entering a cell costs its weight, of 1 at
+    least, so the straight distance (in DIAGONAL's measure) is never too much. Closed cells are not entered, but for the goal (at
+    the weight `entry`), and a diagonal step does not cut a closed corner. Places sort as their (column, row) do."""
+    high = gh + 2
+    first, last = (start[0] + 1) * high + start[1] + 1, (goal[0] + 1) * high + goal[1] + 1
+    gc, gr = goal[0] + 1, goal[1] + 1
+    away = [abs(i - gr) for i in range(high)]
+    far: list[float | None] = [None] * len(weight)
+    cost, came = [math.inf] * len(weight), [-1] * len(weight)
+    done = bytearray(len(weight))
+    slant = DIAGONAL
+    steps = tuple((dc * high + dr, dc * high, dr, bool(dc and dr)) for dc in (-1, 0, 1) for dr in (-1, 0, 1) if dc or dr)
+    a, b = abs(first // high - gc), away[first % high]
+    cost[first] = 0.0
+    heap = [(max(a, b) - min(a, b) + slant * min(a, b), first)]
+    push, pop, inf = heapq.heappush, heapq.heappop, math.inf
     while heap:
-        _, at = heapq.heappop(heap)
-        if at == goal:
+        _, at = pop(heap)
+        if at == last:
             way = [at]
-            while way[-1] in came:
+            while came[way[-1]] >= 0:
                 way.append(came[way[-1]])
-            return way[::-1], cost[at]
-        if at in done:
+            return [(p // high - 1, p % high - 1) for p in way[::-1]], cost[at]
+        if done[at]:
             continue
-        done.add(at)
-        for dc in (-1, 0, 1):
-            for dr in (-1, 0, 1):
-                to = at[0] + dc, at[1] + dr
-                if to == at or not (0 <= to[0] < gw and 0 <= to[1] < gh) or (to in closed and to != goal):
+        done[at] = 1
+        own = cost[at]
+        for by, across, down, both in steps:
+            to = at + by
+            w = weight[to]
+            if w == 0.0:
+                if to != last:
                     continue
-                if dc and dr and ((to[0], at[1]) in closed or (at[0], to[1]) in closed):
+                w = entry
+            if both:
+                if weight[at + across] == 0.0 or weight[at + down] == 0.0:
                     continue
-                new = cost[at] + (DIAGONAL if dc and dr else 1.0) * weight(to)
-                if new < cost.get(to, math.inf):
-                    cost[to], came[to] = new, at
-                    heapq.heappush(heap, (new + far(to), to))
-    return [], math.inf
+                new = own + slant * w
+            else:
+                new = own + w
+            if new < cost[to]:
+                cost[to], came[to] = new, at
+                f = far[to]
+                if f is None:
+                    a, b = abs(to // high - gc), away[to % high]
+                    f = far[to] = a - b + slant * b if a > b else b - a + slant * a
+                push(heap, (new + f, to))
+    return [], inf
 
 
 def turns(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -128,20 +169,21 @@ def routed(requests: DataFrame, f: DataFrame, closed: DataFrame, streets: DataFr
 
     def one(asked: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
         shut = set(zip(marked["col"][marked["closed"]], marked["row"][marked["closed"]]))
-        slow = set(zip(marked["col"][~marked["closed"]], marked["row"][~marked["closed"]])) - shut
-        rows = []
+        slow = set(zip(marked["col"][~marked["closed"]], marked["row"][~marked["closed"]]))
+        rows, weight = [], None
         for q in asked.sort_values("request").itertuples(index=False):
             gw, gh = int(q.gw), int(q.gh)
             at = lambda x, y: (min(gw - 1, max(0, math.floor((x - q.min_x) / q.cw))), min(gh - 1, max(0, math.floor((y - q.min_y) / q.ch))))  # noqa: E731, B023
             start, goal = (nearest_open(at(x, y), shut, gw, gh) for x, y in ((q.x, q.y), (q.bx, q.by)))
-            way, cost = search(gw, gh, shut, lambda c: STREET_COST if c in slow else 1.0, start, goal)
+            weight = walled(gw, gh, shut, slow) if weight is None else weight
+            way, cost = cheapest(gw, gh, weight, start, goal)
             line = turns([(q.min_x + (c + 0.5) * q.cw, q.min_y + (r + 0.5) * q.ch) for c, r in way])
             line = [(q.x, q.y), *line[1:-1], (q.bx, q.by)]
             rows.append((q.scene_id, q.request, cost if way else None, [{"x": x, "y": y} for x, y in line] if way else None))
         return pd.DataFrame(rows, columns=["scene_id", "request", "cost", "line"])
 
-    asked = requests.select("scene_id", "request", "x", "y", "bx", "by").join(f.drop("max_x", "max_y"), "scene_id")
-    return asked.groupBy("scene_id").cogroup(cells.groupBy("scene_id")).applyInPandas(one, WAY)
+    asked = settled(requests.select("scene_id", "request", "x", "y", "bx", "by").join(f.drop("max_x", "max_y"), "scene_id"))  # so that spread() deals it anew
+    return spread(asked, "scene_id").groupBy("scene_id").cogroup(spread(cells, "scene_id").groupBy("scene_id")).applyInPandas(one, WAY)
 
 
 def laid(cables: DataFrame, ways: DataFrame) -> DataFrame:

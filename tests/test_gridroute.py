@@ -1,5 +1,6 @@
 """Routing around buildings against a plain search over all cells."""
 
+import heapq
 import math
 import random
 
@@ -65,3 +66,52 @@ def test_ways_keep_clear_of_buildings_and_streets(spark):
     assert (line[0].x, line[0].y) == at(50, 60) and (line[-1].x, line[-1].y) == at(150, 60) and min(p.y for p in line) < at(0, 20)[1]
     hit = spark.createDataFrame([(line,)], f"line {RING}").crossJoin(b).select(geo.line_meets_ring(F.col("line"), F.col("footprint")).alias("h")).head().h
     assert not hit
+
+
+def slow_search(gw, gh, closed, weight, start, goal):
+    """The search cell by cell, with sets and pairs."""
+    far = lambda c: (lambda a, b: max(a, b) - min(a, b) + gro.DIAGONAL * min(a, b))(abs(c[0] - goal[0]), abs(c[1] - goal[1]))
+    cost, came, heap, done = {start: 0.0}, {}, [(far(start), start)], set()
+    while heap:
+        _, at = heapq.heappop(heap)
+        if at == goal:
+            way = [at]
+            while way[-1] in came:
+                way.append(came[way[-1]])
+            return way[::-1], cost[at]
+        if at in done:
+            continue
+        done.add(at)
+        for dc in (-1, 0, 1):
+            for dr in (-1, 0, 1):
+                to = at[0] + dc, at[1] + dr
+                if to == at or not (0 <= to[0] < gw and 0 <= to[1] < gh) or (to in closed and to != goal):
+                    continue
+                if dc and dr and ((to[0], at[1]) in closed or (at[0], to[1]) in closed):
+                    continue
+                new = cost[at] + (gro.DIAGONAL if dc and dr else 1.0) * weight(to)
+                if new < cost.get(to, math.inf):
+                    cost[to], came[to] = new, at
+                    heapq.heappush(heap, (new + far(to), to))
+    return [], math.inf
+
+
+def test_of_equal_ways_the_same_one_is_taken():
+    rng = random.Random(9)
+    for _ in range(150):
+        gw, gh = rng.randint(1, 25), rng.randint(1, 25)
+        cells = [(c, r) for c in range(gw) for r in range(gh)]
+        closed, slow = set(rng.sample(cells, len(cells) // rng.choice([3, 6]))), set(rng.sample(cells, len(cells) // 4))
+        start, goal = rng.choice(cells), rng.choice(cells)
+        weight = lambda c: gro.STREET_COST if c in slow - closed else 1.0  # noqa: E731, B023
+        assert gro.cheapest(gw, gh, gro.walled(gw, gh, closed, slow), start, goal) == slow_search(gw, gh, closed, weight, start, goal)
+
+
+def test_scenes_of_few_bytes_are_dealt_to_the_tasks(spark):
+    """The requests of all scenes of a small table went to one task."""
+    scenes = spark.range(40).select(F.col("id").cast("int").alias("scene_id"))
+    f = gro.framed(scenes.select("scene_id", F.lit(10.0).alias("min_x"), F.lit(40.0).alias("min_y"), F.lit(10.001).alias("max_x"), F.lit(40.001).alias("max_y")))
+    asked = scenes.select("scene_id", F.lit("a").alias("request"), F.lit(10.0001).alias("x"), F.lit(40.0001).alias("y"), F.lit(10.0009).alias("bx"), F.lit(40.0009).alias("by"))
+    none = spark.createDataFrame([], "scene_id int, col int, row int")
+    got = gro.routed(asked, f, none, none)
+    assert got.count() == 40 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
