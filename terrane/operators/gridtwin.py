@@ -10,8 +10,11 @@ cables (scene_id, x, y, bx, by); frames (scene_id, min_x, min_y, max_x, max_y).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from terrane.functions import geo
 from terrane.functions.geo import P
@@ -47,16 +50,42 @@ def _lines(f: DataFrame, lines: DataFrame) -> DataFrame:
     return line_cells(lines.join(f, "scene_id").withColumns({"c0": c0, "r0": r0, "c1": c1, "r1": r1, "flat": flat}))
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("col", IntegerType()), StructField("row", IntegerType())])))
+def _ring_cells(ring: pa.Array) -> pa.Array:
+    """Cells inside rings of cells by the rule of geo.in_ring, a ring at a time over its box; null for a ring without vertices."""
+    sizes = ring.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    x, y = (c.to_numpy(zero_copy_only=False) for c in ring.flatten().flatten())
+    cols, rows, n, first = [], [], [], 0
+    for size in sizes:
+        vx, vy = x[first : first + size], y[first : first + size]
+        first += size
+        if not size:
+            n.append(0)
+            continue
+        wx, wy = np.roll(vx, -1), np.roll(vy, -1)
+        c, r = np.arange(vx.min(), vx.max() + 1), np.arange(vy.min(), vy.max() + 1)[:, None]
+        level = np.where(wy == vy, 1.0, wy - vy)
+        at = (wx - vx) * (r - vy) / level + vx  # where a row meets an edge
+        spans = (vy > r) != (wy > r)
+        hits = (spans[:, :, None] & (c < at[:, :, None])).sum(axis=1) % 2 == 1
+        found = np.nonzero(hits)
+        rows.append(r[found[0], 0].astype("int32"))
+        cols.append(c[found[1]].astype("int32"))
+        n.append(len(found[0]))
+    flat = [pa.array(np.concatenate([np.empty(0, "int32"), *k])) for k in (cols, rows)]
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype("int32"), mask=np.concatenate([sizes == 0, [False]]))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, ["col", "row"]))
+
+
 def building_cells(f: DataFrame, buildings: DataFrame, own_cell: bool = True) -> DataFrame:
     """(scene_id, id, col, row): cells whose place is inside a footprint drawn on the grid; the building's own cell where none is, unless
     own_cell is false."""
     on = lambda v, i: cell_of(v["x"], v["y"])[i].cast("double")
     b = buildings.join(f, "scene_id").withColumn("ring", F.transform("footprint", lambda v: F.struct(on(v, 0).alias("x"), on(v, 1).alias("y"))))
     at = cell_of(F.col("x"), F.col("y"))
-    b = b.select("scene_id", "id", "ring", geo.bounds(F.col("ring")).alias("b"), at[0].alias("c"), at[1].alias("r"))
-    whole = lambda k: F.col(f"b.{k}").cast("int")
-    cells = F.flatten(F.transform(F.sequence(whole("min_y"), whole("max_y")), lambda r: F.transform(F.sequence(whole("min_x"), whole("max_x")), lambda c: F.struct(c.alias("col"), r.alias("row")))))
-    inside = F.filter(cells, lambda k: geo.in_ring(P(k["col"].cast("double"), k["row"].cast("double")), F.col("ring")))
+    b = b.select("scene_id", "id", "ring", at[0].alias("c"), at[1].alias("r"))
+    b = b.withColumn("inside", _ring_cells("ring"))
+    inside = F.col("inside")
     own = F.when(F.size(inside) > 0, inside).otherwise(F.array(F.struct(F.col("c").alias("col"), F.col("r").alias("row"))))
     return b.select("scene_id", "id", F.explode(own if own_cell else inside).alias("k")).select("scene_id", "id", "k.col", "k.row")
 
@@ -114,10 +143,12 @@ def composite(under: DataFrame, over: DataFrame) -> DataFrame:
 
 def text(f: DataFrame, cells: DataFrame) -> DataFrame:
     """(scene_id, row, line): all rows of the grids, blanks where nothing is painted."""
-    rows = cells.groupBy("scene_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "glyph"))).alias("at"))
+    rows = cells.groupBy("scene_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "glyph"))).alias("at"))
     every = f.select("scene_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row")).join(rows, ["scene_id", "row"], "left")
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(" "))), "")
-    return every.select("scene_id", "row", line.alias("line"))
+    every = every.withColumn("at", F.filter("at", lambda k: k["col"].between(0, F.col("w") - 1)))
+    gap = lambda k, i: k["col"] - F.when(i == 0, 0).otherwise(F.get("at", i - 1)["col"] + 1)
+    drawn = F.array_join(F.transform("at", lambda k, i: F.concat(F.repeat(F.lit(" "), gap(k, i)), k["glyph"])), "")
+    return every.select("scene_id", "row", F.rpad(F.coalesce(drawn, F.lit("")), F.col("w"), F.lit(" ")).alias("line"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

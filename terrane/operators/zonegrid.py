@@ -28,6 +28,7 @@ OVER = {gt.ROAD_H: "╪", gt.ROAD_V: "╫", gt.ROAD_X: "╪", gt.BUILDING: "▒"
 LETTERS = {"drop": "D", "feeder": "F", "distribution": "T"}
 DRAWN_LAST = {"cabinet": 2, "co": 3, "closure": 4}
 STREET_LABELS, MARGIN = 3, 2
+CODES = 1 << 21  # more than any number of a character
 
 
 def division(bounds: DataFrame, size: float = ZONE_M) -> DataFrame:
@@ -112,14 +113,24 @@ def street_labels(f: DataFrame, streets: DataFrame) -> DataFrame:
     return g.select("scene_id", "w", "h", (F.col("k") + F.when(F.col("down"), STREET_LABELS).otherwise(0)).alias("k"), "label", "col", "row", "down")
 
 
+def built_ground(f: DataFrame, cells: DataFrame) -> DataFrame:
+    """(scene_id, col, row, own): cells of buildings (own) and of the pavement around them, first along rows, then along columns."""
+    size = f.select("scene_id", "w", "h")
+    steps = F.sequence(F.lit(-gt.PAVEMENT_CELLS), F.lit(gt.PAVEMENT_CELLS))
+    out = cells.select("scene_id", "col", "row").distinct().withColumn("own", F.lit(True)).join(size, "scene_id")
+    for axis, end in (("col", "w"), ("row", "h")):
+        out = out.withColumn("d", F.explode(steps)).withColumns({axis: F.col(axis) + F.col("d"), "own": F.col("own") & (F.col("d") == 0)}).filter(F.col(axis).between(0, F.col(end) - 1))
+        out = out.groupBy("scene_id", "w", "h", "col", "row").agg(F.max("own").alias("own"))
+    return out.drop("w", "h")
+
+
 def drawn(f: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: DataFrame, cables: DataFrame) -> DataFrame:
     """(scene_id, col, row, glyph) of the cells of the grids framed by f; scene_id is a zone's key in all inputs."""
-    cells = gt.building_cells(f, buildings, own_cell=False)
-    solid = cells.select("scene_id", "col", "row").distinct()
+    cells = settled(gt.building_cells(f, buildings, own_cell=False))
     roads = gt.road_cells(f, streets)
     marks = _marks(roads, "ground", F.when(F.col("glyph") == gt.ROAD_X, 0).otherwise(2))
-    marks = marks.unionByName(_marks(solid.withColumn("glyph", F.lit(gt.BUILDING)), "ground", F.lit(1)))
-    marks = marks.unionByName(_marks(gt.pavement(f, solid).withColumn("glyph", F.lit(gt.PAVEMENT)), "ground", F.lit(3)))
+    solid = built_ground(f, cells)
+    marks = marks.unionByName(_marks(solid.withColumn("glyph", F.when(F.col("own"), gt.BUILDING).otherwise(gt.PAVEMENT)), "ground", F.when(F.col("own"), 1).otherwise(3)))
     number = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.col("id").cast("string"), "id"))
     named = buildings.select("scene_id", "id").distinct().withColumn("k", number)
     b = building_labels(f, cells).join(named, ["scene_id", "id"])
@@ -141,16 +152,22 @@ def drawn(f: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: Dat
     marks = marks.unionByName(_marks(_chars(e, device, ec, er), "device", -F.col("p")))
     street = _marks(_chars(street_labels(f, streets), F.col("label"), F.col("col"), F.col("row"), F.col("down")), "street", F.col("k"))
     marks = marks.unionByName(street.withColumn("ord", F.col("ord") + F.when(F.col("glyph") == " ", 100).otherwise(0)))  # a blank may be written over
-    first = lambda step: F.min_by(F.when(F.col("step") == step, F.col("glyph")), F.when(F.col("step") == step, F.col("ord"))).alias(step)
+    # the first mark of a step by its order, with the number of its character: sums of fixed width, which are kept by hashes
+    first = lambda step: F.min(F.when(F.col("step") == step, F.col("ord") * CODES + F.ascii("glyph"))).alias(step)
     g = marks.groupBy("scene_id", "col", "row").agg(*[first(s) for s in ("ground", "building", "cable", "tag", "device", "street")])
-    g = g.withColumn("g", F.coalesce("ground", F.lit(" ")))
-    g = g.withColumn("g", F.when((F.col("g") == gt.BUILDING) & F.col("building").isNotNull(), F.col("building")).otherwise(F.col("g")))
-    over = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in OVER.items() for x in p]), F.col("g")), F.when(F.col("g").isin(" ", gt.PAVEMENT), F.col("cable")), F.col("g"))
-    g = g.withColumn("g", F.when(F.col("cable").isNotNull(), over).otherwise(F.col("g")))
-    g = g.withColumn("g", F.when(F.col("tag").isNotNull() & F.col("g").isin(" ", gt.PAVEMENT, DROP, CABLE), F.col("tag")).otherwise(F.col("g")))
+    g = g.select("scene_id", "col", "row", *[F.pmod(F.col(s), F.lit(CODES)).cast("int").alias(s) for s in ("ground", "building", "cable", "tag", "device", "street")])
+    code = lambda *glyphs: [ord(c) for c in glyphs]
+    g = g.withColumn("g", F.coalesce("ground", F.lit(ord(" "))))
+    g = g.withColumn("g", F.when((F.col("g") == ord(gt.BUILDING)) & F.col("building").isNotNull(), F.col("building")).otherwise(F.col("g")))
+    over = F.when(F.col("g").isin(code(" ", gt.PAVEMENT)), F.col("cable"))
+    for under, seen_as in OVER.items():
+        over = over.when(F.col("g") == ord(under), F.lit(ord(seen_as)))
+    g = g.withColumn("g", F.when(F.col("cable").isNotNull(), over.otherwise(F.col("g"))).otherwise(F.col("g")))
+    g = g.withColumn("g", F.when(F.col("tag").isNotNull() & F.col("g").isin(code(" ", gt.PAVEMENT, DROP, CABLE)), F.col("tag")).otherwise(F.col("g")))
     g = g.withColumn("g", F.coalesce("device", "g"))
-    free = F.col("g").isin(" ", gt.PAVEMENT, gt.ROAD_H, gt.ROAD_V, gt.ROAD_X)
-    return g.select("scene_id", "col", "row", F.when(F.col("street").isNotNull() & free, F.col("street")).otherwise(F.col("g")).alias("glyph"))
+    free = F.col("g").isin(code(" ", gt.PAVEMENT, gt.ROAD_H, gt.ROAD_V, gt.ROAD_X))
+    shown = F.when(F.col("street").isNotNull() & free, F.col("street")).otherwise(F.col("g"))
+    return g.select("scene_id", "col", "row", F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32").alias("glyph"))
 
 
 def zone_grids(bounds: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: DataFrame, cables: DataFrame, size: float = ZONE_M) -> DataFrame:
