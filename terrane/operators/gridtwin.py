@@ -50,12 +50,13 @@ def _lines(f: DataFrame, lines: DataFrame) -> DataFrame:
     return line_cells(lines.join(f, "scene_id").withColumns({"c0": c0, "r0": r0, "c1": c1, "r1": r1, "flat": flat}))
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("col", IntegerType()), StructField("row", IntegerType())])))
-def _ring_cells(ring: pa.Array) -> pa.Array:
-    """Cells inside rings of cells by the rule of geo.in_ring, a ring at a time over its box; null for a ring without vertices."""
+@F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("row", "lo", "hi")])))
+def _ring_runs(ring: pa.Array) -> pa.Array:
+    """Runs of cells in the rows inside rings of cells by the rule of geo.in_ring, a ring at a time over its box; null for a ring without
+    vertices."""
     sizes = ring.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
     x, y = (c.to_numpy(zero_copy_only=False) for c in ring.flatten().flatten())
-    cols, rows, n, first = [], [], [], 0
+    runs, n, first = [], [], 0
     for size in sizes:
         vx, vy = x[first : first + size], y[first : first + size]
         first += size
@@ -68,24 +69,33 @@ def _ring_cells(ring: pa.Array) -> pa.Array:
         at = (wx - vx) * (r - vy) / level + vx  # where a row meets an edge
         spans = (vy > r) != (wy > r)
         hits = (spans[:, :, None] & (c < at[:, :, None])).sum(axis=1) % 2 == 1
-        found = np.nonzero(hits)
-        rows.append(r[found[0], 0].astype("int32"))
-        cols.append(c[found[1]].astype("int32"))
-        n.append(len(found[0]))
-    flat = [pa.array(np.concatenate([np.empty(0, "int32"), *k])) for k in (cols, rows)]
+        edge = np.diff(np.pad(hits.astype("int8"), ((0, 0), (1, 1))), axis=1)
+        (at_row, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        runs.append(np.stack([r[at_row, 0], c[0] + lo, c[0] + hi - 1]).astype("int32"))
+        n.append(len(lo))
+    flat = np.concatenate([np.empty((3, 0), "int32"), *runs], axis=1)
     ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype("int32"), mask=np.concatenate([sizes == 0, [False]]))
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, ["col", "row"]))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(k) for k in flat], ["row", "lo", "hi"]))
 
 
-def building_cells(f: DataFrame, buildings: DataFrame, own_cell: bool = True) -> DataFrame:
-    """(scene_id, id, col, row): cells whose place is inside a footprint drawn on the grid; the building's own cell where none is, unless
-    own_cell is false."""
+def _rings(f: DataFrame, buildings: DataFrame) -> DataFrame:
+    """(scene_id, id, c, r, runs): the own cell of buildings, and the runs of cells inside their footprints drawn on the grid."""
     on = lambda v, i: cell_of(v["x"], v["y"])[i].cast("double")
     b = buildings.join(f, "scene_id").withColumn("ring", F.transform("footprint", lambda v: F.struct(on(v, 0).alias("x"), on(v, 1).alias("y"))))
     at = cell_of(F.col("x"), F.col("y"))
-    b = b.select("scene_id", "id", "ring", at[0].alias("c"), at[1].alias("r"))
-    b = b.withColumn("inside", _ring_cells("ring"))
-    inside = F.col("inside")
+    return b.select("scene_id", "id", at[0].alias("c"), at[1].alias("r"), _ring_runs("ring").alias("runs"))
+
+
+def building_runs(f: DataFrame, buildings: DataFrame) -> DataFrame:
+    """(scene_id, id, row, lo, hi): runs of cells whose place is inside a footprint drawn on the grid."""
+    return _rings(f, buildings).select("scene_id", "id", F.explode("runs").alias("k")).select("scene_id", "id", "k.row", "k.lo", "k.hi")
+
+
+def building_cells(f: DataFrame, buildings: DataFrame, own_cell: bool = True) -> DataFrame:
+    """(scene_id, id, col, row): cells whose place is inside a footprint drawn on the grid; the building's own cell where none is, unless
+    own_cell is false."""
+    b = _rings(f, buildings)
+    inside = F.flatten(F.transform("runs", lambda k: F.transform(F.sequence(k["lo"], k["hi"]), lambda c: F.struct(c.alias("col"), k["row"].alias("row")))))
     own = F.when(F.size(inside) > 0, inside).otherwise(F.array(F.struct(F.col("c").alias("col"), F.col("r").alias("row"))))
     return b.select("scene_id", "id", F.explode(own if own_cell else inside).alias("k")).select("scene_id", "id", "k.col", "k.row")
 

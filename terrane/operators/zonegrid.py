@@ -2,23 +2,26 @@
 
 A zone's grid shows roads, pavement, buildings with labels, cables with marks where they meet these, cable and device annotations
 and street labels. What a later step may overwrite depends only on what a cell shows by then, so every step is a table of marks
-(key, col, row, step, ord, glyph), and one grouping by cell decides what is seen.
+(key, row, mark), a mark being (step, ord, glyph, col, n) for n cells from col, and the marks of a row decide what is seen.
 
 Inputs as for gridtwin; cables also have cable_id, kind, number and ord (their order), equipment has ids that are numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from terrane.functions import geo
 from terrane.functions.geo import P
 from terrane.functions.text import padded, street_label
 from terrane.operators import gridtwin as gt
 from terrane.operators.graph import settled
+from terrane.operators.spatial import spread
 
 #: Side of a zone, sizes of grids up to so many buildings, marks of cables, and how many street labels of each direction.
 ZONE_M = 200.0
@@ -28,7 +31,6 @@ OVER = {gt.ROAD_H: "╪", gt.ROAD_V: "╫", gt.ROAD_X: "╪", gt.BUILDING: "▒"
 LETTERS = {"drop": "D", "feeder": "F", "distribution": "T"}
 DRAWN_LAST = {"cabinet": 2, "co": 3, "closure": 4}
 STREET_LABELS, MARGIN = 3, 2
-CODES = 1 << 21  # more than any number of a character
 
 
 def division(bounds: DataFrame, size: float = ZONE_M) -> DataFrame:
@@ -78,14 +80,17 @@ def _chars(df: DataFrame, text: Column, col: Column, row: Column, down: Column |
 
 
 def _marks(df: DataFrame, step: str, ord_: Column) -> DataFrame:
-    return df.select("scene_id", F.col("col").cast("int").alias("col"), F.col("row").cast("int").alias("row"), F.lit(step).alias("step"), ord_.cast("long").alias("ord"), "glyph")
+    n = F.col("n") if step == "ground" and "n" in df.columns else F.lit(1)
+    return df.select("scene_id", F.col("row").cast("int").alias("row"), F.struct(F.lit(step).alias("step"), ord_.cast("long").alias("ord"), F.col("glyph"), F.col("col").cast("int").alias("col"), n.cast("int").alias("n")).alias("mark"))
 
 
-def building_labels(f: DataFrame, cells: DataFrame) -> DataFrame:
+def building_labels(f: DataFrame, runs: DataFrame) -> DataFrame:
     """B01 in the middle row of a building of three cells there or more, else its last figure; numbered by the text of ids in a zone."""
-    middle = lambda c: F.floor(F.avg(c) + 0.5).cast("int")
-    own = cells.groupBy("scene_id", "id").agg(middle("col").alias("cc"), middle("row").alias("cr"))
-    wide = cells.join(own, ["scene_id", "id"]).groupBy("scene_id", "id", "cc", "cr").agg(F.count_if(F.col("row") == F.col("cr")).alias("n"), F.min(F.when(F.col("row") == F.col("cr"), F.col("col"))).alias("lo"), F.max(F.when(F.col("row") == F.col("cr"), F.col("col"))).alias("hi"))
+    middle = lambda total: F.floor(F.sum(total) / F.sum("n") + 0.5).cast("int")
+    runs = runs.withColumn("n", F.col("hi") - F.col("lo") + 1)
+    own = runs.groupBy("scene_id", "id").agg(middle((F.col("lo") + F.col("hi")) * F.col("n") / 2).alias("cc"), middle(F.col("row") * F.col("n")).alias("cr"))
+    here = lambda c: F.when(F.col("row") == F.col("cr"), F.col(c))
+    wide = runs.join(own, ["scene_id", "id"]).groupBy("scene_id", "id", "cc", "cr").agg(F.coalesce(F.sum(here("n")), F.lit(0)).alias("n"), F.min(here("lo")).alias("lo"), F.max(here("hi")).alias("hi"))
     return wide.join(f, "scene_id")
 
 
@@ -113,27 +118,57 @@ def street_labels(f: DataFrame, streets: DataFrame) -> DataFrame:
     return g.select("scene_id", "w", "h", (F.col("k") + F.when(F.col("down"), STREET_LABELS).otherwise(0)).alias("k"), "label", "col", "row", "down")
 
 
-def built_ground(f: DataFrame, cells: DataFrame) -> DataFrame:
-    """(scene_id, col, row, own): cells of buildings (own) and of the pavement around them, first along rows, then along columns."""
-    size = f.select("scene_id", "w", "h")
-    steps = F.sequence(F.lit(-gt.PAVEMENT_CELLS), F.lit(gt.PAVEMENT_CELLS))
-    out = cells.select("scene_id", "col", "row").distinct().withColumn("own", F.lit(True)).join(size, "scene_id")
-    for axis, end in (("col", "w"), ("row", "h")):
-        out = out.withColumn("d", F.explode(steps)).withColumns({axis: F.col(axis) + F.col("d"), "own": F.col("own") & (F.col("d") == 0)}).filter(F.col(axis).between(0, F.col(end) - 1))
-        out = out.groupBy("scene_id", "w", "h", "col", "row").agg(F.max("own").alias("own"))
-    return out.drop("w", "h")
+def built_ground(f: DataFrame, runs: DataFrame) -> DataFrame:
+    """(scene_id, row, col, n, own): runs of n cells of buildings (own), and of the pavement around these."""
+    near = gt.PAVEMENT_CELLS
+    b = runs.select("scene_id", "row", F.col("lo").alias("col"), (F.col("hi") - F.col("lo") + 1).alias("n"), F.lit(True).alias("own"))
+    p = runs.join(f.select("scene_id", "w", "h"), "scene_id").withColumn("d", F.explode(F.sequence(F.lit(-near), F.lit(near)))).withColumn("row", F.col("row") + F.col("d"))
+    lo, hi = F.greatest(F.lit(0), F.col("lo") - near), F.least(F.col("w") - 1, F.col("hi") + near)
+    p = p.filter("row BETWEEN 0 AND h - 1").select("scene_id", "row", lo.alias("col"), (hi - lo + 1).alias("n"), F.lit(False).alias("own")).distinct()
+    return b.unionByName(p)
+
+
+def _painted(w: int, marks: Iterable[tuple[str, int, str, int, int]]) -> str:
+    """A row of w cells: of the marks (step, ord, glyph, col, n) of a step in a cell the first by ord; what it may overwrite follows from
+    what the cell shows by then."""
+    ground, layer = [" "] * w, {step: {} for step in ("building", "cable", "tag", "device", "street")}
+    for step, _, glyph, col, n in sorted(marks, key=lambda m: (m[1], m[2]), reverse=True):
+        if step == "ground":
+            ground[col : col + n] = [glyph] * n
+        else:
+            layer[step][col] = glyph
+    may = {"building": gt.BUILDING, "tag": (" ", gt.PAVEMENT, DROP, CABLE), "street": (" ", gt.PAVEMENT, gt.ROAD_H, gt.ROAD_V, gt.ROAD_X)}
+    for step, cells in layer.items():
+        for col, glyph in cells.items():
+            under = ground[col]
+            if step == "cable":
+                ground[col] = OVER.get(under) or (glyph if under in (" ", gt.PAVEMENT) else under)
+            elif step == "device" or under in may[step]:
+                ground[col] = glyph
+    return "".join(ground)
+
+
+@F.arrow_udf(StringType())
+def _line(w: pa.Array, marks: pa.Array) -> pa.Array:
+    """Rows of grids, by _painted()."""
+    flat = list(zip(*(c.to_pylist() for c in marks.flatten().flatten())))
+    out, at = [], 0
+    for wide, n in zip(w.to_pylist(), marks.value_lengths().fill_null(0).to_pylist()):
+        out.append(_painted(wide, [m for m in flat[at : at + n] if m[4]]))
+        at += n
+    return pa.array(out, pa.string())
 
 
 def drawn(f: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: DataFrame, cables: DataFrame) -> DataFrame:
-    """(scene_id, col, row, glyph) of the cells of the grids framed by f; scene_id is a zone's key in all inputs."""
-    cells = settled(gt.building_cells(f, buildings, own_cell=False))
+    """(scene_id, row, line) of all rows of the grids framed by f; scene_id is a zone's key in all inputs."""
+    runs = settled(gt.building_runs(f, spread(buildings, "scene_id", "id")))
     roads = gt.road_cells(f, streets)
     marks = _marks(roads, "ground", F.when(F.col("glyph") == gt.ROAD_X, 0).otherwise(2))
-    solid = built_ground(f, cells)
+    solid = built_ground(f, runs)
     marks = marks.unionByName(_marks(solid.withColumn("glyph", F.when(F.col("own"), gt.BUILDING).otherwise(gt.PAVEMENT)), "ground", F.when(F.col("own"), 1).otherwise(3)))
     number = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.col("id").cast("string"), "id"))
     named = buildings.select("scene_id", "id").distinct().withColumn("k", number)
-    b = building_labels(f, cells).join(named, ["scene_id", "id"])
+    b = building_labels(f, runs).join(named, ["scene_id", "id"])
     label = F.concat(F.lit("B"), padded(F.col("k"), 2))
     whole = F.col("n") >= 3
     b = b.withColumn("label", F.when(whole, label).otherwise(F.right(F.col("k").cast("string"), F.lit(1))))
@@ -150,24 +185,12 @@ def drawn(f: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: Dat
     e = equipment.join(f, "scene_id").withColumn("p", F.row_number().over(Window.partitionBy("scene_id").orderBy(seen(DRAWN_LAST), "id")))
     device = F.concat(F.lit("["), seen(gt.DEVICES), padded(F.col("id"), 2), F.lit("]"))
     marks = marks.unionByName(_marks(_chars(e, device, ec, er), "device", -F.col("p")))
-    street = _marks(_chars(street_labels(f, streets), F.col("label"), F.col("col"), F.col("row"), F.col("down")), "street", F.col("k"))
-    marks = marks.unionByName(street.withColumn("ord", F.col("ord") + F.when(F.col("glyph") == " ", 100).otherwise(0)))  # a blank may be written over
-    # the first mark of a step by its order, with the number of its character: sums of fixed width, which are kept by hashes
-    first = lambda step: F.min(F.when(F.col("step") == step, F.col("ord") * CODES + F.ascii("glyph"))).alias(step)
-    g = marks.groupBy("scene_id", "col", "row").agg(*[first(s) for s in ("ground", "building", "cable", "tag", "device", "street")])
-    g = g.select("scene_id", "col", "row", *[F.pmod(F.col(s), F.lit(CODES)).cast("int").alias(s) for s in ("ground", "building", "cable", "tag", "device", "street")])
-    code = lambda *glyphs: [ord(c) for c in glyphs]
-    g = g.withColumn("g", F.coalesce("ground", F.lit(ord(" "))))
-    g = g.withColumn("g", F.when((F.col("g") == ord(gt.BUILDING)) & F.col("building").isNotNull(), F.col("building")).otherwise(F.col("g")))
-    over = F.when(F.col("g").isin(code(" ", gt.PAVEMENT)), F.col("cable"))
-    for under, seen_as in OVER.items():
-        over = over.when(F.col("g") == ord(under), F.lit(ord(seen_as)))
-    g = g.withColumn("g", F.when(F.col("cable").isNotNull(), over.otherwise(F.col("g"))).otherwise(F.col("g")))
-    g = g.withColumn("g", F.when(F.col("tag").isNotNull() & F.col("g").isin(code(" ", gt.PAVEMENT, DROP, CABLE)), F.col("tag")).otherwise(F.col("g")))
-    g = g.withColumn("g", F.coalesce("device", "g"))
-    free = F.col("g").isin(code(" ", gt.PAVEMENT, gt.ROAD_H, gt.ROAD_V, gt.ROAD_X))
-    shown = F.when(F.col("street").isNotNull() & free, F.col("street")).otherwise(F.col("g"))
-    return g.select("scene_id", "col", "row", F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32").alias("glyph"))
+    street = _chars(street_labels(f, streets), F.col("label"), F.col("col"), F.col("row"), F.col("down"))
+    marks = marks.unionByName(_marks(street, "street", F.col("k") + F.when(F.col("glyph") == " ", 100).otherwise(0)))  # a blank may be written over
+    none = F.struct(F.lit("ground").alias("step"), F.lit(0).cast("long").alias("ord"), F.lit(" ").alias("glyph"), F.lit(0).alias("col"), F.lit(0).alias("n"))
+    every = f.select("scene_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row"), none.alias("mark"), "w")  # a row without marks, and its width
+    rows = spread(marks.withColumn("w", F.lit(None).cast("int")).unionByName(every), "scene_id").groupBy("scene_id", "row").agg(F.max("w").alias("w"), F.collect_list("mark").alias("marks"))
+    return rows.filter("w IS NOT NULL").select("scene_id", "row", _line("w", "marks").alias("line"))
 
 
 def zone_grids(bounds: DataFrame, streets: DataFrame, buildings: DataFrame, equipment: DataFrame, cables: DataFrame, size: float = ZONE_M) -> DataFrame:
@@ -187,7 +210,7 @@ def zone_grids(bounds: DataFrame, streets: DataFrame, buildings: DataFrame, equi
     f = gt.framed(zones, F.col("w"), F.col("h"))
     keyed = lambda df: df.withColumn("scene_id", key).drop("zc", "zr")
     s, c = (settled(keyed(zoned(x, div, ends)).join(f.select("scene_id"), "scene_id", "left_semi")) for x in (streets, cables))
-    lines = gt.text(f, drawn(f, s, keyed(b), keyed(e), c))
+    lines = drawn(f, s, keyed(b), keyed(e), c)
     row = F.concat(F.lit(" "), F.char(F.lit(65) + F.col("row") % 26), F.lit(" │"), "line", F.lit("│"))
     body = lines.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", row.alias("t")))), lambda s: s["t"]), "\n").alias("body"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)

@@ -7,6 +7,7 @@ import random
 import pytest
 from test_gridtwin import RING, square
 
+from terrane.operators import gridtwin as gt
 from terrane.operators import sceneforms as form
 from terrane.operators import zonegrid as zg
 
@@ -185,3 +186,23 @@ def test_empty_tables(spark):
     for f in (form.as_json, form.as_wkt, form.as_verdict):
         assert f(b, s, e, serves, c).count() == 0
     assert zg.zone_grids(spark.createDataFrame([], BOX), s, b, e, c).count() == 0
+
+
+def test_ground_is_made_of_runs_and_covers_what_single_cells_did(spark):
+    """Buildings and pavement were a row for each cell, and each of 25 neighbours of a cell."""
+    rng = random.Random(12)
+    f = gt.framed(spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], BOX)).cache()
+    rings = [[(rng.random(), rng.random()) for _ in range(rng.randint(1, 7))] for _ in range(40)]
+    b = spark.createDataFrame([(1, k, *r[0], [{"x": x, "y": y} for x, y in r]) for k, r in enumerate(rings)], f"scene_id int, id long, x double, y double, footprint {RING}")
+    runs = gt.building_runs(f, b).collect()
+    want, pavement = set(), set()
+    for k, ring in enumerate(rings):
+        cells = [(min(99, max(0, int(x * 100))), min(49, max(0, 49 - int(y * 50)))) for x, y in ring]
+        want |= {(k, c, r) for c in range(100) for r in range(50) if inside(c, r, cells)}
+    for _, c, r in want:
+        pavement |= {(c + i, r + j) for i in range(-2, 3) for j in range(-2, 3) if 0 <= c + i < 100 and 0 <= r + j < 50}
+    assert {(r.id, c, r.row) for r in runs for c in range(r.lo, r.hi + 1)} == want
+    assert {tuple(r) for r in gt.building_cells(f, b, False).select("id", "col", "row").collect()} == want
+    ground = zg.built_ground(f, gt.building_runs(f, b)).collect()
+    assert {(c, r.row) for r in ground if not r.own for c in range(r.col, r.col + r.n)} == pavement
+    assert len(ground) <= 6 * len(runs) < len(want)
