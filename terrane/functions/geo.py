@@ -133,6 +133,18 @@ def segment_meets_ring(a: P, b: P, ring: Column, mode: str = "closed") -> Column
     return F.when(n < 1, F.lit(False)).otherwise(edge | ends)
 
 
+def _cuts(ax, ay, bx, by, vx, vy, wx, wy) -> np.ndarray:
+    """Proper crossings of segments a-b with edges v-w."""
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    return (side(vx, vy, wx, wy, ax, ay) * side(vx, vy, wx, wy, bx, by) < 0) & (side(ax, ay, bx, by, vx, vy) * side(ax, ay, bx, by, wx, wy) < 0)
+
+
+def _ray_hits(px, py, vx, vy, wx, wy) -> np.ndarray:
+    """Edges v-w that a ray to the east of p crosses."""
+    level = np.where(wy == vy, 1.0, wy - vy)
+    return ((vy > py) != (wy > py)) & (px < (wx - vx) * (py - vy) / level + vx)
+
+
 @F.arrow_udf(BooleanType())
 def meets_ring_both_ends(x: pa.Array, y: pa.Array, bx: pa.Array, by: pa.Array, ring: pa.Array) -> pa.Array:
     """segment_meets_ring() in the mode both_ends for rings of one vertex or more, by batches: the same arithmetic over all edges of all
@@ -146,15 +158,31 @@ def meets_ring_both_ends(x: pa.Array, y: pa.Array, bx: pa.Array, by: pa.Array, r
     after[start + n - 1] = start
     wx, wy = vx[after], vy[after]
     ax, ay, cx, cy = (np.repeat(c.to_numpy(zero_copy_only=False), n) for c in (x, y, bx, by))
-    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
-    cut = (side(vx, vy, wx, wy, ax, ay) * side(vx, vy, wx, wy, cx, cy) < 0) & (side(ax, ay, cx, cy, vx, vy) * side(ax, ay, cx, cy, wx, wy) < 0)
-
-    def inside(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-        level = np.where(wy == vy, 1.0, wy - vy)
-        hit = ((vy > py) != (wy > py)) & (px < (wx - vx) * (py - vy) / level + vx)
-        return np.add.reduceat(hit.astype("int64"), start) % 2 == 1
-
-    return pa.array(np.logical_or.reduceat(cut, start) | (inside(ax, ay) & inside(cx, cy)))
+    inside = lambda px, py: np.add.reduceat(_ray_hits(px, py, vx, vy, wx, wy).astype("int64"), start) % 2 == 1
+    return pa.array(np.logical_or.reduceat(_cuts(ax, ay, cx, cy, vx, vy, wx, wy), start) | (inside(ax, ay) & inside(cx, cy)))
+
+
+def blocked_inside(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, rings: pa.Array) -> np.ndarray:
+    """Which segments a ring of one vertex or more blocks, by the arithmetic of meets_ring_both_ends(): ring by ring, those still free whose box meets
+    the ring's."""
+    n = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x, y = (c.to_numpy(zero_copy_only=False) for c in rings.flatten().flatten())
+    lx, hx, ly, hy = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+    free = np.arange(len(ax))
+    for end, size in zip(np.cumsum(n), n):
+        if not size:
+            continue
+        vx, vy = x[end - size : end], y[end - size : end]
+        near = (hx[free] >= np.fmin.reduce(vx)) & (lx[free] <= np.fmax.reduce(vx)) & (hy[free] >= np.fmin.reduce(vy)) & (ly[free] <= np.fmax.reduce(vy))
+        if near.any():
+            ring = vx, vy, np.roll(vx, -1), np.roll(vy, -1)
+            one, two = ((px[free[near], None], py[free[near], None]) for px, py in ((ax, ay), (bx, by)))
+            inside = lambda p: _ray_hits(*p, *ring).sum(axis=1) % 2 == 1
+            near[near] = _cuts(*one, *two, *ring).any(axis=1) | (inside(one) & inside(two))
+            free = free[~near]
+    blocked = np.ones(len(ax), dtype=bool)
+    blocked[free] = False
+    return blocked
 
 
 def centroid(ring: Column) -> Column:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +88,9 @@ def _absorbed_by_sweeps(nodes: DataFrame, metres: float, cell: float) -> DataFra
     return own.select(F.col("scene").alias("scene_id"), F.col("id").alias("ord"), F.coalesce("by", "id").alias("into"))
 
 
-def _by_size(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups of at most so many rows, and those of larger ones; None where there are none."""
-    large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+def _by_size(df: DataFrame, keys: list[str], most: int, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most so many rows (of `counted`, if given), and those of larger ones; None where there are none."""
+    large = (df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most)
     if large.isEmpty():
         return df, None
     match = [F.col(f"d.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
@@ -271,11 +273,67 @@ def _pairs_within(one: DataFrame, two: DataFrame, metres: float, kept: str) -> D
     return sp.met_within(a, b, metres).filter(kept)
 
 
-def bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, metres: float = BRIDGE_M) -> DataFrame:
+def _nearest_first(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of every two components that may be the nearest: Spark's own distances, rounded to a micrometre, decide."""
+    return pairs[pairs["d"] <= pairs.groupby(["ca", "cb"])["d"].transform("min") + 3e-6]
+
+
+def _bridging(metres: float, step: int = 1 << 18):
+    """A function that gives the free pairs of nodes (scene_id, ord, component, x, y) of a scene for bridges(): nodes in order of
+    latitude are compared with those that follow within reach, in steps of about so many pairs."""
+
+    def one(nodes: pa.Table, areas: pa.Table) -> pa.Table:
+        n = nodes.to_pandas().sort_values("y", ignore_index=True)
+        ids, comp, x, y = (n[c].to_numpy() for c in ("ord", "component", "x", "y"))
+        rings = areas["footprint"].combine_chunks()
+        lng, lat = np.radians(x), np.radians(y)
+        more = np.maximum(np.searchsorted(y, y + metres / 110_000.0, side="right") - np.arange(1, len(n) + 1), 0)
+        ends, found, begin = np.cumsum(more), [], 0
+        while begin < len(n):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + step, side="right")))
+            rows = more[begin:end]
+            i = np.repeat(np.arange(begin, end), rows)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rows) - rows, rows)
+            h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[j] - lng[i]) / 2) ** 2
+            d = 2 * geo.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            near = (comp[i] != comp[j]) & (d <= metres + 1e-6)
+            i, j, d = i[near], j[near], d[near]
+            i, j = np.where(comp[i] < comp[j], i, j), np.where(comp[i] < comp[j], j, i)
+            free = ~geo.blocked_inside(x[i], y[i], x[j], y[j], rings)
+            i, j = i[free], j[free]
+            found.append(_nearest_first(pd.DataFrame({"source": ids[i], "target": ids[j], "ca": comp[i], "cb": comp[j], "x": x[i], "y": y[i], "bx": x[j], "by": y[j], "d": d[free]})))
+            begin = end
+        best = _nearest_first(pd.concat(found)) if found else pd.DataFrame(columns=["source", "target", "ca", "cb", "x", "y", "bx", "by"])
+        own = pa.repeat(nodes["scene_id"][0], len(best)) if found else nodes["scene_id"].combine_chunks()
+        columns = {"scene_id": own} | {c: pa.array(best[c].to_numpy(), pa.int64()) for c in ("ca", "cb", "source", "target")}
+        return pa.table(columns | {c: pa.array(best[c].to_numpy(), pa.float64()) for c in ("x", "y", "bx", "by")})
+
+    return one
+
+
+def _free_pairs(own: DataFrame, buildings: DataFrame, metres: float) -> DataFrame:
+    """Free pairs for bridges() scene by scene inside tasks: only those that may be the nearest leave them."""
+    kind = own.schema["scene_id"].dataType.simpleString()
+    areas = buildings.select(F.col("scene_id").cast(kind).alias("scene_id"), "footprint")
+    both = sp.spread(own, "scene_id").groupBy("scene_id").cogroup(sp.spread(areas, "scene_id").groupBy("scene_id"))
+    ids, places = ("ca", "cb", "source", "target"), ("x", "y", "bx", "by")
+    out = ", ".join([f"scene_id {kind}", *[f"{c} long" for c in ids], *[f"{c} double" for c in places]])
+    pairs = both.applyInArrow(_bridging(metres), out)
+    return pairs.withColumn("metres", geo.haversine(P(F.col("x"), F.col("y")), P(F.col("bx"), F.col("by")))).filter(F.col("metres") <= metres)
+
+
+def bridges(nodes: DataFrame, member: DataFrame, buildings: DataFrame, metres: float = BRIDGE_M, most: int = sp.FEW) -> DataFrame:
     """(scene_id, source, target, kind, metres): for every two components of a scene the nearest pair of nodes no farther apart than
-    metres whose line no building blocks; distances equal to a micrometre tie, to the smaller nodes."""
+    metres whose line no building blocks; distances equal to a micrometre tie, to the smaller nodes.
+
+    Scenes of at most `most` nodes and buildings find their pairs inside tasks; larger ones by cells."""
     own = nodes.select("scene_id", "ord", "x", "y").join(member.hint("merge"), ["scene_id", "ord"])
-    free = unblocked(gr.settled(_pairs_within(own, own, metres, "ca < cb")), buildings)
+    small, large = _by_size(own, ["scene_id"], most, nodes.select("scene_id").unionByName(buildings.select("scene_id")))
+    free = _free_pairs(small, buildings, metres)
+    if large is not None:
+        large = gr.settled(large)
+        far = unblocked(gr.settled(_pairs_within(large, large, metres, "ca < cb")), buildings)
+        free = free.unionByName(far.select(*free.columns))
     best = free.groupBy("scene_id", "ca", "cb").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "source", "target", "metres")).alias("s"))
     return best.select("scene_id", "s.source", "s.target", F.lit("road_crossing").alias("kind"), "s.metres")
 

@@ -9,6 +9,7 @@ from terrane.operators import graph as gr
 from terrane.operators import gridroute as gro
 from terrane.operators import procedural as pr
 from terrane.operators import routing as rt
+from terrane.operators import spatial as sp
 from terrane.operators import streetgraph as sg
 from terrane.plans.procedural import HULL_SQL
 from terrane.sources import scenes as sc
@@ -40,7 +41,7 @@ def infrastructure(spark, sf_dir) -> DataFrame:
 def service_areas(spark, sf_dir) -> DataFrame:
     """(scene_id, ring): the hull of the buildings of each scene, counter-clockwise, not closed."""
     b = sc.buildings(spark, sf_dir).select("scene_id", "id", "x", "y")
-    corners = pr.convex_hull(b).join(b, ["scene_id", "id"]).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("c"))
+    corners = pr.convex_hull(sp.spread(b, "scene_id")).join(b.hint("merge"), ["scene_id", "id"]).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("c"))
     return corners.select("scene_id", F.transform("c", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("ring"))
 
 

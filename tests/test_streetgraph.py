@@ -153,3 +153,24 @@ def test_blocked_by_batches_is_the_test_of_expressions(spark):
     one = geo.segment_meets_ring(geo.P(F.col("x"), F.col("y")), geo.P(F.col("bx"), F.col("by")), F.col("ring"), "both_ends")
     got = df.select(one.alias("a"), geo.meets_ring_both_ends("x", "y", "bx", "by", "ring").alias("b")).collect()
     assert all(r.a == r.b for r in got) and 0 < sum(r.a for r in got) < 600
+
+
+def test_bridges_inside_tasks_and_by_cells_are_the_same(spark):
+    """All pairs within reach were written, dealt by cells and sorted; of small scenes only pairs that may be the nearest leave a task."""
+    rng = random.Random(9)
+    rows = [(s, k, *place(rng.uniform(0, 250), rng.uniform(0, 250)), rng.randint(0, 12)) for s in (1, 2, 3) for k in range(90)]
+    rows += [(4, 0, *place(0, 0), 0), (4, 1, *place(60, 0), 1), (4, 2, *place(-60, 0), 1), (4, 3, None, None, 3), (5, 0, *place(0, 0), 0)]  # two of one distance
+    own = spark.createDataFrame(rows, "scene_id int, ord long, x double, y double, component long")
+    square = lambda e, n, r: [{"x": x, "y": y} for x, y in [place(e + a * r, n + b * r) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]]
+    areas = [(s, k, square(rng.uniform(0, 250), rng.uniform(0, 250), 12)) for s in (1, 2, 9) for k in range(40)]
+    b = spark.createDataFrame([*areas, (1, 99, None), (2, 99, [])], "scene_id int, id long, footprint array<struct<x: double, y: double>>")
+    nodes, member = own.drop("component"), own.select("scene_id", "ord", "component")
+    found = [sorted(map(tuple, sg.bridges(nodes, member, b, 60.5, most).collect())) for most in (10**6, 100, 0)]
+    assert len(found[0]) > 100 and found[0] == found[1] == found[2]
+    assert [r[1:3] for r in found[0] if r[0] == 4] == [(0, 1)] and {r[0] for r in found[0]} == {1, 2, 3, 4}
+    assert sg._free_pairs(own, b, 60.5).count() < 1.1 * len(found[0]) < sg._pairs_within(own, own, 60.5, "ca < cb").count() / 4
+    parts = sorted(sg._free_pairs(own, b, 60.5).select("scene_id", "source", "target").collect())
+    one, small = sg._bridging(60.5), sg._bridging(60.5, 50)
+    tables = [own.filter("scene_id = 1").toArrow(), b.filter("scene_id = 1").toArrow()]
+    cut = lambda t: {(r["ca"], r["cb"], r["source"], r["target"]) for r in t.to_pylist()}
+    assert cut(one(*tables)) == cut(small(*tables)) and len(cut(one(*tables))) == sum(r.scene_id == 1 for r in parts)
