@@ -63,13 +63,31 @@ def directed(segments: DataFrame, oneway: Column) -> DataFrame:
     return segments.select("source", "target", "cost").unionByName(back)
 
 
+def snapped(points: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
+    """(scene_id, id, node, distance, ...) of points with a node (scene_id, id, x, y, ...) no farther than metres: the nearest one, distances equal to a
+    micrometre tie, to the smaller id; by cells. Other columns of nodes go along."""
+    more = [c for c in nodes.columns if c not in ("scene_id", "id", "x", "y")]
+    others = nodes.select("scene_id", F.col("id").alias("node"), F.col("x").alias("bx"), F.col("y").alias("by"), *more)
+    near = sp.met_within(points.select("scene_id", "id", "x", "y"), others, metres + 1e-6)
+    best = near.groupBy("scene_id", "id").agg(F.min(F.struct(F.round("metres", 6).alias("d"), "node", F.col("metres").alias("distance"), *more)).alias("s"))
+    return best.filter(F.col("s.distance") <= metres).select("scene_id", "id", *[f"s.{c}" for c in ("node", "distance", *more)])
+
+
+def reach_by_component(points: DataFrame, offices: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
+    """(scene_id, id, node, distance, reason) of points as of reach() where every edge runs both ways, so that the component of nodes (scene_id, id,
+    x, y, component) says what is reachable: without rounds, costs and ways."""
+    office = snapped(offices.select("scene_id", F.lit("office").alias("id"), "x", "y"), nodes, metres).select("scene_id", F.col("component").alias("start"))
+    found = points.select("scene_id", "id").join(snapped(points, nodes, metres).hint("merge"), ["scene_id", "id"], "left").join(office.hint("merge"), "scene_id", "left")
+    reason = F.when(F.col("node").isNull() | F.col("start").isNull(), "too_far_from_graph").when(F.col("component") == F.col("start"), "reachable").otherwise("different_component")
+    return found.select("scene_id", "id", "node", "distance", reason.alias("reason"))
+
+
 def reach(points: DataFrame, offices: DataFrame, nodes: DataFrame, edges: DataFrame, metres: float) -> DataFrame:
     """(scene_id, id, node, distance, reason, cost, way) of points: each is put on the nearest node (scene_id, id, x, y) no farther than
     metres, and so is the scene's office (scene_id, x, y). Reasons: reachable, different_component (no way over the directed edges
     (source, target, cost)), too_far_from_graph (the point or the office). The way runs from the point's node to the office's."""
-    snap = lambda p: sp.nearest(p, nodes, 1).filter(F.col("d") <= metres)
-    office = snap(offices.select("scene_id", F.lit("office").alias("id"), "x", "y")).select("scene_id", F.col("other").alias("start"))
-    near = snap(points).select("scene_id", "id", F.col("other").alias("node"), F.col("d").alias("distance"))
+    office = snapped(offices.select("scene_id", F.lit("office").alias("id"), "x", "y"), nodes, metres).select("scene_id", F.col("node").alias("start"))
+    near = snapped(points, nodes, metres).select("scene_id", "id", "node", "distance")
     best = gr.shortest(edges, office.select("start").distinct())
     steps = best.filter("previous IS NOT NULL").select(F.col("previous").alias("source"), F.col("id").alias("target"), F.lit(0).alias("ord"))
     wanted = near.select(F.col("node").alias("id")).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import graph as gr
 from terrane.operators import gridroute as gro
 from terrane.operators import procedural as pr
 from terrane.operators import routing as rt
@@ -224,13 +223,13 @@ def scene_reach(spark, sf_dir):
     """Which buildings reach the office of their scene along streets and bridges, by the nearest node of each."""
     g = SceneGraph(spark, sf_dir)
     edges, more = g.bridged()
-    text = lambda c: F.col(c).cast("string").alias(c)
-    ways = gr.both_ways(edges.unionByName(more).select(text("source"), text("target"), F.col("metres").alias("cost")))
+    member = sg.component_of(g.nodes, edges.unionByName(more))
+    nodes = g.nodes.select("scene_id", "ord", "x", "y").join(member.hint("merge"), ["scene_id", "ord"])
     e = sc.equipment(spark, sf_dir).filter("kind = 'co'")
     office = e.groupBy("scene_id").agg(F.min_by("x", "id").alias("x"), F.min_by("y", "id").alias("y"))
-    points = g.buildings.select("scene_id", text("id"), "x", "y")
-    found = rt.reach(points, office, g.nodes.select("scene_id", F.col("ord").cast("string").alias("id"), "x", "y"), sg.gr.settled(ways), REACH_M)
-    return found.select("scene_id", F.col("id").cast("long").alias("id"), F.col("node").cast("long").alias("node"), F.round("distance", 4).alias("distance"), "reason")
+    named = nodes.select("scene_id", F.col("ord").cast("string").alias("id"), "x", "y", "component")  # ties go to the smaller text
+    found = rt.reach_by_component(g.buildings.select("scene_id", "id", "x", "y"), office, sg.gr.settled(named), REACH_M)
+    return found.select("scene_id", "id", F.col("node").cast("long").alias("node"), F.round("distance", 4).alias("distance"), "reason")
 
 
 def _frames(spark, sf_dir) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from terrane.operators import graph as gr
+from terrane.operators import routing as rt
 from terrane.operators import spatial as sp
 from terrane.operators import streetgraph as sg
 
@@ -174,3 +176,24 @@ def test_bridges_inside_tasks_and_by_cells_are_the_same(spark):
     tables = [own.filter("scene_id = 1").toArrow(), b.filter("scene_id = 1").toArrow()]
     cut = lambda t: {(r["ca"], r["cb"], r["source"], r["target"]) for r in t.to_pylist()}
     assert cut(one(*tables)) == cut(small(*tables)) and len(cut(one(*tables))) == sum(r.scene_id == 1 for r in parts)
+
+
+def test_reach_by_components_is_reach_over_both_ways_without_rounds(spark):
+    """Shortest ways took a round for each link of the longest one, for a column that only says whether there is a way."""
+    chain = [(1, i, *place(50.0 * i, 0)) for i in range(12)]
+    rows = [*chain, (1, 20, *place(0, 500)), (1, 21, *place(0, 540)), (2, 30, *place(0, 0)), (2, 9, *place(60, 0)), (2, 10, *place(-60, 0))]
+    nodes = gr.settled(spark.createDataFrame(rows, "scene_id int, ord long, x double, y double"))
+    edges = gr.settled(spark.createDataFrame([(1, i, i + 1) for i in range(11)] + [(1, 20, 21)], "scene_id int, source long, target long"))
+    points = gr.settled(spark.createDataFrame([(1, 1, *place(550, 9)), (1, 2, *place(0, 530)), (1, 3, *place(0, -101)), (1, 4, *place(275, 0)), (2, 5, *place(0, 40)), (2, 6, None, None), (3, 7, *place(0, 0)), (2, 8, *place(0, -99))], "scene_id int, id long, x double, y double"))
+    offices = gr.settled(spark.createDataFrame([(1, *place(10, 0)), (2, *place(0, 0))], "scene_id int, x double, y double"))
+    named = nodes.join(sg.component_of(nodes, edges), ["scene_id", "ord"]).withColumn("id", F.col("ord").cast("string")).drop("ord")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    ways = gr.both_ways(edges.select(text("source"), text("target"), F.lit(1.0).alias("cost")))
+    keep = ("scene_id", "id", "node", "distance", "reason")
+    want = sorted(map(tuple, rt.reach(points.withColumn("id", text("id")), offices, named, ways, 100.0).withColumn("id", F.col("id").cast("long")).select(*keep).collect()), key=repr)
+    spark.sparkContext.setJobGroup("by-component", "")
+    got = sorted(map(tuple, rt.reach_by_component(points, offices, gr.settled(named), 100.0).select(*keep).collect()), key=repr)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("by-component"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs < 20
+    assert {r[1]: (r[2], r[4]) for r in got} == {1: ("11", "reachable"), 2: ("21", "different_component"), 3: (None, "too_far_from_graph"), 4: ("5", "reachable"), 5: ("30", "reachable"), 6: (None, "too_far_from_graph"), 7: (None, "too_far_from_graph"), 8: ("30", "reachable")}
